@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_dedup
+from . import byte_bpe, simhash_dedup, substring_dedup, token_count
 from .common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"), window=20, keep_text=False)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, k=2)
     return found.select("doc_id", simhash_dedup.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
 }
 

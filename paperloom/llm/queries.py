@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators."""
+"""The registered queries of the training-data operators and, where SQL can say it, the same in SQL."""
 
 from __future__ import annotations
 
@@ -6,19 +6,61 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash_dedup, substring_dedup, token_count
-from .common import table
+from . import audio_fingerprint, byte_bpe, language_id, license_scan, line_dedup, mixing, simhash_dedup, substring_dedup, token_count, vector_search
+from .common import cut, table
+
+
+def op1_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are the bytes of whole texts, played as 8-bit samples; every hundredth id is looked up."""
+    prints = audio_fingerprint.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", rate=8000, frame=512, hop=128)
+    return audio_fingerprint.align(prints, F.col("id") % 100 == 0, run=2, least_votes=2)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"), window=20, keep_text=False)
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).withColumn("expressions", F.array_join("expressions", "; "))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=5)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def quality_weights(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add ``quality``: 2 for rows labelled good, 0.5 for bad ones, 1 for the others."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return rows.join(labels, "doc_id", "left").withColumn("quality", F.when(F.col("label") == 1, 2.0).when(F.col("label") == 0, 0.5).otherwise(1.0)).drop("label")
+
+
+def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(quality_weights(cut(sizes), spark, sf_dir), size=F.col("size"), weight=F.col("quality"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,10 +71,51 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_substring_dedup": op2_substring_dedup,
-    "op6_token_counts": op6_token_counts,
-    "op9_byte_bpe": op9_byte_bpe,
-    "op10_simhash": op10_simhash,
+    f.__name__: f
+    for f in (op1_audio_fingerprint, op2_substring_dedup, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_line_dedup, op8_mixing, op9_byte_bpe, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(ws[i:i + 19], ' ')) ORDER BY doc_id, i) AS r FROM p),
+        gone AS (SELECT DISTINCT doc_id, i + j AS x FROM f, range(20) AS t(j) WHERE r > 1),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS x FROM w),
+        kept AS (
+            SELECT doc_id, count(gone.x) AS n_removed, string_agg(word, ' ' ORDER BY words.x) FILTER (WHERE gone.x IS NULL) AS kept
+            FROM words LEFT JOIN gone USING (doc_id, x) GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_line_dedup": f"""
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
+        n AS (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS words FROM e),
+        s AS (
+            SELECT *, row_number() OVER d AS seq, sum(words) OVER d AS upto
+            FROM n WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+        ),
+        r AS (
+            SELECT a.doc_id, a.seq, min(b.seq) AS stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.upto >= a.upto - a.words + 5
+            GROUP BY a.doc_id, a.seq
+        ),
+        runs AS (
+            SELECT r.doc_id, r.seq, r.stop, md5(string_agg(s.line, chr(10) ORDER BY s.seq)) AS h
+            FROM r JOIN s ON r.doc_id = s.doc_id AND s.seq BETWEEN r.seq AND r.stop GROUP BY r.doc_id, r.seq, r.stop
+        ),
+        f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, seq) AS k FROM runs),
+        gone AS (SELECT DISTINCT s.doc_id, s.pos FROM f JOIN s ON f.doc_id = s.doc_id AND s.seq BETWEEN f.seq AND f.stop WHERE k > 1),
+        kept AS (
+            SELECT doc_id, count(gone.pos) AS n_removed, string_agg(line, chr(10) ORDER BY e.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+            FROM e LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM l LEFT JOIN kept USING (doc_id)
+    """,
+}

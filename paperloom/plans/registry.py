@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (text_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

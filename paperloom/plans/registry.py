@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import text_queries, token_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (text_queries,):
+for _module in (text_queries, token_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -76,8 +76,10 @@ def _intervals(ranks: DataFrame) -> DataFrame:
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """``id, hash, places``: for each text with later copies, the places (from 0) of the lines to delete."""
-    lines = _lines(df, id_col, text_col).withColumn("seq", F.row_number().over(Window.partitionBy(*_DOC).orderBy("place")))
-    lines = cut(lines)
+    by_place = Window.partitionBy(*_DOC).orderBy("place")
+    lines = _lines(df, id_col, text_col).withColumn("before", F.lag("place").over(by_place))
+    lines = lines.filter("before is null or before <> place").drop("before")  # rows that are wholly alike count once
+    lines = cut(lines.withColumn("seq", F.row_number().over(by_place)))
     recurring = _named(lines, "h1", "h2").filter("n > 1").select("h1", "h2", F.col("name").alias("rank"))
     kept = lines.join(recurring, ["h1", "h2"]).drop("h1", "h2")
     in_text = Window.partitionBy(*_DOC).orderBy("seq")

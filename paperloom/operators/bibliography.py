@@ -92,14 +92,12 @@ def select_style(sections: DataFrame, known: DataFrame | None = None, styles: tu
     ``sections`` has ``section, body`` (with ``<lb>`` and ``<bb>`` marks). A style scores its number of clean records
     plus 10,000 for each whose title and year are in ``known`` (``title, year``); ties go to the earlier style.
     """
-    tried = [
-        sections.select("section", F.lit(i).alias("rank"), F.lit(s).alias("style"), F.posexplode(segment(F.col("body"), STYLES[s][0])).alias("n", "entry")).withColumn("r", parse(F.col("entry"), s))
-        for i, s in enumerate(styles)
-    ]
-    rows = tried[0]
-    for t in tried[1:]:
-        rows = rows.union(t)
-    rows = clean_records(rows.filter("r is not null").select("section", "rank", "style", "n", "r.*"))
+    kinds = list(dict.fromkeys(STYLES[s][0] for s in styles))
+    cut = F.array(*[F.struct(F.lit(k).alias("kind"), segment(F.col("body"), k).alias("entries")) for k in kinds])
+    entries = sections.select("section", F.inline(cut)).select("section", "kind", F.posexplode("entries").alias("n", "entry"))
+    tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("style"), F.when(F.col("kind") == STYLES[s][0], parse(F.col("entry"), s)).alias("r")) for i, s in enumerate(styles)])
+    rows = entries.select("section", "n", F.inline(F.filter(tries, lambda t: t["r"].isNotNull())))
+    rows = clean_records(rows.select("section", "rank", "style", "n", "r.*"))
     if known is not None:
         rows = rows.join(known.select("title", "year", F.lit(True).alias("known")).distinct(), ["title", "year"], "left")
     score = F.sum(F.when(F.col("known"), 10_001).otherwise(1) if known is not None else F.lit(1))

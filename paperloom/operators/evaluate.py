@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
+
 
 def _ratios(gold: Column, guess: Column, hits: Column) -> list[Column]:
     """Both empty: 1 and 1; no gold: 0 and 1; no guess: 0 and 0."""
@@ -84,3 +86,50 @@ def error_pairs(lost: DataFrame, extra: DataFrame, least: float = 0.5) -> DataFr
     b = right.select("paper", "guess", F.size("h").alias("m"), F.explode("h").alias("gram"))
     shared = a.join(b, ["paper", "gram"]).groupBy("paper", "gold", "guess").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
     return shared.withColumn("score", F.col("both") / F.greatest("n", "m")).filter(F.col("score") >= least).select("paper", "gold", "guess", "score")
+
+
+#: Items of a record for each metric; ``Normalized`` ones are compared in a normal form.
+RECORD_METRICS = {
+    "bibTitles": lambda: F.array("title"),
+    "bibTitlesNormalized": lambda: F.array(normalize("title")),
+    "bibAuthors": lambda: F.col("authors"),
+    "bibAuthorsNormalized": lambda: F.transform("authors", normalize),
+    "bibVenues": lambda: F.array("venue"),
+    "bibVenuesNormalized": lambda: F.array(normalize("venue")),
+    "bibYears": lambda: F.array(F.nullif(F.col("year").cast("string"), F.lit("0"))),
+    "bibAll": lambda: F.array(F.concat_ws("|", "title", F.array_join("authors", ":"), "venue", F.col("year").cast("string"))),
+    "bibAllButVenuesNormalized": lambda: F.array(F.concat_ws("|", normalize("title"), F.array_join(F.transform("authors", normalize), ":"), F.col("year").cast("string"))),
+}
+SET_METRICS = ("bibAll", "bibAllButVenuesNormalized")
+
+
+def record_items(records: DataFrame) -> DataFrame:
+    """``metric, paper, item`` of ``paper, title, authors, venue, year``; null and empty items don't count. One scan."""
+    cells = F.array(*[F.struct(F.lit(name).alias("metric"), items().alias("items")) for name, items in RECORD_METRICS.items()])
+    return records.select("paper", F.inline(cells)).select("metric", "paper", F.explode("items").alias("item")).filter("item <> ''")
+
+
+def record_metrics(gold: DataFrame, guess: DataFrame) -> DataFrame:
+    """``metric, precision, recall``: the macro average over the papers of gold of every record metric."""
+    both = record_items(gold).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(record_items(guess).withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
+    c = both.groupBy("metric", "paper", "item").agg(F.sum("a").alias("x"), F.sum("b").alias("y"))
+    once = F.col("metric").isin(*SET_METRICS)
+    x, y = (F.when(once, F.least(F.col(v), F.lit(1))).otherwise(F.col(v)) for v in ("x", "y"))
+    sums = c.groupBy("metric", "paper").agg(F.sum(x).alias("gold"), F.sum(y).alias("guess"), F.sum(F.least(x, y)).alias("hits"))
+    scores = sums.select("metric", "paper", *_ratios(F.col("gold"), F.col("guess"), F.col("hits")))
+    return macro_average(scores.join(gold.select("paper").distinct(), "paper", "left_semi"), gold, ["metric"])
+
+
+def annotation_sheet(records: DataFrame) -> DataFrame:
+    """``paper, number, cell``: each paper's list of records as rows numbered from 1."""
+    return records.select("paper", F.posexplode("cells").alias("i", "cell")).select("paper", (F.col("i") + 1).alias("number"), "cell")
+
+
+def from_sheet(sheet: DataFrame) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("number", "cell")))
+    return sheet.groupBy("paper").agg(F.transform(rows, lambda r: r["cell"]).alias("cells"))
+
+
+def token_items(texts: DataFrame, c: str) -> DataFrame:
+    """``paper, item``: words of a text, as a simple tokenizer has them."""
+    return texts.select("paper", F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}0-9]+"), 0)).alias("item"))

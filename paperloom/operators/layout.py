@@ -126,3 +126,47 @@ def heuristic_title(lines: DataFrame) -> DataFrame:
     large = large.withColumn("run", F.col("line_no") - F.row_number().over(in_order()))
     large = large.withColumn("first", F.min("run").over(w)).filter(F.col("run") == F.col("first"))
     return large.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("title"))
+
+
+def greedy_clusters(values: Column, width: float) -> Column:
+    """Means and sizes of sorted numbers grouped from below: a number joins while it is within ``width`` of the running mean."""
+    start = F.array().cast("array<struct<total:double,n:int>>")
+
+    def step(s: Column, v: Column) -> Column:
+        last = F.try_element_at(s, F.lit(-1))
+        near = (F.size(s) > 0) & (F.abs(last["total"] / last["n"] - v) <= width)
+        grown = F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"))))
+        return F.when(near, grown).otherwise(F.concat(s, F.array(F.struct(v.alias("total"), F.lit(1).alias("n")))))
+
+    return F.transform(F.aggregate(F.array_sort(values), start, step), lambda c: F.struct((c["total"] / c["n"]).alias("mean"), c["n"].alias("n")))
+
+
+def merge_bare_numbers(entries: DataFrame) -> DataFrame:
+    """Entries ``section, line_no, entry`` where a bare number (``12.`` or ``[12]``) takes in the one that follows."""
+    w = Window.partitionBy("section").orderBy("line_no")
+    bare = F.col("entry").rlike(r"^(\[[0-9]+\]|[0-9]{1,3}\.?)$")
+    marked = entries.withColumn("bare", bare).withColumn("run", F.col("line_no") * 0 + F.row_number().over(w) - F.sum(bare.cast("int")).over(w))
+    # in a run of bare numbers each second one is taken in by the one before it
+    marked = marked.withColumn("k", F.when(F.col("bare"), F.row_number().over(Window.partitionBy("section", "bare", "run").orderBy("line_no"))))
+    marked = marked.withColumn("taker", F.col("bare") & (F.col("k") % 2 == 1)).withColumn("after", F.lead("entry").over(w))
+    taken = F.coalesce(F.lag("taker").over(w), F.lit(False))
+    marked = marked.withColumn("taken", taken).filter(~F.col("taken"))
+    return marked.select("section", "line_no", F.when(F.col("taker") & F.col("after").isNotNull(), F.concat_ws(" ", "entry", "after")).otherwise(F.col("entry")).alias("entry"))
+
+
+def repair_columns(toks: DataFrame, least: int = 10, near: float = 3.0) -> DataFrame:
+    """Order of the tokens of two-column pages read across: ``doc_id, seq, column, place``.
+
+    The gap after a token is a gutter if it is wider than 5 mean spaces. A document is split only if it has over
+    ``least`` gutters and all lie within ``near`` mean spaces of their mean; its tokens are then ordered by column first.
+    """
+    w = Window.partitionBy("doc_id", "line_no").orderBy("x0")
+    d = Window.partitionBy("doc_id")
+    t = toks.withColumn("gap", F.lead("x0").over(w) - F.col("x1"))
+    t = t.withColumn("space", F.avg(F.when(F.col("gap") < 3 * F.col("font"), F.col("gap"))).over(d))
+    t = t.withColumn("gutter", F.when(F.col("gap") > 5 * F.coalesce("space", F.lit(4.0)), F.col("x1") + F.col("gap") / 2))
+    t = t.withColumn("mean", F.avg("gutter").over(d)).withColumn("n", F.count("gutter").over(d))
+    t = t.withColumn("spread", F.max(F.abs(F.col("gutter") - F.col("mean"))).over(d))
+    split = (F.col("n") > least) & (F.col("spread") <= near * F.coalesce("space", F.lit(4.0)))
+    t = t.withColumn("column", F.when(split & (F.col("x0") > F.col("mean")), 1).otherwise(0))
+    return t.select("doc_id", "line_no", "pos", "column", F.row_number().over(Window.partitionBy("doc_id").orderBy("column", "line_no", "x0")).alias("place"))

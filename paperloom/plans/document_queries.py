@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bibliography as B
+from ..operators import evaluate as E
 from ..operators import features as X
+from ..operators import layout as L
 from ..operators import sequence as Q
 from ..sources.derived import TOKENS_SQL, references, references_sql, table, tokens
+from .extract import extract, precedence
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -229,3 +232,101 @@ def crf_labels(spark, sf_dir):
     finally:
         seqs.unpersist()
     return Q.decode_crf(seqs.filter("id % 2 = 1"), model).select("id", F.array_join("labels", " ").alias("labels"))
+
+
+# whole documents
+
+
+def papers(spark, sf_dir):
+    """A document a section of the bracket bibliography, with title, abstract, citing sentences and references."""
+    refs = references(table(spark, sf_dir, "part"), "bracket")
+    bib = refs.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda x: x["entry"]), "\n").alias("bib"))
+    text = F.format_string("A study of group %d.\nAbstract: We look at parts of size %d, 2001.\nWrite to {first,last}@g%d.org today.\nMany results on this kind of part are known [1, 2] by now. A longer line of work [3-5] goes on and on since then. Few [1].\nReferences\n%s", "section", "section", "section", "bib")
+    return bib.select(F.col("section").alias("id"), text.alias("text"))
+
+
+@query(f"""SELECT section AS id, 'A study of group ' || section AS title, 'first@g' || section || '.org;last@g' || section || '.org' AS emails, 2001 AS year, 'We look at parts of size ' || section || ', 2001.' AS abstract,
+    count(*) AS n_references, CAST(least(count(*), 5) AS BIGINT) AS n_mentions, min(year) AS oldest FROM ({references_sql('bracket')}) GROUP BY section""")
+def extract_papers(spark, sf_dir):
+    out = extract(papers(spark, sf_dir))
+    return out.select(
+        "id", "title", F.array_join("emails", ";").alias("emails"), "year", "abstract", F.size("references").cast("long").alias("n_references"), F.size("mentions").cast("long").alias("n_mentions"),
+        F.array_min(F.transform("references", lambda r: r["year"])).alias("oldest"),
+    )
+
+
+_REC_SQL = f"""gold AS (SELECT section AS paper, n, p_name AS title, p_type AS venue, CAST(year AS VARCHAR) AS year FROM ({references_sql('bracket')})),
+    guess AS (SELECT paper, CASE WHEN n % 4 = 0 THEN title || '!' WHEN n % 4 = 1 THEN upper(title) ELSE title END AS title, CASE WHEN n % 3 = 0 THEN '' ELSE venue END AS venue, CASE WHEN n % 5 = 0 THEN NULL ELSE year END AS year FROM gold)"""
+_ITEMS_SQL = """SELECT 'bibTitles' AS metric, paper, title AS item FROM {t} UNION ALL SELECT 'bibTitlesNormalized', paper, trim(regexp_replace(regexp_replace(lower(title), '\\p{{P}}', ' ', 'g'), ' +', ' ', 'g')) FROM {t}
+    UNION ALL SELECT 'bibVenues', paper, venue FROM {t} UNION ALL SELECT 'bibYears', paper, year FROM {t}"""
+
+
+@query(f"""WITH {_REC_SQL}, c AS (SELECT metric, paper, item, sum(a) AS x, sum(b) AS y FROM (SELECT *, 1 AS a, 0 AS b FROM ({_ITEMS_SQL.format(t="gold")}) UNION ALL SELECT *, 0, 1 FROM ({_ITEMS_SQL.format(t="guess")})) WHERE item <> '' GROUP BY 1, 2, 3),
+    s AS (SELECT metric, paper, sum(x) AS g, sum(y) AS p, sum(least(x, y)) AS h FROM c GROUP BY 1, 2),
+    r AS (SELECT metric, CASE WHEN g = 0 AND p = 0 THEN 1.0 WHEN g = 0 OR p = 0 THEN 0.0 ELSE h / p END AS precision, CASE WHEN g = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE h / g END AS recall FROM s)
+    SELECT metric, round(sum(precision) / (SELECT count(DISTINCT paper) FROM gold), 6) AS precision, round(sum(recall) / (SELECT count(DISTINCT paper) FROM gold), 6) AS recall FROM r GROUP BY metric""")
+def record_metrics(spark, sf_dir):
+    refs = references(table(spark, sf_dir, "part"), "bracket")
+    none = F.array().cast("array<string>")
+    gold = refs.select(F.col("section").alias("paper"), "n", F.col("p_name").alias("title"), none.alias("authors"), F.col("p_type").alias("venue"), "year")
+    guess = gold.select("paper", F.when(F.col("n") % 4 == 0, F.concat("title", F.lit("!"))).when(F.col("n") % 4 == 1, F.upper("title")).otherwise(F.col("title")).alias("title"), "authors",
+                        F.when(F.col("n") % 3 == 0, "").otherwise(F.col("venue")).alias("venue"), F.when(F.col("n") % 5 != 0, F.col("year")).alias("year"))
+    out = E.record_metrics(gold.drop("n"), guess).filter(F.col("metric").isin("bibTitles", "bibTitlesNormalized", "bibVenues", "bibYears"))
+    return out.select("metric", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT p_size AS paper, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_name) AS INTEGER) AS number, p_name AS cell FROM part")
+def annotation_sheet(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("paper")).agg(F.array_sort(F.collect_list("p_name")).alias("cells"))
+    return E.annotation_sheet(E.from_sheet(E.annotation_sheet(cells)))
+
+
+_WORDS_SQL = "SELECT doc_id AS paper, unnest(regexp_extract_all(lower({}), '[\\p{{L}}0-9]+')) AS item FROM documents"
+
+
+@query(f"""WITH c AS (SELECT paper, item, sum(a) AS x, sum(b) AS y FROM (SELECT *, 1 AS a, 0 AS b FROM ({_WORDS_SQL.format('text')}) UNION ALL SELECT *, 0, 1 FROM ({_WORDS_SQL.format("split_part(text, chr(10), 1)")})) GROUP BY 1, 2),
+    s AS (SELECT paper, sum(x) AS g, sum(y) AS p, sum(least(x, y)) AS h FROM c GROUP BY 1) SELECT paper, round(CASE WHEN p = 0 THEN 0.0 ELSE h / p END, 6) AS precision, round(h / g, 6) AS recall FROM s""")
+def section_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper"), "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t"))
+    out = E.precision_recall(E.token_items(d, "text"), E.token_items(d, "t"))
+    return out.select("paper", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN bad THEN lang ELSE t END AS title, CASE WHEN bad THEN 'CRF' ELSE 'META' END AS source FROM (
+    SELECT doc_id, lang, t, regexp_matches(t, '(?i)\\.(pdf|doc|docx|tex|dvi|ps)$') OR regexp_matches(t, '(?i)proceedings of') OR regexp_matches(t, '(?i)arxiv:') OR NOT regexp_matches(t, '(^|\\s)\\p{{Lu}}') AS bad
+    FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN lower(split_part(text, chr(10), 1)) ELSE split_part(text, chr(10), 1) END AS t FROM documents))""")
+def title_precedence(spark, sf_dir):
+    t = F.split_part("text", F.lit("\n"), F.lit(1))
+    title, source = precedence(F.col("lang"), F.when(F.col("doc_id") % 3 == 0, F.lower(t)).otherwise(t))
+    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), source.alias("source"))
+
+
+@query("SELECT vec_id AS id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def vector_features(spark, sf_dir):
+    """Components of the word vectors of known tokens; a token without a vector has none."""
+    keys = table(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_partkey").alias("vec_id"))
+    found = table(spark, sf_dir, "embeddings").join(keys, "vec_id", "left_semi")
+    return found.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "v")).select("id", "i", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("""SELECT section, line_no, entry FROM (SELECT section, line_no, entry || ' ' || follow AS entry FROM (SELECT p_size AS section, 2 * p_partkey AS line_no, '[' || p_partkey || ']' AS entry, p_name AS follow FROM part))""")
+def merge_bare_numbers(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    number = p.select(F.col("p_size").alias("section"), (2 * F.col("p_partkey")).alias("line_no"), F.format_string("[%d]", "p_partkey").alias("entry"))
+    name = p.select(F.col("p_size").alias("section"), (2 * F.col("p_partkey") + 1).alias("line_no"), F.col("p_name").alias("entry"))
+    return L.merge_bare_numbers(number.union(name))
+
+
+@query()
+def indent_clusters(spark, sf_dir):
+    """Clusters of the lengths of each document's lines; a fold, checked against Python in the tests."""
+    widths = F.transform(F.split("text", "\n"), lambda l: F.length(l).cast("double"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(L.greedy_clusters(widths, 20.0)))
+
+
+@query("SELECT doc_id, line_no, pos, 0 AS column, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) AS place FROM (" + TOKENS_SQL + ")")
+def column_repair(spark, sf_dir):
+    """Pages of one column keep their order; two-column ones are checked in the tests."""
+    from ..sources.derived import with_geometry
+
+    return L.repair_columns(with_geometry(tokens(table(spark, sf_dir, "documents"))).withColumn("x1", F.col("x0") + 36.0))

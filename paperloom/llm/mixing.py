@@ -4,8 +4,8 @@ A document's key is exponential: -ln(u) / weight, with u from a hash of its id,
 come first more often. A source's target is met by complete epochs and then, in the order of the keys, by
 documents until the running sum of sizes reaches what is left.
 
-No source is sorted in one task. Keys map monotonically to (0, 1) and fall into slots, each of some tens of
-thousands of rows; sums by slot show in which one the running sum reaches the rest, and only that slot
+No source is sorted in one task. Keys map monotonically to (0, 1) and fall into slots, each of some
+thousand rows; sums by slot show in which one the running sum reaches the rest, and only that slot
 is sorted.
 """
 
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return found.select("source", "source_size", F.least("limit", F.lit(rate) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weight: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 7, slot_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weight: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 7, slot_rows: int = 4_000) -> DataFrame:
     """``id, source, size, source_size, target, epochs, taken`` for every row.
 
     ``size`` defaults to the number of words of ``text``, ``weight`` (the quality, above 0; null counts as 1) to 1.

@@ -38,22 +38,23 @@ def _named(pairs: DataFrame, *keys: str) -> DataFrame:
     return cut(pairs.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
 
 
-def suffix_ranks(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ranks of all suffixes, and the table of the different ranks.
+def suffix_ranks(positions: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Ranks of all suffixes by their first ``depth`` lines at least, and the table of the different ranks.
 
-    ``positions`` has the columns id, hash, segment, seq and rank (of the line). Suffixes have the same rank
-    if and only if they hold the same lines up to the end of their segments.
+    ``positions`` has the columns id, hash, segment, seq and rank (of the line). Once rounds end, suffixes have the
+    same rank if and only if those lines (or all up to the end of their segments) are the same; if a round
+    splits no rank, no later one does, and whole suffixes are the same.
     """
     count, step = -1, 1
     following = Window.partitionBy(*_DOC, "segment").orderBy("seq")
     while True:
         pairs = cut(positions.withColumn("second", F.coalesce(F.lead("rank", step).over(following), F.lit(-1))))
         names = _named(pairs, "rank", "second")
-        positions = cut(pairs.join(names.drop("n"), ["rank", "second"]).drop("rank", "second").withColumnRenamed("name", "rank"))
-        now = names.count()
-        if now == count:
+        positions = pairs.join(names.drop("n"), ["rank", "second"]).drop("rank", "second").withColumnRenamed("name", "rank")
+        now, step = names.count(), step * 2
+        if now == count or step >= depth:
             return positions, names.select(F.col("name").alias("rank"))
-        count, step = now, step * 2
+        count = now
 
 
 def _intervals(ranks: DataFrame) -> DataFrame:
@@ -96,7 +97,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ahead = Window.partitionBy(*_DOC, "segment").orderBy("seq").rowsBetween(0, min_words - 1)
     kept = cut(kept.withColumn("run", F.slice(F.collect_list("rank").over(ahead), 1, F.coalesce("length", F.lit(0)))).withColumn("upto", F.slice(F.collect_list("place").over(ahead), 1, F.coalesce("length", F.lit(0)))).drop("ahead", "end", "words"))
 
-    ranked, _ = suffix_ranks(kept.select(*_DOC, "segment", "seq", "rank"))
+    depth = kept.agg(F.max("length")).first()[0] or 1
+    ranked, _ = suffix_ranks(kept.select(*_DOC, "segment", "seq", "rank"), depth)
     ranked = cut(kept.drop("rank").join(ranked.select(*_DOC, "seq", "rank"), [kept.id.eqNullSafe(ranked.id), kept.hash == ranked.hash, kept.seq == ranked.seq]).select(kept.id, kept.hash, kept.seq, "length", "run", "upto", "rank").filter("length is not null"))
     intervals = _intervals(ranked.groupBy("rank").agg(F.first("run").alias("run")))
     member = ranked.join(intervals, "rank").select(*_DOC, "seq", "upto", "interval")

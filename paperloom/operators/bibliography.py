@@ -11,6 +11,8 @@ from ..functions.text import ref_year
 _INITIALS = r"(?:\p{Lu}\. ?)+"
 _NAME = r"\p{Lu}[\p{L}'\-]+"
 _YEAR = "[12][0-9]{3}"
+#: From an initial on, up to a stop that does not follow one.
+_PEOPLE = r"\p{Lu}\.(?:\b\p{Lu}\.|[^.\"])+"
 
 #: Record styles in the order of preference: how entries begin, and the groups of a whole entry. All patterns are
 #: linear (no look-around, no nested repetition of the same class), so they also run in engines without backtracking.
@@ -21,9 +23,9 @@ STYLES: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "named_year_parens": ("named", rf"^([^0-9(\[]+?) \(({_YEAR})[a-z]?\)[.,:]? ([^.?!]+)[.?!] (.*?)\.?$", ("authors", "year", "title", "venue")),
     "dot_colon": ("dot", rf"^([0-9]+)\. ([^:]+): ([^.]+)\. (.*?),? ?\(({_YEAR})\).*$", ("key", "authors", "title", "venue", "year")),
     "dot_no_title": ("dot", rf"^([0-9]+)\. +({_NAME}, {_INITIALS}(?:; {_NAME}, {_INITIALS})*) ([^0-9]*) ({_YEAR})[.,].*$", ("key", "authors", "venue", "year")),
-    "dot_plain": ("dot", rf"^([0-9]+)\. ({_INITIALS}[^.]+)\. ([^.]+)\. (.*?),? ({_YEAR})\.?$", ("key", "authors", "title", "venue", "year")),
+    "dot_plain": ("dot", rf"^([0-9]+)\. ({_PEOPLE})\. ([^.]+)\. (.*?),? ({_YEAR})\.?$", ("key", "authors", "title", "venue", "year")),
     "bracket_commas": ("bracket", rf"^\[([0-9]+)\] ({_INITIALS}{_NAME}(?:(?:, and|,| and) {_INITIALS}{_NAME})*), ([^,\"]+), (.*?),? \(?({_YEAR})\)?\.?$", ("key", "authors", "title", "venue", "year")),
-    "bracket_plain": ("bracket", rf"^\[([0-9]+)\] ({_INITIALS}[^.\"]+)\. ([^.\"]+)\. (.*?),? ({_YEAR})\.?$", ("key", "authors", "title", "venue", "year")),
+    "bracket_plain": ("bracket", rf"^\[([0-9]+)\] ({_PEOPLE})\. ([^.\"]+)\. (.*?),? ({_YEAR})\.?$", ("key", "authors", "title", "venue", "year")),
     "bracket_name": ("bracket_name", rf"^\[([^\]]*[^\]0-9][^\]]*)\] (.+?)[.,] ([^.,]+)[.,] (?:[Ii]n )?(.*?),? ({_YEAR})\..*$", ("key", "authors", "title", "venue", "year")),
 }
 #: What begins an entry after a line or block mark, with its number.

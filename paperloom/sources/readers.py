@@ -87,7 +87,8 @@ def tei_references(rows: DataFrame, id_col: str, xml_col: str) -> DataFrame:
 
     Title and authors come from the analytic part, else from the monograph, whose title else is the venue.
     """
-    cells = F.regexp_extract_all(xml_col, F.lit("(?s)<biblStruct[^>]*>.*?</biblStruct>"), 0)
+    listed = F.regexp_extract(xml_col, "(?s)<listBibl[^>]*>(.*)</listBibl>", 1)
+    cells = F.regexp_extract_all(listed, F.lit("(?s)<biblStruct[^>]*>.*?</biblStruct>"), 0)
     each = rows.select(F.col(id_col).alias("id"), F.posexplode(cells).alias("n", "cell"))
     each = each.withColumn("b", F.from_xml("cell", _TEI_BIBL))
     article = F.col("b.analytic.title")

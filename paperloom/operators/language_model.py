@@ -55,8 +55,10 @@ def spans(tokens: DataFrame, gaz: DataFrame, most: int = 6) -> DataFrame:
     n = F.size("toks")
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.lit(most), n - i), F.lit(1))), lambda k: F.struct(i.alias("start"), (i + k).alias("stop")))))
-    rows = tokens.filter(n > 0).select("doc_id", "line_no", "toks", F.inline(runs))
-    rows = rows.withColumn("key", gazetteer_key(F.array_join(F.slice("toks", F.col("start") + 1, F.col("stop") - F.col("start")), " ")))
+    keyed = tokens.filter(n > 0).select("doc_id", "line_no", "toks", F.transform("toks", gazetteer_key).alias("keys"))  # each token is cleaned once
+    rows = keyed.select("doc_id", "line_no", "keys", F.inline(runs))
+    parts = F.filter(F.slice("keys", F.col("start") + 1, F.col("stop") - F.col("start")), lambda k: k != "")
+    rows = rows.select("doc_id", "line_no", "start", "stop", F.array_join(parts, " ").alias("key"))
     return rows.join(gaz, "key").select("doc_id", "line_no", "start", "stop", "gazetteer")
 
 

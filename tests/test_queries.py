@@ -1,6 +1,7 @@
 """Every registered query of the document model against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from paperloom.plans import registry
@@ -18,9 +19,9 @@ def duck(sf_dir):
 
 def rows_of(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))

@@ -113,14 +113,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     Lines end at ``\\n`` and are compared unchanged; ``min_words`` is the least number of words of a run. Lines
     without words neither match nor part a run, and stay. Earlier means a smaller id (null first), with equal ids a
     smaller hash of the text, or further up in the same text; rows with the same id and text are one document and
-    get the same text. A null text stays null with 0 lines; an empty one is one line. Empty tables give no rows.
+    get the same text. Columns of ``df`` named like the two counts are replaced. A null text stays null with 0 lines; an empty one is one line. Empty tables give no rows.
     """
-    hashed = df.withColumn("__hash", F.xxhash64(text_col))
-    found = repeated_runs(df, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("hash").alias("__other"), "places")
+    kept_columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    hashed = df.select(*kept_columns).withColumn("__hash", F.xxhash64(text_col))
+    found = repeated_runs(df, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("hash").alias("__other"), F.col("places").alias("__places"))
     joined = hashed.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__other")), "left")
     lines: Column = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
-    text = F.when(F.col("places").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")).withColumn(text_col, text)
-    return out.select(*df.columns, "n_lines", "n_removed")
+    none = F.col("__places").isNull()
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__places")
+    text = F.when(none, F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(none, 0).otherwise(F.size("__places")).cast("long")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept_columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -172,6 +172,9 @@ def test_line_dedup(docs, least):
 def test_line_dedup_rows_alike_and_empty_table(spark, docs):
     alike = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert [r.n_removed for r in line_dedup.dedup_lines(alike).collect()] == [0, 0]
+    clash = alike.withColumns({c: F.lit(9) for c in ("places", "n_lines", "hash", "rank", "seq")})
+    assert line_dedup.dedup_lines(clash).columns == ["doc_id", "text", "places", "hash", "rank", "seq", "n_lines", "n_removed"]
+    assert {r.n_lines for r in line_dedup.dedup_lines(clash).collect()} == {1}
     assert line_dedup.dedup_lines(docs.filter("doc_id < 0")).collect() == []
 
 

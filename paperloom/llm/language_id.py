@@ -74,7 +74,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.25) -> Model:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.12) -> Model:
     """Learn from a bounded sample: of each language the ``per_language`` rows with the smallest hash of the id.
 
     Rows without a language or a letter teach nothing. The sample's vectors stay on the executors: document

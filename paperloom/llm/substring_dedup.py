@@ -112,11 +112,13 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     empty text has no words and keeps the empty string. Rows with the same id are ordered by their texts; a
     null id comes before all others. An empty table gives no rows; extra columns are ignored.
     """
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("bigint", "int"):
+        raise ValueError(f"{id_col} must be a long or an int, not {kind}")
     period = period or min(13, window)
     if not 1 <= period <= window:
         raise ValueError("the period must lie between 1 and the window")
     n = max(1, -(-text_bytes(df, text_col) // chunk_bytes))
-    kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def anchors(key: tuple, rows: pa.Table) -> pa.Table:

@@ -74,20 +74,27 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.12) -> Model:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.12, most_broadcast: int = 50_000) -> Model:
     """Learn from a bounded sample: of each language the ``per_language`` rows with the smallest hash of the id.
 
     Rows without a language or a letter teach nothing. The sample's vectors stay on the executors: document
     frequencies are an aggregate and each language is clustered by its own task; only ``clusters`` centroids a
-    language come back. A text is rejected where its similarity is below ``slack`` times the lowest that a
+    language come back. The chosen ids are broadcast if they are no more than ``most_broadcast``, else joined by a
+    shuffle. A text is rejected where its similarity is below ``slack`` times the lowest that a
     language's own sample has.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id")), "id")
     narrow = train.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    narrow = narrow.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    picked = narrow.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
+    narrow = narrow.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.shiftrightunsigned(F.xxhash64(id_col), 1).alias("h"))
+    narrow = cut(narrow)
+    # of a language with many rows only those with a small hash are ranked: four times as many as wanted, on average
+    likely = F.col("h") < F.least(F.lit(1.0), 4.0 * per_language / F.col("n")) * float(2**63)
+    narrow = narrow.join(narrow.groupBy("lang").agg(F.count("*").alias("n")), "lang").filter(likely)
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    picked = narrow.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("id", "lang")
     texts = train.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = texts.join(picked.distinct(), ["id", "lang"], "left_semi")
+    picked = cut(picked.distinct())
+    few = picked.count() <= most_broadcast  # per_language ids a language: small unless languages are many
+    sample = texts.join(F.broadcast(picked) if few else picked, ["id", "lang"], "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):

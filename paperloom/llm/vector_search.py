@@ -169,7 +169,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (lengths.n if lengths else 0))
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, list_rows: int = 400, block: int = 4096) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, list_rows: int = 400, block: int = 4096, first_lists: int = 3) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query (a row of ``df`` for which ``is_query`` holds of its id
     column) the ``k`` nearest rows found, nearest first, ties to the smaller id.
 
@@ -177,7 +177,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     with its own id; ids that repeat count once. Vectors that are null or zero, hold a null or a non-finite component
     or have another length than most take no part, nor do null ids. A query gets all others if there are no
     more than ``k``. The index is fitted on about ``sample`` rows (those with the smallest hashes); every row
-    is indexed.
+    is indexed. A query reads its ``first_lists`` nearest lists first; the others only send rows that reach the
+    ``k``-th score found there.
     """
     rows = usable(df, id_col, vector_col)
     n, longest = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
@@ -231,37 +232,55 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
 
     asked = placed.select("id", "v").withColumn(id_col, F.col("id")).filter(is_query).select("id", "v").dropDuplicates(["id"])
     asked = cut(asked.mapInArrow(aim, "id long, v array<double>, lists array<int>"))
-    asked = asked.select("id", "v", F.explode("lists").alias("list"))
-    wanted = np.zeros(lists, np.int64)
-    for r in asked.groupBy("list").count().collect():  # a row a list
-        wanted[r.list] = r["count"]
-    q_blocks = np.maximum(1, -(-wanted // 1024))
-    at = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("list")) if lists else F.lit(1)
-    n_blocks, n_q = at(blocks), at(q_blocks)
-    posted = posted.select("list", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), n_q - 1)).alias("q_block"), "id", "v")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), n_q).cast("int").alias("q_block"), "id", "v")
+    at = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("list"))
+    n_blocks = at(blocks)
     keys = ["list", "block", "q_block"]
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        queries: list[np.ndarray] = []
+        """Of each query in turn the block's rows from its bound on, the best ``k`` of them."""
+        parts: list[np.ndarray] = []
         if left.num_rows and right.num_rows:
-            ids, v = np.asarray(left.column("id")), np.ascontiguousarray(_matrix(left.column("v"), dim))
-            ids, first = np.unique(ids, return_index=True)
-            v = v[first]
-            for q_id, q in zip(np.asarray(right.column("id")), _matrix(right.column("v"), dim), strict=True):
-                rough = v @ q
-                rough[ids == q_id] = -np.inf
-                if len(rough) > k:
-                    edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-                    near = np.flatnonzero(rough >= edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else rough > -np.inf)
-                else:
-                    near = np.flatnonzero(rough > -np.inf)
-                exact = (v[near] * q).sum(axis=1)  # the same sum for equal vectors, wherever they stand
-                best = np.lexsort((ids[near], -exact))[:k]
-                queries.append(np.array([np.full(len(best), q_id), ids[near][best], exact[best].view(np.int64)]))
-        q, v_id, bits = np.concatenate(queries, axis=1) if queries else np.zeros((3, 0), np.int64)
-        return pa.table({"query_id": q, "vec_id": v_id, "score": np.ascontiguousarray(bits).view(np.float64)})
-
-    found = posted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+            ids, v = np.asarray(left.column("id")), _matrix(left.column("v"), dim)
+            ids, once = np.unique(ids, return_index=True)
+            v = np.ascontiguousarray(v[once])
+            q_ids, q = np.asarray(right.column("id")), _matrix(right.column("v"), dim)
+            bound = np.asarray(right.column("bound"), np.float64)
+            for s in range(0, len(q), 256):
+                rough = q[s : s + 256] @ v.T
+                rough[q_ids[s : s + 256, None] == ids] = -np.inf
+                edge = bound[s : s + 256]
+                if len(ids) > k:  # at least the block's own k-th best
+                    edge = np.maximum(edge, np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k])
+                slack = np.where(np.isfinite(edge), 1e-9 * (1 + np.abs(edge)), 0.0)
+                row, col = np.nonzero((rough >= (edge - slack)[:, None]) & (rough > -np.inf))
+                exact = (v[col] * q[s + row]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
+                good = exact >= bound[s + row]
+                row, col, exact = row[good], col[good], exact[good]
+                order = np.lexsort((ids[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best = place < k
+                parts.append(np.array([q_ids[s + row[best]], ids[col[best]], exact[best].view(np.int64)]))
+        q_id, v_id, bits = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+        return pa.table({"query_id": q_id, "vec_id": v_id, "score": np.ascontiguousarray(bits).view(np.float64)})
+
+    def read(wanted: DataFrame) -> DataFrame:
+        """Rows of the lists that ``id, v, bound, lists`` ask for; large lists and many queries of a list are dealt in blocks."""
+        wanted = cut(wanted.select("id", "v", "bound", F.explode("lists").alias("list")))
+        counts = np.zeros(lists, np.int64)
+        for r in wanted.groupBy("list").count().collect():  # a row a list
+            counts[r.list] = r["count"]
+        n_q = at(np.maximum(1, -(-counts // 1024)))
+        stored = posted.select("list", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), n_q - 1)).alias("q_block"), "id", "v")
+        wanted = wanted.select("list", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), n_q).cast("int").alias("q_block"), "id", "v", "bound")
+        return stored.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # the nearest lists first: what they give bounds what the others have to send
+    near = cut(best(read(asked.select("id", "v", F.lit(float("-inf")).alias("bound"), F.slice("lists", 1, first_lists).alias("lists")))))
+    bounds = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    rest = asked.select("id", "v", F.slice("lists", first_lists + 1, F.greatest(F.size("lists"), F.lit(1))).alias("lists")).filter(F.size("lists") > 0)
+    far = read(rest.join(bounds, "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), "lists"))
+    both = near.drop("rank").unionByName(far).dropDuplicates(["query_id", "vec_id"])
+    return best(both).select("query_id", "rank", "vec_id", "score")

@@ -79,8 +79,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     Rows without a language or a letter teach nothing. The sample's vectors stay on the executors: document
     frequencies are an aggregate and each language is clustered by its own task; only ``clusters`` centroids a
-    language come back. The chosen ids are broadcast if they are no more than ``most_broadcast``, else joined by a
-    shuffle. A text is rejected where its similarity is below ``slack`` times the lowest that a
+    language come back. The chosen ids, and the counts of the languages, are broadcast if they are no more than
+    ``most_broadcast``, else joined by a shuffle. A text is rejected where its similarity is below ``slack`` times the lowest that a
     language's own sample has.
     """
     narrow = train.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -88,7 +88,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     narrow = cut(narrow)
     # of a language with many rows only those with a small hash are ranked: four times as many as wanted, on average
     likely = F.col("h") < F.least(F.lit(1.0), 4.0 * per_language / F.col("n")) * float(2**63)
-    narrow = narrow.join(narrow.groupBy("lang").agg(F.count("*").alias("n")), "lang").filter(likely)
+    held = cut(narrow.groupBy("lang").agg(F.count("*").alias("n")))
+    narrow = narrow.join(F.broadcast(held) if held.count() <= most_broadcast else held, "lang").filter(likely)
     order = Window.partitionBy("lang").orderBy("h", "id")
     picked = narrow.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("id", "lang")
     texts = train.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

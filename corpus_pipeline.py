@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import byte_bpe, language_id, line_dedup, simhash_dedup
+from paperloom.llm import byte_bpe, language_id, line_dedup, shingle_similarity, simhash_dedup
 from paperloom.llm.common import shared_folder
 from paperloom.llm.queries import mixed
 
@@ -35,8 +35,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = simhash_dedup.near_duplicates(docs, size=3, k=2)
+    """The document with the smallest id of each group of near duplicates.
+
+    Documents link at two or fewer differing bits of the SimHash, or if their sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more.
+    """
+    groups = simhash_dedup.near_duplicates(docs, size=3, k=2)
+    found = shingle_similarity.merge(groups, shingle_similarity.links(docs, size=5, least=0.8))
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 

@@ -1,11 +1,13 @@
 """The corpus pipeline against its stages' brute-force forms."""
 
 import hashlib
+import itertools
+import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from paperloom.llm import queries
+from paperloom.llm import queries, shingle_similarity
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
@@ -37,3 +39,44 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 
 def test_registered_names():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_copies_of_five_word_similarity_are_dropped(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    rows, cut_off = [], 1000
+    for g in range(30):
+        base = [word() for _ in range(120)]
+        other = list(base)
+        other[20 + g] = word()
+        other[80] = word()  # 106 of 126 five-word shingles in common: 0.84
+        far = list(base)
+        for at in (10, 30, 50, 70, 90):
+            far[at] = word()  # 91 of 141: 0.65
+        rows += [(g, " ".join(base)), (cut_off + g, " ".join(other)), (2 * cut_off + g, " ".join(far))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept & set(range(cut_off)) == set(range(30))
+    assert not kept & set(range(cut_off, 2 * cut_off))
+    assert len(kept & set(range(2 * cut_off, 3 * cut_off))) >= 29  # these are far in shingles and in bits
+
+
+def test_similarity_links_join_what_all_pairs_join(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    near = [(10_000 + i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])) for i in range(40) for at in [r.randrange(100)]]
+    docs = docs.union(spark.createDataFrame([*near, (20_000, None), (20_001, " ")], "doc_id long, text string"))
+    sets = {x.doc_id: shingle_similarity.shingle_set((x.text or "").encode(), 5) for x in docs.collect()}
+
+    def components(pairs):
+        root = {i: i for i in sets}
+        find = lambda i: i if root[i] == i else find(root[i])
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {i: find(i) for i in sets}
+
+    want = components((a, b) for a, b in itertools.combinations(sorted(sets), 2) if shingle_similarity.similarity(sets[a], sets[b]) >= 0.8)
+    for max_cell in (64, 4):  # pairs; stars and what they leave
+        assert components((x.a, x.b) for x in shingle_similarity.links(docs, max_cell=max_cell).collect()) == want

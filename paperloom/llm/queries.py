@@ -12,7 +12,7 @@ from .common import cut, table
 
 def op1_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings are the bytes of whole texts, played as 8-bit samples; every hundredth id is looked up."""
-    prints = audio_fingerprint.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", rate=8000, frame=512, hop=128)
+    prints = audio_fingerprint.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", rate=8000, frame=512, hop=128, least_codes=3)
     return audio_fingerprint.align(prints, F.col("id") % 100 == 0, run=2, least_votes=2)
 
 

@@ -350,3 +350,16 @@ def test_box_sums_match_direct_sums():
             level = int(a * 9 > b * 8) + int(a > b) + int(a * 8 > b * 9)
             code |= (level ^ level >> 1) << 2 * i
         assert got[place] == code
+
+
+def test_audio_short_recordings_align(spark):
+    r = np.random.default_rng(8)
+    say = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    tiny, short = say(9), say(1500)
+    rows = [(0, tiny), (1, tiny), (2, short), (3, short), (4, say(9)), (5, say(1500)), (6, b""), (7, None)]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "doc_id long, sound binary")
+    prints = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3)
+    assert {x.id: len(x.codes) for x in prints.collect()} == {i: 3 if b else 0 for i, b in rows}
+    found = {(x.query_id, x.match_id): x.bit_error for x in audio_fingerprint.align(prints, F.col("id") > 0, run=2, least_votes=2).collect()}
+    assert {k: found[k] for k in [(1, 0), (3, 2), (2, 2)]} == {(1, 0): 0, (3, 2): 0, (2, 2): 0}
+    assert not {(4, 0), (5, 2), (6, 7)} & set(found)

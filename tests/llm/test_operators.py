@@ -363,3 +363,18 @@ def test_audio_short_recordings_align(spark):
     found = {(x.query_id, x.match_id): x.bit_error for x in audio_fingerprint.align(prints, F.col("id") > 0, run=2, least_votes=2).collect()}
     assert {k: found[k] for k in [(1, 0), (3, 2), (2, 2)]} == {(1, 0): 0, (3, 2): 0, (2, 2): 0}
     assert not {(4, 0), (5, 2), (6, 7)} & set(found)
+
+
+def test_audio_passages_align_at_any_shift(spark):
+    r = np.random.default_rng(9)
+    say = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    shared, text = say(4000), say(9000)
+    rows = [(0, say(3001) + shared + say(5000)), (1, say(777) + shared + say(9000)), (2, text), (3, text[:3000] + b"inserted" + text[3000:]), (4, say(9000))]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, sound binary")
+    prints = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3)
+    shifted = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3, phases=128)
+    found = {(x.query_id, x.match_id): x for x in audio_fingerprint.align(prints, F.lit(True), run=2, least_votes=2, shifted=shifted).collect()}
+    assert set(found) == {(0, 1), (1, 0), (2, 3), (3, 2)}
+    assert 128 * found[0, 1].offset - found[0, 1].phase == 777 - 3001 and 128 * found[1, 0].offset - found[1, 0].phase == 3001 - 777
+    assert 128 * found[2, 3].offset - found[2, 3].phase == 8
+    assert all(x.bit_error < 0.2 for x in found.values())

@@ -20,6 +20,13 @@ from paperloom.llm.queries import mixed
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """Add ``row``, which tells rows apart that have no id or share one: smallest ids first, none last, then by text."""
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    return docs.withColumn("row", row)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; learned from those that are not held out."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
@@ -38,18 +45,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near duplicates.
 
     Documents link at two or fewer differing bits of the SimHash, or if their sets of five-word shingles have a
-    Jaccard similarity of 0.8 or more.
+    Jaccard similarity of 0.8 or more. Different texts that share an id, or have none, are documents of their own;
+    a group keeps one without an id only if none of it has any.
     """
-    groups = simhash_dedup.near_duplicates(docs, size=3, k=2)
-    found = shingle_similarity.merge(groups, shingle_similarity.links(docs, size=5, least=0.8))
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = with_row(docs)
+    groups = simhash_dedup.near_duplicates(docs, "row", size=3, k=2)
+    found = shingle_similarity.merge(groups, shingle_similarity.links(docs, "row", size=5, least=0.8), "row")
+    keep = found.filter(F.col("row") == F.col("component_id")).select("row").distinct()
+    return docs.join(keep, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixed(docs, spark, sf_dir).filter("epochs > 0").select("doc_id", "epochs")
-    return docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*COLUMNS)
+    """Each document as often as the mix takes it; different texts that share an id, or have none, are told apart."""
+    docs = with_row(docs)
+    taken = mixed(docs, spark, sf_dir, "row").filter("epochs > 0").select("row", "epochs")
+    return docs.join(taken, "row").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*COLUMNS)
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,9 +54,9 @@ def quality_weights(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
     return rows.join(labels, "doc_id", "left").withColumn("quality", F.when(F.col("label") == 1, 2.0).when(F.col("label") == 0, 0.5).otherwise(1.0)).drop("label")
 
 
-def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.mix(quality_weights(cut(sizes), spark, sf_dir), size=F.col("size"), weight=F.col("quality"))
+def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str, id_col: str = "doc_id") -> DataFrame:
+    sizes = docs.select(*dict.fromkeys([id_col, "doc_id"]), "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(quality_weights(cut(sizes), spark, sf_dir), id_col, size=F.col("size"), weight=F.col("quality"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

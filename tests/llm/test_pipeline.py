@@ -80,3 +80,16 @@ def test_similarity_links_join_what_all_pairs_join(spark, sf_dir):
     want = components((a, b) for a, b in itertools.combinations(sorted(sets), 2) if shingle_similarity.similarity(sets[a], sets[b]) >= 0.8)
     for max_cell in (64, 4):  # pairs; stars and what they leave
         assert components((x.a, x.b) for x in shingle_similarity.links(docs, max_cell=max_cell).collect()) == want
+
+
+def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(60))
+    a, b, c, d, e, g = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, e), (None, e), (3, g)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (2, e), (3, g)], key=str)
+    taken = corpus_pipeline.mix_sources(spark, out.withColumn("source", F.concat(F.lit("s"), F.crc32("text"))), sf_dir).collect()
+    sizes = {t: sum(x.text == t for x in taken) for t in (a, b, c, d, e, g)}
+    assert all(0 < n <= 3 for n in sizes.values())

@@ -15,7 +15,7 @@ def op1_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, how = table(spark, sf_dir, "documents"), {"rate": 8000, "frame": 512, "hop": 128, "least_codes": 3}
     prints = audio_fingerprint.fingerprints(docs, "doc_id", "text", **how)
     shifted = audio_fingerprint.fingerprints(docs.filter("doc_id % 100 = 0"), "doc_id", "text", phases=128, **how)
-    return audio_fingerprint.align(prints, F.col("id") % 100 == 0, run=2, least_votes=2, shifted=shifted)
+    return audio_fingerprint.align(prints, F.col("id") % 100 == 0, shifted, hop=128, run=3).withColumnRenamed("id", "doc_id")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

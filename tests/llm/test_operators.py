@@ -308,6 +308,49 @@ def test_vector_search(spark):
     assert vector_search.search(df.filter("vec_id < 0"), F.col("vec_id") % 2 == 0).collect() == []
 
 
+def brute_align(prints, shifted, queries, hop, run=3):
+    """Groups by all pairs of queries and recordings that share a landmark, and the shifts at which each pair shares one."""
+    marks = lambda codes: {tuple(codes[i : i + run]): i for i in reversed(range(len(codes) - run + 1))}
+    rows = [(r.id, r.key, r.codes) for r in prints]
+    root = {k: k for _, k, _ in rows if k is not None}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    shifts = {}
+    for q in shifted:
+        for _, key, codes in rows:
+            if q.id in queries and q.key is not None and key is not None and key != q.key and len(q.codes) >= run:
+                own = marks(q.codes)
+                at = {hop * (i - j) - q.phase for i in range(len(codes) - run + 1) for w, j in [(tuple(codes[i : i + run]), own.get(tuple(codes[i : i + run])))] if j is not None}
+                if at:
+                    shifts.setdefault((q.key, key), set()).update(at)
+                    root[find(q.key)] = find(key)
+    least = {}
+    for i, k, _ in rows:
+        if k is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, i if k is None else least[find(k)]) for i, k, _ in rows), shifts
+
+
+def check_align(prints, shifted, is_query, queries, hop=128):
+    got = audio_fingerprint.align(prints, is_query, shifted, hop).collect()
+    rows = prints.collect()
+    groups, shifts = brute_align(rows, (shifted if shifted is not None else prints).collect(), queries, hop)
+    assert sorted((r.id, r.group_id) for r in got) == groups
+    keys = {}
+    for r in rows:
+        keys.setdefault(r.id, r.key)
+    for r in got:
+        if r.partner_id is not None:
+            a, b = keys[r.id], keys[r.partner_id]
+            assert r.shift in shifts.get((a, b), set()) | {-x for x in shifts.get((b, a), set())}
+            assert r.votes >= 1 and r.bit_error <= 0.35
+    return {r.id: r for r in got}
+
+
 def test_audio_fingerprints_align(spark):
     r = np.random.default_rng(2)
     t = np.arange(8000 * 6) / 8000
@@ -315,17 +358,47 @@ def test_audio_fingerprints_align(spark):
     pcm = (128 + 20 * tune).clip(0, 255).astype(np.uint8)
     noise = lambda n: r.integers(0, 256, n).astype(np.uint8)
     soft = (pcm.astype(int) + r.integers(-2, 3, len(pcm))).clip(0, 255).astype(np.uint8)
-    rows = [(0, pcm.tobytes()), (1, pcm.tobytes()), (2, noise(20000).tobytes() + b""), (3, np.concatenate([noise(128 * 50), pcm[:30000]]).tobytes()), (4, soft.tobytes()), (5, None), (6, b""), (7, b"short"), (None, pcm.tobytes())]
-    prints = audio_fingerprint.fingerprints(spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "doc_id long, sound binary"), "doc_id", "sound")
+    rows = [(0, pcm.tobytes()), (1, pcm.tobytes()), (2, noise(20000).tobytes() + b""), (3, np.concatenate([noise(128 * 50), pcm[:30000]]).tobytes()), (4, soft.tobytes()), (5, None), (6, b""), (7, b"short")]
+    prints = audio_fingerprint.fingerprints(spark.createDataFrame([(i, bytearray(b) if b is not None else None, "x", 1) for i, b in rows], "doc_id long, sound binary, id string, phase int"), "doc_id", "sound")
     sizes = {r.id: len(r.codes) for r in prints.collect()}
     assert sizes[5] == sizes[6] == sizes[7] == 0 and sizes[0] == (len(pcm) - 512) // 128 + 1 - audio_fingerprint.SPAN + 1
-    found = {(r.query_id, r.match_id): r for r in audio_fingerprint.align(prints, F.col("id").isin(0, 1, 3, 5), run=2, least_votes=2).collect()}
-    assert found[1, 0].offset == 0 and found[1, 0].bit_error == 0
-    assert found[3, 0].offset == -50 and found[3, 0].bit_error < 0.2
-    assert found[0, 4].offset == 0 and (0, 2) not in found
+    found = check_align(prints, None, F.col("id").isin(0, 1, 3, 5), {0, 1, 3, 5})
+    assert (found[1].class_id, found[1].group_id, found[3].group_id, found[4].group_id, found[2].group_id) == (0, 0, 0, 0, 2)
+    assert found[3].partner_id in (0, 4) and found[3].shift == -50 * 128 and found[3].bit_error < 0.2
+    assert found[4].partner_id in (0, 3) and found[5].group_id == 5 and found[5].partner_id is None
     assert audio_fingerprint.align(prints.filter("id < 0"), F.col("id") == 0).collect() == []
 
 
+def test_audio_null_and_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    say = lambda n: bytearray(r.integers(97, 123, n).astype(np.uint8).tobytes())
+    a, b = say(4000), say(4000)
+    prints = audio_fingerprint.fingerprints(spark.createDataFrame([(None, a), (3, a), (3, b), (3, b), (9, None), (None, say(3000))], "doc_id long, sound binary"), "doc_id", "sound")
+    got = audio_fingerprint.align(prints, F.coalesce(F.col("id") > 0, F.lit(False))).collect()
+    assert sorted((order(x.id), order(x.class_id), order(x.group_id)) for x in got) == [(-1, -1, -1), (-1, 3, 3), (3, 3, 3), (3, 3, 3), (3, 3, 3), (9, 9, 9)]
+
+
+def test_audio_groups_equal_all_pairs(spark):
+    """A group of near copies, a passage that many share, ties between offsets."""
+    r = np.random.default_rng(7)
+    say = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes()
+    base, passage, rows = say(6000), say(3000), []
+    for i in range(40):  # near copies: one word each
+        at = int(r.integers(0, 6000))
+        rows.append((len(rows), base[:at] + say(8) + base[at:]))
+    for _ in range(12):
+        rows.append((len(rows), say(int(r.integers(100, 3000))) + passage + say(int(r.integers(100, 3000)))))
+    rows += [(len(rows) + i, say(5000)) for i in range(5)] + [(100, passage + passage), (101, passage), (102, passage), (103, base[:3000] + passage), (104, say(9) * 900), (105, say(9) * 900)]
+    rows += [(106, rows[-1][1][3:])]
+    docs = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, sound binary").repartition(3)
+    prints = audio_fingerprint.fingerprints(docs, "doc_id", "sound", least_codes=3).cache()
+    queries = {i for i, _ in rows if i % 5 == 1}
+    shifted = audio_fingerprint.fingerprints(docs.filter("doc_id % 5 = 1"), "doc_id", "sound", least_codes=3, phases=128).cache()
+    found = check_align(prints, shifted, F.col("id") % 5 == 1, queries)
+    assert len({found[i].group_id for i in range(12)}) == 1 and found[101].class_id == found[102].class_id == 101
+    assert found[106].group_id == found[105].group_id
+
+
 def test_box_sums_match_direct_sums():
     chroma = np.random.default_rng(4).integers(0, 256, (40, 12))
     got = audio_fingerprint.codes(chroma)
@@ -360,9 +433,8 @@ def test_audio_short_recordings_align(spark):
     df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "doc_id long, sound binary")
     prints = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3)
     assert {x.id: len(x.codes) for x in prints.collect()} == {i: 3 if b else 0 for i, b in rows}
-    found = {(x.query_id, x.match_id): x.bit_error for x in audio_fingerprint.align(prints, F.col("id") > 0, run=2, least_votes=2).collect()}
-    assert {k: found[k] for k in [(1, 0), (3, 2), (2, 2)]} == {(1, 0): 0, (3, 2): 0, (2, 2): 0}
-    assert not {(4, 0), (5, 2), (6, 7)} & set(found)
+    found = check_align(prints, None, F.col("id") > 0, {1, 2, 3, 4, 5, 6, 7})
+    assert {i: (x.class_id, x.group_id) for i, x in found.items()} == {0: (0, 0), 1: (0, 0), 2: (2, 2), 3: (2, 2), **{i: (i, i) for i in range(4, 8)}}
 
 
 def test_audio_passages_align_at_any_shift(spark):
@@ -373,8 +445,7 @@ def test_audio_passages_align_at_any_shift(spark):
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, sound binary")
     prints = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3)
     shifted = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3, phases=128)
-    found = {(x.query_id, x.match_id): x for x in audio_fingerprint.align(prints, F.lit(True), run=2, least_votes=2, shifted=shifted).collect()}
-    assert set(found) == {(0, 1), (1, 0), (2, 3), (3, 2)}
-    assert 128 * found[0, 1].offset - found[0, 1].phase == 777 - 3001 and 128 * found[1, 0].offset - found[1, 0].phase == 3001 - 777
-    assert 128 * found[2, 3].offset - found[2, 3].phase == 8
-    assert all(x.bit_error < 0.2 for x in found.values())
+    found = check_align(prints, shifted, F.lit(True), {0, 1, 2, 3, 4})
+    assert {i: x.partner_id for i, x in found.items()} == {0: 1, 1: 0, 2: 3, 3: 2, 4: None}
+    assert abs(found[0].shift - (777 - 3001)) <= 64 and abs(found[1].shift - (3001 - 777)) <= 64
+    assert found[2].shift == 8 and all(x.bit_error < 0.2 for i, x in found.items() if i != 4)

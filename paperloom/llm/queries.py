@@ -98,20 +98,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
         n AS (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS words FROM e),
-        s AS (
-            SELECT *, row_number() OVER d AS seq, sum(words) OVER d AS upto
-            FROM n WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+        s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM n WHERE words > 0),
+        same AS (
+            SELECT a.doc_id, a.pos, a.seq, a.words, b.doc_id AS other, a.seq - b.seq AS apart
+            FROM s a JOIN s b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq))
         ),
-        r AS (
-            SELECT a.doc_id, a.seq, min(b.seq) AS stop FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.upto >= a.upto - a.words + 5
-            GROUP BY a.doc_id, a.seq
-        ),
-        runs AS (
-            SELECT r.doc_id, r.seq, r.stop, md5(string_agg(s.line, chr(10) ORDER BY s.seq)) AS h
-            FROM r JOIN s ON r.doc_id = s.doc_id AND s.seq BETWEEN r.seq AND r.stop GROUP BY r.doc_id, r.seq, r.stop
-        ),
-        f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, seq) AS k FROM runs),
-        gone AS (SELECT DISTINCT s.doc_id, s.pos FROM f JOIN s ON f.doc_id = s.doc_id AND s.seq BETWEEN f.seq AND f.stop WHERE k > 1),
+        runs AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, other, apart ORDER BY seq) AS run FROM same),
+        long AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, other, apart, run) AS total FROM runs),
+        gone AS (SELECT DISTINCT doc_id, pos FROM long WHERE total >= 5),
         kept AS (
             SELECT doc_id, count(gone.pos) AS n_removed, string_agg(line, chr(10) ORDER BY e.pos) FILTER (WHERE gone.pos IS NULL) AS kept
             FROM e LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id

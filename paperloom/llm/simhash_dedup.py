@@ -2,14 +2,15 @@
 
 A 64-bit fingerprint is embedded as 32 counts of ones, one for each segment of two bits. The Manhattan
 distance of two embeddings never exceeds the Hamming distance of the fingerprints. The counts span a
-grid; two points at a distance of at most ``k`` have equal counts in all but ``k`` of ``k + 2`` slabs of
-coordinates, so they meet in a cell of at least one pair of slabs. Cells give candidates, the Manhattan
-distance prunes them and the Hamming distance decides.
+grid. Two points at a distance of at most ``k`` have equal counts in all but ``k`` of ``k + 4`` slabs of
+coordinates, so they meet in a cell that fixes four slabs (21 counts for k = 2) and leaves ``k`` free. In a cell the
+Manhattan distance over the free coordinates prunes the pairs and the Hamming distance decides.
 
 Equal fingerprints are collapsed before any join. A cell that holds more than ``max_cell`` different
-fingerprints is not paired off: its members are linked through *masked* keys instead (the fingerprint
-with ``k`` of the bits that vary in the cell set to zero). Members with the same masked key differ in at
-most those bits, so a star to the smallest member loses no component; the work is linear in the members.
+fingerprints is split in the same way: its free coordinates make up slabs of which ``k`` stay free, until only ``k``
+coordinates are. Only a cell that is crowded even then, where the counts agree and bits are swapped within segments,
+links its members through *masked* keys (the fingerprint with ``k`` of the bits that vary in the cell set to zero): members
+with the same masked key differ in at most those bits, so a star to the smallest loses no component.
 """
 
 from __future__ import annotations
@@ -85,52 +86,79 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
 
-def _counts(fp: Column) -> tuple[Column, Column]:
-    """The 32 segment counts: as twos (bit 1 of a count) and ones (bit 0), at the even places of a long."""
-    even = F.lit(0x5555555555555555)
+_EVEN = 0x5555555555555555
+
+
+def _counts(fp: Column) -> Column:
+    """The 32 segment counts, each as two bits of a long."""
     upper = F.shiftrightunsigned(fp, 1)
-    return fp.bitwiseAND(upper).bitwiseAND(even), fp.bitwiseXOR(upper).bitwiseAND(even)
+    twos = fp.bitwiseAND(upper).bitwiseAND(F.lit(_EVEN))
+    return F.shiftleft(twos, 1).bitwiseOR(fp.bitwiseXOR(upper).bitwiseAND(F.lit(_EVEN)))
 
 
 def manhattan(a: Column, b: Column) -> Column:
     """Manhattan distance of two embeddings."""
-    (a2, a1), (b2, b1) = _counts(a), _counts(b)
-    apart = F.bit_count(a1.bitwiseXOR(b1))
-    return apart + 2 * F.bit_count(a2.bitwiseXOR(b2).bitwiseAND(F.bitwise_not(a1.bitwiseOR(b1))))
+    a, b = _counts(a), _counts(b)
+    ones = lambda x: x.bitwiseAND(F.lit(_EVEN))
+    twos = lambda x: F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_EVEN))
+    apart = F.bit_count(ones(a).bitwiseXOR(ones(b)))
+    return apart + 2 * F.bit_count(twos(a).bitwiseXOR(twos(b)).bitwiseAND(F.bitwise_not(ones(a).bitwiseOR(ones(b)))))
 
 
-def _slab_masks(k: int) -> list[int]:
-    """For each pair of the k + 2 slabs of coordinates, the mask of its segments' even places."""
-    slabs = [sum(1 << 2 * s for s in range(32) if s * (k + 2) // 32 == j) for j in range(k + 2)]
-    return [a | b for a, b in combinations(slabs, 2)]
+def _splits(free: tuple[int, ...], k: int) -> list[tuple[int, ...]]:
+    """For each choice of ``k`` of the k + 4 slabs of the free coordinates (of as many as there are): those in them."""
+    m = min(k + 4, len(free))
+    slabs = [tuple(s for i, s in enumerate(free) if i * m // len(free) == j) for j in range(m)]
+    return [tuple(sorted(sum(some, ()))) for some in combinations(slabs, k)]
 
 
-def links(prints: DataFrame, k: int = 2, max_cell: int = 64) -> DataFrame:
-    """Edges ``(a, b)`` between different values of the column ``fp`` whose components are those of all
-    pairs at a Hamming distance of at most ``k``. ``prints`` holds each fingerprint once."""
-    twos, ones = _counts(F.col("fp"))
-    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
-    cells = [F.struct(F.lit(i).alias("slab"), twos.bitwiseAND(signed(m)).alias("twos"), ones.bitwiseAND(signed(m)).alias("ones")) for i, m in enumerate(_slab_masks(k))]
-    keyed = prints.select("fp", F.explode(F.array(*cells)).alias("cell"))
-    sizes = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying")).filter("n > 1")
-    crowded = cut(keyed.join(sizes, "cell"))
+def _mask(coordinates: tuple[int, ...]) -> int:
+    """Both bits of the counts, as a signed long."""
+    mask = sum(3 << 2 * s for s in coordinates)
+    return mask - (1 << 64) if mask >> 63 else mask
+
 
-    small = crowded.filter(F.col("n") <= max_cell)
-    pairs = small.select("cell", F.col("fp").alias("a")).join(small.select("cell", F.col("fp").alias("b")), "cell")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (manhattan(F.col("a"), F.col("b")) <= k) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k))
+def _in_cells(points: DataFrame) -> DataFrame:
+    """``fp, free, counts``: each point in the cell that leaves the coordinates of ``free`` open."""
+    return points.select("fp", "free", _counts(F.col("fp")).bitwiseAND(F.bitwise_not("free")).alias("counts"))
 
+
+def _masked(crowded: DataFrame, k: int) -> DataFrame:
+    """Stars that join what lies within ``k`` bits in each cell (``fp, free, counts, varying``); a row a fingerprint is masked."""
+    crowded = crowded.groupBy("fp").agg(F.bit_or("varying").alias("varying"))
     places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("varying", i) == 1)
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    masks = F.transform(places, bit)
+    masks = F.transform(places, bit)  # of one to k bits: what varies for one of two fingerprints need not vary for the other
     for _ in range(k - 1):
         masks = F.array_distinct(F.flatten(F.transform(masks, lambda m: F.transform(places, lambda i: m.bitwiseOR(bit(i))))))
-    # a mask of k bits covers each smaller one, so only full masks are needed unless fewer bits vary
-    masks = F.filter(masks, lambda m: F.bit_count(m) == F.least(F.lit(k), F.size(places)))
-    large = crowded.filter(F.col("n") > max_cell).select("fp", "cell", F.explode(masks).alias("mask"))
-    large = large.select("fp", "mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("masked")).distinct()
-    least = large.groupBy("mask", "masked").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z")
-    stars = large.join(least.drop("z"), ["mask", "masked"]).filter("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.select("a", "b").union(stars).distinct()
+    keyed = crowded.select("fp", F.explode(masks).alias("mask"))
+    keyed = keyed.select("fp", "mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("masked")).distinct()
+    least = cut(keyed.groupBy("mask", "masked").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z"))
+    return keyed.join(least, ["mask", "masked"]).filter("a < fp").select("a", F.col("fp").alias("b"))
+
+
+def links(prints: DataFrame, k: int = 2, max_cell: int = 64) -> DataFrame:
+    """Edges ``(a, b)`` between different values of the column ``fp`` whose components are those of all
+    pairs at a Hamming distance of at most ``k``. ``prints`` holds each fingerprint once."""
+    spark, cell = prints.sparkSession, ["free", "counts"]
+    level, found = [tuple(range(32))], None
+    keyed = prints.select("fp", F.explode(F.array(*[F.lit(_mask(f)) for f in _splits(level[0], k)])).alias("free"))
+    while True:
+        keyed = _in_cells(keyed)
+        sizes = cut(keyed.groupBy(*cell).agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying")).filter("n > 1"))
+        shared = cut(keyed.join(sizes, cell))
+        small, crowded = shared.filter(F.col("n") <= max_cell), shared.filter(F.col("n") > max_cell)
+        pairs = small.select(*cell, F.col("fp").alias("a")).join(small.select(*cell, F.col("fp").alias("b")), cell)
+        pairs = pairs.filter((F.col("a") < F.col("b")) & (manhattan(F.col("a"), F.col("b")) <= k) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k)).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        if crowded.isEmpty():
+            return found.distinct()
+        level = list(dict.fromkeys(f for parent in level for f in _splits(parent, k)))
+        if all(len(f) <= k for f in level):
+            return found.union(_masked(crowded, k)).distinct()
+        finer = [(_mask(f), [_mask(x) for x in _splits(f, k)]) for f in level]  # some hundred rows, whatever the input
+        finer = F.broadcast(spark.createDataFrame(finer, "free long, parts array<long>"))
+        keyed = crowded.join(finer, "free").select("fp", F.explode("parts").alias("free")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, k: int = 2, max_cell: int = 64) -> DataFrame:

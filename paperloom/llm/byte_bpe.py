@@ -18,6 +18,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import by_bytes
@@ -123,12 +124,33 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+@cache
+def _unlike() -> dict[int, str]:
+    """The code points that the library's pattern engine and ours, of different Unicode versions, put in different
+    classes, and for each a character of the library's class: letters, numbers, white space, others."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+
+    def chosen(pattern: str) -> tuple[set[str], set[str]]:
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        return set(library.decode(library.encode_ordinary(every))), set(regex.findall(pattern, every))
+
+    found, unlike = {}, set()
+    for pattern, like in ((r"\s", "\t"), (r"\p{N}", "0"), (r"\p{L}", "a")):
+        theirs, ours = chosen(pattern)
+        unlike |= theirs ^ ours
+        found |= dict.fromkeys(theirs, like)
+    return {ord(c): found.get(c, "!") for c in unlike}
+
+
 class Codec:
     """Encodes and decodes texts; remembers up to ``memo`` different segments."""
 
     def __init__(self, path: str, pattern: str, memo: int = 400_000):
         self.merges = _merges(path)
         self.pattern = regex.compile(pattern)
+        self.unlike = _unlike()
+        self.rare = re.compile("[" + "".join(map(re.escape, map(chr, self.unlike))) + "]") if self.unlike else re.compile("(?!)")
         self.memo = memo
         self.known: dict[str, str] = {}  # the ids, as decimals, of a space and the key
         self.odd: dict[str, bytes] = {}  # what they decode to, where that isn't a space and the key
@@ -136,9 +158,15 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.merges.pieces.__getitem__, ids))
 
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern as the library finds them."""
+        if not self.rare.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.unlike))]
+
     def encode_segments(self, segments: list[str]) -> list[list[int]]:
         """Ids of each segment; each different word of them is folded once."""
-        split = list(map(self.pattern.findall, segments))
+        split = list(map(self.split, segments))
         words = list(set().union(*split))
         ids = dict(zip(words, fold([w.encode() for w in words], self.merges), strict=True))
         return [ids[parts[0]] if len(parts) == 1 else [i for w in parts for i in ids[w]] for parts in split]

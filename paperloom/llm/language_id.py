@@ -37,12 +37,32 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
+def length_class(slots: int) -> int:
+    """Texts by their number of different trigrams, in powers of two."""
+    return int(slots).bit_length()
+
+
+def floors(near: np.ndarray, slots: np.ndarray, share: float = 0.5, short_share: float = 0.12, short: int = 128) -> list[float]:
+    """For each class of length a share of the least similarity that texts of at most that length have.
+
+    Texts with fewer than ``short`` different trigrams say little about their language, so their share is smaller. Longer
+    texts are nearer, so a class without texts has the floor of the next shorter one, and none falls below that.
+    """
+    out, held = [], 0.0
+    for c in range(length_class(DIM) + 1):
+        own = near[[length_class(n) == c for n in slots]]
+        if len(own):
+            held = max(held, float(own.min()) * (share if 1 << c > short else short_share))
+        out.append(held)
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # rows of length 1
     idf: np.ndarray
-    floors: dict[str, float]  # least similarity that is not rejected
+    floors: dict[str, list[float]]  # least similarity that is not rejected, by the length of the text
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine with its nearest centroid, whether that is too far off."""
@@ -56,7 +76,7 @@ class Model:
         near = self.centroids[:, at] @ (weights / length)
         best = int(near.argmax())
         score = float(min(1.0, max(0.0, near[best])))
-        return self.languages[best], score, score < self.floors[self.languages[best]]
+        return self.languages[best], score, score < self.floors[self.languages[best]][length_class(len(at))]
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -74,14 +94,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.12, most_broadcast: int = 50_000) -> Model:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, most_broadcast: int = 50_000) -> Model:
     """Learn from a bounded sample: of each language the ``per_language`` rows with the smallest hash of the id.
 
     Rows without a language or a letter teach nothing. The sample's vectors stay on the executors: document
     frequencies are an aggregate and each language is clustered by its own task; only ``clusters`` centroids a
     language come back. The chosen ids, and the counts of the languages, are broadcast if they are no more than
-    ``most_broadcast``, else joined by a shuffle. A text is rejected where its similarity is below ``slack`` times the lowest that a
-    language's own sample has.
+    ``most_broadcast``, else joined by a shuffle. Every fourth text of the sample stays out of the clustering and shows how near
+    texts of its language and length lie; one that is much farther off is rejected, see :func:`floors`.
     """
     narrow = train.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     narrow = narrow.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.shiftrightunsigned(F.xxhash64(id_col), 1).alias("h"))
@@ -118,14 +138,16 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         lengths = np.linalg.norm(x, axis=1, keepdims=True)
         x = x[lengths[:, 0] > 0] / lengths[lengths[:, 0] > 0]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
-        centroids = _kmeans(x, clusters)
-        floor = float((x @ centroids.T).max(axis=1).min())
-        return pd.DataFrame({"lang": [rows.lang.iloc[0]] * len(centroids), "centroid": [c.tolist() for c in centroids], "floor": floor})
-
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, floor double").collect()
+            return pd.DataFrame({"lang": [], "centroid": [], "floors": []})
+        out = np.arange(len(x)) % 4 == 3
+        centroids = _kmeans(x[~out], clusters)
+        held = x[out] if out.any() else x
+        low = floors((held @ centroids.T).max(axis=1), (held > 0).sum(axis=1))
+        return pd.DataFrame({"lang": [rows.lang.iloc[0]] * len(centroids), "centroid": [c.tolist() for c in centroids], "floors": [low] * len(centroids)})
+
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, floors array<double>").collect()
     found.sort(key=lambda r: r.lang)  # stable: the centroids of a language keep their order
-    return Model([r.lang for r in found], np.array([r.centroid for r in found]).reshape(len(found), DIM), idf, {r.lang: slack * r.floor for r in found})
+    return Model([r.lang for r in found], np.array([r.centroid for r in found]).reshape(len(found), DIM), idf, {r.lang: list(r.floors) for r in found})
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -4,8 +4,8 @@ A document's key is exponential: -ln(u) / weight, with u from a hash of its id,
 come first more often. A source's target is met by complete epochs and then, in the order of the keys, by
 documents until the running sum of sizes reaches what is left.
 
-No source is sorted in one task. Keys map monotonically to (0, 1) and fall into slots, each of some
-thousand rows; sums by slot show in which one the running sum reaches the rest, and only that slot
+No source is sorted in one task. Keys map monotonically to (0, 1) and fall into slots; with the least weight of the
+source as the rate of that map no slot is expected to hold over some thousand rows, whatever the weights. Sums by slot show in which one the running sum reaches the rest, and only that slot
 is sorted.
 """
 
@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weight: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 7, slot_rows: int = 4_000) -> DataFrame:
     """``id, source, size, source_size, target, epochs, taken`` for every row.
 
-    ``size`` defaults to the number of words of ``text``, ``weight`` (the quality, above 0; null counts as 1) to 1.
+    ``size`` defaults to the number of words of ``text``, ``weight`` (the quality; null or not above 0 counts as 1) to 1.
     ``epochs`` says how often the mix takes the row, ``taken`` = epochs x size. A row is taken in the last, partial
     epoch if the middle of its share of the running sum lies below what is left, so the sum differs from the
     target by half a document at most. Equal keys are ordered by id. Reruns give the same mix; rows with
@@ -67,20 +67,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     """
     size = word_count(F.col("text")) if size is None else size
     weight = F.lit(1.0) if weight is None else weight
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.coalesce(weight, F.lit(1.0)).cast("double").alias("weight")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.when(weight > 0, weight).otherwise(1.0).cast("double").alias("weight")))
 
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("weight").alias("least"), F.sum("weight").alias("weights"))
     aims = targets(sums.select("source", "source_size"), share, most, weights)
-    aims = aims.alias("a").join(sums.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source"))).select("a.source", "a.source_size", "target", "n")
+    aims = aims.alias("a").join(sums.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source"))).select("a.source", "a.source_size", "target", "least", "weights")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    aims = aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("slots", F.ceil(F.col("n") / slot_rows))
+    aims = aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("slots", F.ceil(F.col("weights") / F.col("least") / slot_rows))
     aims = cut(aims)
 
     u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 0.5) * F.lit(2.0**-53)
     key = -F.log(u) / F.col("weight")
     keyed = rows.join(aims, rows.source.eqNullSafe(aims.source)).drop(aims.source).withColumn("key", key)
-    keyed = keyed.withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("slots")), F.col("slots") - 1))
-    keyed = cut(keyed.drop("n", "slots", "weight"))
+    keyed = keyed.withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("least"))) * F.col("slots")), F.col("slots") - 1))
+    keyed = cut(keyed.drop("least", "weights", "slots", "weight"))
 
     slots = keyed.groupBy("source", "slot").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
     in_source = Window.partitionBy("source").orderBy("slot")

@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 import xxhash
@@ -98,10 +100,26 @@ def test_simhash_against_brute_force(docs, spark):
     assert simhash_dedup.near_duplicates(docs.filter("doc_id < 0")).collect() == []
 
 
-@pytest.mark.parametrize("max_cell", [1, 4, 64])
-def test_simhash_links_lose_no_component(spark, max_cell):
+def test_simhash_cells_hold_every_close_pair():
+    """Whatever k coordinates differ, some choice leaves them free, at every level."""
+    for k in (1, 2, 3):
+        level = [tuple(range(32))]
+        while any(len(f) > k for f in level):
+            for parent in level[:: max(1, len(level) // 20)]:
+                parts = [set(x) for x in simhash_dedup._splits(parent, k)]
+                assert all(any(set(some) <= p for p in parts) for some in itertools.combinations(parent, k))
+            level = list(dict.fromkeys(f for parent in level for f in simhash_dedup._splits(parent, k)))
+
+
+@pytest.mark.parametrize(("max_cell", "swaps"), [(1, 0), (2, 1), (4, 0), (64, 1)])
+def test_simhash_links_lose_no_component(spark, max_cell, swaps):
     r = random.Random(max_cell)
     fps = set()
+    if swaps:  # equal counts, swapped bits: cells that can't be split
+        centre = r.getrandbits(64)
+        pairs = [s for s in range(32) if (centre >> 2 * s & 3) in (1, 2)]
+        for _ in range(60):
+            fps.add(centre ^ sum(3 << 2 * s for s in r.sample(pairs, r.randrange(4))))
     for _ in range(12):
         centre = r.getrandbits(64)
         fps.add(centre)
@@ -141,22 +159,23 @@ def test_components_of_a_long_path(spark):
 
 
 def brute_lines(rows, least):
-    seen, out = set(), []
+    """Of each start the longest run of lines that also starts earlier, if it has enough words."""
+    docs = []
     for i, text in sorted(rows, key=lambda r: order(r[0])):
         lines = (text or "").split("\n")
         n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
-        full = [k for k in range(len(lines)) if n[k]]
+        docs.append((i, text, lines, n, [k for k in range(len(lines)) if n[k]]))
+    starts, out = {}, []
+    for d, (i, text, lines, n, full) in enumerate(docs):
         gone = set()
-        for a in range(len(full)):
-            total, b = 0, a
-            while b < len(full) and total < least:
-                total += n[full[b]]
-                b += 1
-            if total >= least:
-                key = tuple(lines[k] for k in full[a:b])
-                if key in seen:
-                    gone.update(full[a:b])
-                seen.add(key)
+        for a, k in enumerate(full):
+            for e, b in starts.get(lines[k], []):
+                other, size = docs[e], 0
+                while a + size < len(full) and b + size < len(other[4]) and lines[full[a + size]] == other[2][other[4][b + size]]:
+                    size += 1
+                if sum(n[x] for x in full[a : a + size]) >= least:
+                    gone.update(full[a : a + size])
+            starts.setdefault(lines[k], []).append((d, a))
         out.append((order(i), None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), 0 if text is None else len(lines), len(gone)))
     return sorted(out, key=lambda r: (r[0], r[3]))
 
@@ -169,11 +188,42 @@ def test_line_dedup(docs, least):
     assert rows == brute_lines([(r[0], r[1]) for r in fixture_rows()], least)
 
 
+@pytest.mark.parametrize("least", [1, 3, 5, 12])
+def test_line_dedup_of_nested_runs(spark, least):
+    """Few different lines of one to three words, so that repeated runs of all lengths overlap; one long copied text."""
+    r = random.Random(least)
+    line = lambda: " ".join(r.choice("abc") for _ in range(r.choice([0, 1, 1, 2, 3])))
+    rows = [(i, "\n".join(line() for _ in range(r.randrange(1, 40)))) for i in range(30)]
+    long = [f"line {k} of a long text" for k in range(150)]
+    rows += [(40, "\n".join(long)), (41, "\n".join(["one more", *long, "and more"])), (42, "\n".join(long[:70] + ["between"] + long[70:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id, x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup_lines(df, min_words=least).collect()), key=lambda x: (x[0], x[3]))
+    assert got == brute_lines(rows, least)
+
+
+def test_suffix_array_and_common_prefixes(spark):
+    r = random.Random(2)
+    texts = {(d, 0): [r.randrange(3) for _ in range(r.randrange(1, 90))] for d in range(12)} | {(20, 0): [1] * 70, (21, 0): [1] * 70}
+    rows = [(d, h, 0, k, x) for (d, h), t in texts.items() for k, x in enumerate(t)]
+    positions = spark.createDataFrame(rows, "id long, hash long, segment long, seq int, rank long")
+    ranked, rounds = line_dedup.suffix_ranks(positions, 90)
+    suffixes = {}
+    for x in ranked.collect():
+        suffixes.setdefault(x["rank"], set()).add(tuple(texts[x.id, x.hash][x.seq :]))
+    assert all(len(v) == 1 for v in suffixes.values())
+    ordered = [next(iter(suffixes[k])) for k in sorted(suffixes)]
+    assert ordered == sorted({tuple(t[k:]) for t in texts.values() for k in range(len(t))})
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    lcps = {x["rank"]: x.lcp for x in line_dedup.common_prefixes(rounds).collect()}
+    assert [lcps[k] for k in sorted(suffixes)] == [0, *(common(a, b) for a, b in zip(ordered, ordered[1:]))]
+
+
 def test_line_dedup_rows_alike_and_empty_table(spark, docs):
     alike = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert [r.n_removed for r in line_dedup.dedup_lines(alike).collect()] == [0, 0]
-    clash = alike.withColumns({c: F.lit(9) for c in ("places", "n_lines", "hash", "rank", "seq")})
-    assert line_dedup.dedup_lines(clash).columns == ["doc_id", "text", "places", "hash", "rank", "seq", "n_lines", "n_removed"]
+    clash = alike.withColumns({c: F.lit(9) for c in ("places", "n_lines", "hash", "rank", "seq", "Found", "__hash")})
+    assert line_dedup.dedup_lines(clash).columns == ["doc_id", "text", "places", "hash", "rank", "seq", "Found", "__hash", "n_lines", "n_removed"]
+    assert {(r["__hash"], r.Found) for r in line_dedup.dedup_lines(clash).collect()} == {(9, 9)}
     assert {r.n_lines for r in line_dedup.dedup_lines(clash).collect()} == {1}
     assert line_dedup.dedup_lines(docs.filter("doc_id < 0")).collect() == []
 
@@ -211,6 +261,25 @@ def test_byte_bpe_round_trip(spark, docs):
     assert byte_bpe.encode_decode(docs.filter("doc_id < 0"), path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_byte_bpe_classes_over_all_code_points():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    codec = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    r = random.Random(4)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    chosen = sorted({*codec.unlike, *range(0x600), *r.sample(points, 20_000)})
+    texts = [t for c in map(chr, chosen) for t in (c + "'s", f"a{c}1 {c} {c}")]
+    got = [ids for ids, _ in codec.encode(texts)]
+    assert got == [" ".join(map(str, own.encode_ordinary(t))) for t in texts]
+    # the classes themselves, everywhere: what the engine finds in all code points after translation
+    single = {bytes([b]): b for b in range(256)}
+    every = "".join(map(chr, points))
+    for pattern in (r"\p{L}", r"\p{N}", r"\s"):
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        shown = regex.finditer(pattern, every.translate(codec.unlike))
+        assert "".join(every[m.start()] for m in shown) == library.decode(library.encode_ordinary(every))
+
+
 def test_license_scan(spark, docs):
     rows = [
         (1, "Released under the MIT License. Again: UNDER-THE-MIT-LICENSE, and CC BY-NC 4.0"),
@@ -247,9 +316,25 @@ def test_language_id(spark, sf_dir, docs):
     odd = {order(r.doc_id): r for r in language_id.predict(docs, model).collect()}
     assert [odd[i].lang_pred for i in (4, 5, 6)] == ["und"] * 3 and odd[4].score == 0.0 and odd[4].rejected
     assert set(r.lang_pred for r in odd.values()) <= {*model.languages, "und"}
-    script = spark.createDataFrame([(1, "добрый день мои друзья"), (2, "123 !?")], "doc_id long, text string")
+    r = random.Random(1)
+    letters = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200))
+    italian = "il treno per la campagna parte ogni mattina dalla vecchia stazione e arriva quando le botteghe aprono sulla piazza del mercato " * 4
+    script = spark.createDataFrame([(1, "добрый день мои друзья"), (2, "123 !?"), (3, letters), (4, italian)], "doc_id long, text string")
     found = {r.doc_id: r for r in language_id.predict(script, model).collect()}
     assert found[1].rejected and found[1].lang_pred in model.languages and found[2].lang_pred == "und"
+    assert found[3].rejected
+    # an independent cosine: plain Python over dictionaries of trigrams
+    for t in (table.orderBy("doc_id").limit(5).collect()):
+        raw, grams = f" {t.text.lower()} ".encode(), {}
+        blank = bytes(32 if b < 0x80 and not chr(b).isalpha() else b for b in raw)
+        for i in range(len(blank) - 2):
+            if blank[i + 1] != 32:
+                slot = ((blank[i] << 16 | blank[i + 1] << 8 | blank[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 19
+                grams[slot] = grams.get(slot, 0) + 1
+        v = {k: (1 + np.log(n)) * model.idf[k] for k, n in grams.items()}
+        length = sum(x * x for x in v.values()) ** 0.5
+        near = [sum(x * c[k] for k, x in v.items()) / length for c in model.centroids]
+        assert abs(max(near) - got[got.doc_id == t.doc_id].score.iloc[0]) < 1e-5
     nothing = language_id.fit(table.filter("false"))
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
@@ -277,6 +362,21 @@ def test_mixing(spark, docs):
         assert abs(part.target.iloc[0] - want) < 1e-6 and (part.source_size == size).all()
         assert abs(part.taken.sum() - want) <= 25
     assert (got.taken <= 2 * got["size"]).all() and len(got) == len(rows)
+    # the selected documents: whole epochs, then by the order of the keys up to what is left
+    def key(i, w):
+        u = ((xxhash64_of[i] & (1 << 64) - 1) >> 11) + 0.5
+        return -np.log(u * 2.0**-53) / (w or 1.0)
+
+    xxhash64_of = {r.id: r.h for r in spark.range(3000).select("id", F.xxhash64("id", F.lit(7)).alias("h")).collect()}
+    part = got[got.source == "a"]
+    epochs, rest = divmod(part.target.iloc[0], sizes["a"])
+    total, want = 0, {}
+    for i, _, n, w in sorted((x for x in rows if x[1] == "a"), key=lambda x: (key(x[0], x[3]), x[0])):
+        total += n
+        want[i] = int(epochs) + (total - n / 2 < rest)
+    assert part.set_index("doc_id").epochs.to_dict() == want
+    odd = mixing.mix(df.withColumn("q", F.when(F.col("doc_id") % 3 == 0, 0.0).when(F.col("doc_id") % 3 == 1, 1e-3)), size=F.col("words"), weight=F.col("q"), slot_rows=50).toPandas()
+    assert len(odd) == len(rows) and abs(odd[odd.source == "a"].taken.sum() - odd[odd.source == "a"].target.iloc[0]) <= 25
     whole = mixing.mix(docs).toPandas()
     assert len(whole) == len(fixture_rows()) and (whole["size"][whole.doc_id == 4] == 0).all()
     assert mixing.mix(docs.filter("doc_id < 0")).collect() == []

@@ -28,10 +28,10 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; learned from those that are not held out."""
+    """Documents whose language is found; learned from those that are not held out. ``lang`` is filled in where it is null."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
     found = language_id.predict(docs, model, keep=["text", "lang", "source", "n_chars"])
-    return found.filter(~F.col("rejected")).select(*COLUMNS)
+    return found.filter(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

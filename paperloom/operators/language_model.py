@@ -52,13 +52,14 @@ def spans(tokens: DataFrame, gaz: DataFrame, most: int = 6) -> DataFrame:
     ``tokens`` has ``doc_id, line_no, toks`` (an array a line). Each run is one row with an equi-join on its key, so
     nothing is compared with all entries; runs longer than the longest entry are not made.
     """
-    n = F.size("toks")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.lit(most), n - i), F.lit(1))), lambda k: F.struct(i.alias("start"), (i + k).alias("stop")))))
-    keyed = tokens.filter(n > 0).select("doc_id", "line_no", "toks", F.transform("toks", gazetteer_key).alias("keys"))  # each token is cleaned once
-    rows = keyed.select("doc_id", "line_no", "keys", F.inline(runs))
-    parts = F.filter(F.slice("keys", F.col("start") + 1, F.col("stop") - F.col("start")), lambda k: k != "")
-    rows = rows.select("doc_id", "line_no", "start", "stop", F.array_join(parts, " ").alias("key"))
+    n = F.size("keys")
+    starts = F.sequence(F.lit(0), n - 1)
+    key = lambda i, k: F.array_join(F.filter(F.slice("keys", i + 1, k), lambda x: x != ""), " ")
+    # the runs that begin at a token that is no word have the keys of the runs that begin after it, and are made all the same
+    lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), n - i))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(lengths(i), lambda k: F.struct(i.alias("start"), (i + k).alias("stop"), key(i, k).alias("key")))))
+    keyed = tokens.filter(F.size("toks") > 0).select("doc_id", "line_no", F.transform("toks", gazetteer_key).alias("keys"))  # each token is cleaned once
+    rows = keyed.select("doc_id", "line_no", F.inline(runs))  # the array of keys stays behind
     return rows.join(gaz, "key").select("doc_id", "line_no", "start", "stop", "gazetteer")
 
 

@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 
 
 def spans(labels: Column) -> Column:
-    """Array of tag, start, stop of an array of labels: B_x I_x* E_x of one tag, or W_x; broken runs are dropped."""
-    start = F.struct(F.array().cast("array<struct<tag:string,start:int,stop:int>>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("since"), F.lit(0).alias("at"))
-    span = lambda tag, a, b: F.array(F.struct(tag.alias("tag"), a.alias("start"), b.alias("stop")))
+    """Array of tag, start, stop of an array of labels: B_x I_x* E_x of one tag, or W_x; broken runs are dropped.
 
-    def step(s: Column, label: Column) -> Column:
-        kind, tag, at = F.left(label, F.lit(2)), F.substr(label, F.lit(3)), s["at"]
-        same = (s["open"] != "") & (s["open"] == tag)
-        done = F.when(kind == "W_", F.concat(s["done"], span(tag, at, at + 1))).when((kind == "E_") & same, F.concat(s["done"], span(tag, s["since"], at + 1))).otherwise(s["done"])
-        now = F.when(kind == "B_", tag).when((kind == "I_") & same, s["open"]).otherwise("")
-        return F.struct(done.alias("done"), now.alias("open"), F.when(kind == "B_", at).otherwise(s["since"]).alias("since"), (at + 1).alias("at"))
+    Only neighbours among the labels that are not I_ can begin and end a run, so the work grows with the labels.
+    """
+    kind, tag = lambda c: F.left(c, F.lit(2)), lambda c: F.substr(c, F.lit(3))
+    places = F.filter(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: kind(F.coalesce(F.get(labels, i), F.lit("O"))) != "I_")
+    both = F.when(F.size(labels) > 0, F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
+    span = lambda label, start, stop: F.struct(tag(label).alias("tag"), start.alias("start"), stop.alias("stop"))
+
+    def found(x: Column) -> Column:
+        first, last = F.get(labels, x["p"]), F.get(labels, x["q"])
+        inside = F.slice(labels, x["p"] + 2, F.greatest(x["q"] - x["p"] - 1, F.lit(0)))
+        whole = (kind(first) == "B_") & (kind(last) == "E_") & (tag(first) == tag(last)) & F.forall(inside, lambda i: tag(i) == tag(first))
+        return F.when(kind(first) == "W_", span(first, x["p"], x["p"] + 1)).when(whole, span(first, x["p"], x["q"] + 1))
 
-    return F.aggregate(labels, start, step, lambda s: s["done"])
+    return F.coalesce(F.filter(F.transform(both, found), lambda x: x.isNotNull()), F.array().cast("array<struct<tag:string,start:int,stop:int>>"))
 
 
 def span_text(tokens: Column, span: Column) -> Column:
@@ -40,10 +44,11 @@ def metadata(sequences: DataFrame, title_tag: str = "T", author_tag: str = "A")
 
 def first_occurrence(tokens: Column, target: Column) -> Column:
     """Place (from 0) at which the target tokens first stand consecutively, ignoring case; null if nowhere or empty."""
-    low, want = F.transform(tokens, F.lower), F.transform(target, F.lower)
-    n = F.size(want)
-    places = F.sequence(F.lit(0), F.greatest(F.size(low) - n, F.lit(0)))
-    hits = F.filter(places, lambda i: (F.get(low, i) == F.get(want, F.lit(0))) & (F.slice(low, i + 1, n) == want))
+    n = F.size(target)
+    places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+    # a token is lower-cased where it is compared, not the whole array at each place
+    same = lambda i: F.transform(F.slice(tokens, i + 1, n), F.lower) == F.transform(target, F.lower)
+    hits = F.filter(places, lambda i: (F.lower(F.get(tokens, i)) == F.lower(F.get(target, F.lit(0)))) & same(i))
     return F.when(n > 0, F.get(hits, F.lit(0)))
 
 

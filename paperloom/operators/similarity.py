@@ -22,12 +22,15 @@ def word_ngrams(ws: Column, n: int, truncated: bool = True) -> Column:
 
 def buckets(rows: DataFrame, id_col: str, c: Column, n: int, truncated: bool = True, reverse: bool = False, frequent: DataFrame | None = None, cutoff: int | None = None, upto: int = 1) -> DataFrame:
     """``id, bucket``: the first ``upto`` n-grams of each row that are not too frequent (``frequent``: ngram, freq)."""
-    ws = F.reverse(words(c)) if reverse else words(c)
-    grams = rows.select(F.col(id_col).alias("id"), F.posexplode(word_ngrams(ws, n, truncated)).alias("at", "bucket"))
-    if frequent is not None and cutoff is not None:
-        grams = grams.join(frequent.filter(F.col("freq") >= cutoff).select(F.col("ngram").alias("bucket")), "bucket", "left_anti")
+    # a row of its own for the words: inside the windows' lambda they would be made anew for each window
+    rows = rows.select(F.col(id_col).alias("id"), (F.reverse(words(c)) if reverse else words(c)).alias("ws"))
+    grams = word_ngrams(F.col("ws"), n, truncated)
+    if frequent is None or cutoff is None:
+        return rows.select("id", F.explode(F.slice(grams, 1, upto)).alias("bucket"))
+    found = rows.select("id", F.posexplode(grams).alias("at", "bucket"))
+    found = found.join(frequent.filter(F.col("freq") >= cutoff).select(F.col("ngram").alias("bucket")), "bucket", "left_anti")
     place = F.row_number().over(Window.partitionBy("id").orderBy("at"))
-    return grams.withColumn("k", place).filter(F.col("k") <= upto).select("id", "bucket")
+    return found.withColumn("k", place).filter(F.col("k") <= upto).select("id", "bucket")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -98,9 +98,9 @@ def segment_brackets(spark, sf_dir):
     return s.select("section", F.posexplode(B.segment(F.col("body"), "bracket")).alias("n", "entry"))
 
 
-@query(f"SELECT section, n, title FROM (SELECT section, n, regexp_replace('\"' || p_name || ',\"', '^[\"''“”.,\\s]+|[\"''“”.,\\s]+$', '', 'g') AS title, p_type FROM ({references_sql('bracket')})) WHERE length(title) BETWEEN 1 AND 511 AND p_type <> 'PROMO'")
+@query(f"SELECT section, n, title FROM (SELECT section, n, regexp_replace('\"' || p_name || ',\"', '^[\"''“”.,\\s]+|[\"''“”.,\\s]+$', '', 'g') AS title, p_type FROM ({references_sql('bracket')})) WHERE length(title) BETWEEN 1 AND 511")
 def bib_clean(spark, sf_dir):
-    refs = references(table(spark, sf_dir, "part"), "bracket").filter("p_type <> 'PROMO'")
+    refs = references(table(spark, sf_dir, "part"), "bracket")
     raw = refs.select("section", "n", F.concat(F.lit('"'), "p_name", F.lit(',"')).alias("title"), F.lit("A").alias("authors"), F.col("p_type").alias("venue"))
     return B.clean_records(raw).select("section", "n", "title")
 
@@ -162,19 +162,20 @@ def cite_style(spark, sf_dir):
 # labels
 
 _RULE = "CASE (doc_id * 7 + seq * 5 + seq // 3) % 9 WHEN 0 THEN 'B_T' WHEN 1 THEN 'I_T' WHEN 2 THEN 'I_T' WHEN 3 THEN 'E_T' WHEN 4 THEN 'W_A' WHEN 5 THEN 'B_A' WHEN 6 THEN 'E_A' WHEN 7 THEN 'I_A' ELSE 'O' END"
-_LABEL_SQL = f"l AS (SELECT doc_id, seq, token, {_RULE} AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) - 1 AS seq FROM ({TOKENS_SQL})) WHERE seq < 60)"
+_LABEL_SQL = f"l AS (SELECT doc_id, seq, token, {_RULE} AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) - 1 AS seq FROM ({TOKENS_SQL})))"
 
 
 def labelled(spark, sf_dir):
-    toks = F.slice(F.filter(F.flatten(F.transform(F.split("text", "\n"), lambda l: F.split(l, " "))), lambda t: t != ""), 1, 60)
+    toks = F.filter(F.flatten(F.transform(F.split("text", "\n"), lambda l: F.split(l, " "))), lambda t: t != "")
     names = F.array(*map(F.lit, ["B_T", "I_T", "I_T", "E_T", "W_A", "B_A", "E_A", "I_A", "O"]))
     label = lambda t, i: F.get(names, ((F.col("doc_id") * 7 + i * 5 + F.floor(i / 3)) % 9).cast("int"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), toks.alias("tokens")).withColumn("doc_id", F.col("id")).withColumn("labels", F.transform("tokens", label)).drop("doc_id")
 
 
-_SPANS_SQL = f"""WITH {_LABEL_SQL}, s AS (SELECT doc_id, 'A' AS tag, seq AS start, seq + 1 AS stop FROM l WHERE label = 'W_A' UNION ALL
-    SELECT b.doc_id, substr(b.label, 3), b.seq, e.seq + 1 FROM l b JOIN l e ON b.doc_id = e.doc_id AND e.seq > b.seq AND left(b.label, 2) = 'B_' AND e.label = 'E_' || substr(b.label, 3)
-    WHERE NOT EXISTS (SELECT 1 FROM l x WHERE x.doc_id = b.doc_id AND x.seq > b.seq AND x.seq < e.seq AND x.label <> 'I_' || substr(b.label, 3)))"""
+_SPANS_SQL = f"""WITH {_LABEL_SQL}, c AS (SELECT *, sum(CAST(label = 'I_T' AS INTEGER)) OVER w AS inner_t, sum(CAST(label = 'I_A' AS INTEGER)) OVER w AS inner_a FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    n AS (SELECT doc_id, seq, label, lead(seq) OVER w AS last, lead(label) OVER w AS next, lead(inner_t) OVER w - inner_t AS t, lead(inner_a) OVER w - inner_a AS a FROM c WHERE left(label, 2) <> 'I_' WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    s AS (SELECT doc_id, 'A' AS tag, seq AS start, seq + 1 AS stop FROM n WHERE label = 'W_A' UNION ALL
+    SELECT doc_id, substr(label, 3), seq, last + 1 FROM n WHERE left(label, 2) = 'B_' AND next = 'E_' || substr(label, 3) AND CASE substr(label, 3) WHEN 'T' THEN t ELSE a END = last - seq - 1)"""
 
 
 @query(f"{_SPANS_SQL} SELECT doc_id AS id, tag, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM s")
@@ -182,7 +183,7 @@ def spans_from_labels(spark, sf_dir):
     return labelled(spark, sf_dir).select("id", F.inline(Q.spans(F.col("labels"))))
 
 
-@query(f"""{_SPANS_SQL}, t AS (SELECT s.doc_id, tag, start, string_agg(token, ' ' ORDER BY l.seq) AS txt FROM s JOIN l ON s.doc_id = l.doc_id AND l.seq >= start AND l.seq < stop GROUP BY s.doc_id, tag, start)
+@query(f"""{_SPANS_SQL}, t AS (SELECT doc_id, tag, start, string_agg(token, ' ' ORDER BY seq) AS txt FROM (SELECT l.doc_id, tag, start, stop, seq, token FROM l ASOF JOIN s ON l.doc_id = s.doc_id AND l.seq >= s.start) l WHERE seq < stop GROUP BY doc_id, tag, start)
     SELECT d.doc_id AS id, (SELECT arg_min(txt, start) FROM t WHERE t.doc_id = d.doc_id AND tag = 'T') AS title, coalesce((SELECT string_agg(txt, ';' ORDER BY start) FROM t WHERE t.doc_id = d.doc_id AND tag = 'A'), '') AS authors FROM documents d""")
 def metadata_from_spans(spark, sf_dir):
     return Q.metadata(labelled(spark, sf_dir)).select("id", "title", F.array_join("authors", ";").alias("authors"))
@@ -301,10 +302,10 @@ def title_precedence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), source.alias("source"))
 
 
-@query("SELECT vec_id AS id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+@query("SELECT vec_id AS id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part)")
 def vector_features(spark, sf_dir):
     """Components of the word vectors of known tokens; a token without a vector has none."""
-    keys = table(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_partkey").alias("vec_id"))
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"))
     found = table(spark, sf_dir, "embeddings").join(keys, "vec_id", "left_semi")
     return found.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "v")).select("id", "i", F.round(F.col("v").cast("double"), 6).alias("value"))
 

@@ -133,16 +133,25 @@ def _papers(spark, sf_dir):
 _PAPER_KEY = "regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(split_part(text, chr(10), 1)))), '&[^;\\n]*;', '', 'g'), '\\.$', ''), '[^A-Za-z0-9_]', '', 'g')"
 
 
-@query(f"WITH p AS (SELECT doc_id, {_PAPER_KEY} AS key, lang FROM documents) SELECT doc_id FROM p WHERE doc_id >= 300 AND EXISTS (SELECT 1 FROM p k WHERE k.doc_id < 300 AND k.key = p.key AND k.lang = p.lang)")
+_KNOWN_SQL = f"WITH p AS (SELECT doc_id, {_PAPER_KEY} AS key, lang FROM documents), k AS (SELECT key, lang FROM p WHERE doc_id IN (SELECT doc_id FROM labels)), u AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
+
+
+def _known_and_new(spark, sf_dir):
+    """Papers with a label are known; the others are looked up among them by key and language."""
+    p, ids = _papers(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id")
+    return p.join(ids, "doc_id", "left_semi").select("key", "lang").distinct(), p.join(ids, "doc_id", "left_anti")
+
+
+@query(f"{_KNOWN_SQL} SELECT doc_id FROM u WHERE EXISTS (SELECT 1 FROM k WHERE k.key = u.key AND k.lang = u.lang)")
 def known_papers(spark, sf_dir):
-    p = _papers(spark, sf_dir)
-    return p.filter("doc_id >= 300").join(p.filter("doc_id < 300").select("key", "lang"), ["key", "lang"], "left_semi").select("doc_id")
+    known, new = _known_and_new(spark, sf_dir)
+    return new.join(known, ["key", "lang"], "left_semi").select("doc_id")
 
 
-@query(f"WITH p AS (SELECT doc_id, {_PAPER_KEY} AS key, lang FROM documents) SELECT doc_id FROM p WHERE doc_id >= 300 AND NOT EXISTS (SELECT 1 FROM p k WHERE k.doc_id < 300 AND k.key = p.key AND k.lang = p.lang)")
+@query(f"{_KNOWN_SQL} SELECT doc_id FROM u WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = u.key AND k.lang = u.lang)")
 def unknown_papers(spark, sf_dir):
-    p = _papers(spark, sf_dir)
-    return p.filter("doc_id >= 300").join(p.filter("doc_id < 300").select("key", "lang"), ["key", "lang"], "left_anti").select("doc_id")
+    known, new = _known_and_new(spark, sf_dir)
+    return new.join(known, ["key", "lang"], "left_anti").select("doc_id")
 
 
 # evaluation
@@ -343,10 +352,10 @@ _CHARS = "list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lam
 _SIM = "(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) + f * len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g))) / (1 + f)"
 
 
-@query(f"""WITH g AS (SELECT item_id, {_CHARS} AS g FROM (SELECT item_id, left(text, 60) AS t FROM benchmark))
+@query(f"""WITH g AS (SELECT item_id, {_CHARS} AS g FROM (SELECT item_id, text AS t FROM benchmark))
     SELECT a.item_id AS a, b.item_id AS b, round({_SIM}, 6) AS score FROM g a JOIN g b ON b.item_id = a.item_id + 1, LATERAL (SELECT least(pow(1.2, least(len(a.g), len(b.g)) - 10), 100000.0) AS f)""")
 def ngram_similarity(spark, sf_dir):
-    s = table(spark, sf_dir, "benchmark").select("item_id", S.char_grams(F.left("text", F.lit(60))).alias("s"))
+    s = table(spark, sf_dir, "benchmark").select("item_id", S.char_grams(F.col("text")).alias("s"))
     a, b = s.select(F.col("item_id").alias("a"), F.col("s").alias("x")), s.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("s").alias("y"))
     return a.join(b, "a").select("a", "b", F.round(S.ngram_similarity(F.col("x"), F.col("y")), 6).alias("score"))
 

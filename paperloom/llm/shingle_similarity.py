@@ -1,9 +1,9 @@
 """Pairs of texts by the Jaccard similarity of their sets of word shingles.
 
-MinHash bands give candidates and the two texts' whole sets decide. Texts with equal sets are collapsed first. A
-band's cell that holds more than ``max_cell`` sets is not paired off at once: its members are compared with the
-smallest one, and those that are not similar to it with all others of the cell. What is similar to the smallest
-is one component already, so no link is lost; the work is linear where the cell is one group of near copies.
+MinHash bands give candidates and the two texts' whole sets decide. Texts with equal sets are collapsed first. In a
+band's cell all sets are compared with the smallest one, then with the largest one. Only sets of a cell that are in
+different components even then are paired off, if their sizes allow the similarity. What is in one component needs no
+further link, so no component is lost, and the work is linear where a cell is one group of near copies.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, utf8_buffer
@@ -50,16 +50,17 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, size: int, bands: int
         for batch in by_bytes(batches, "text", 2 << 20):
             data, offsets = utf8_buffer(batch.column("text"))
             raw = data.tobytes()
-            keys, cells = [], []
+            keys, cells, sizes = [], [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = shingle_set(raw[s:e], size)
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                sizes.append(len(own))
                 low = _min_hashes(own, masks, factors).reshape(bands, rows)
                 cells.append([xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(low)] if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["id", "shingles", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "shingles", "cells", "size"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, shingles binary, cells array<bigint>")
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, shingles binary, cells array<bigint>, size bigint")
     return found.filter("shingles is not null and id is not null")
 
 
@@ -82,31 +83,40 @@ def _similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size:
     return cut(both.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
-def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, max_cell: int = 64) -> DataFrame:
+def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """Edges ``(a, b)`` between ids, whose components are those of all pairs with a similarity of ``least`` or more.
 
     A pair of similarity s is no candidate with probability (1 - s ** rows) ** bands: 0.00007 at 0.8, less above.
     Every link that is given is checked on the whole sets. Ids must be unique; null ones and texts without words have no links.
     """
     prints = cut(_signatures(df, id_col, text_col, size, bands, rows))
-    sets = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells")))
-    equal = prints.join(sets.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b"))
-    keyed = sets.select(F.col("owner").alias("id"), F.posexplode("cells").alias("band", "cell"))
-    sizes = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"))
-    crowded = cut(keyed.join(sizes, ["band", "cell"]))
-
-    def meet(one: DataFrame, two: DataFrame, apart: Column) -> DataFrame:
-        pairs = one.select("band", "cell", F.col("id").alias("u")).join(two.select("band", "cell", F.col("id").alias("v")), ["band", "cell"]).filter(apart)
-        return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-
-    small, large = crowded.filter(F.col("n") <= max_cell), crowded.filter(F.col("n") > max_cell).filter("id != first")
-    stars = large.select(F.col("first").alias("a"), F.col("id").alias("b"))
-    near = _similar(meet(small, small, F.col("u") < F.col("v")).union(stars), df, id_col, text_col, size, least)
-    left = cut(large.join(near.select(F.col("a").alias("first"), F.col("b").alias("id")), ["first", "id"], "left_anti"))
-    found = equal.union(near)
-    if not left.isEmpty():
-        found = found.union(_similar(meet(left, large, F.col("u") != F.col("v")), df, id_col, text_col, size, least))
-    return found.distinct()
+    sets = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
+    found = prints.join(sets.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b"))
+    keyed = sets.select(F.col("owner").alias("id"), "size", F.posexplode("cells").alias("band", "cell"))
+    shared = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    keyed = cut(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")))
+    fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
+    for hub in (F.min, F.max):
+        hubs = cut(keyed.groupBy("band", "cell").agg(hub(F.struct("id", "group", "size")).alias("hub")))
+        stars = keyed.join(hubs, ["band", "cell"]).filter((F.col("group") != F.col("hub.group")) & fits(F.col("size"), F.col("hub.size")))
+        stars = stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
+        near = _similar(stars, df, id_col, text_col, size, least)
+        found = found.union(near)
+        keyed = _grouped(keyed, near)
+    one, two = (keyed.select("band", "cell", F.col("id").alias(x), F.col("group").alias(f"{x}_group"), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
+    apart = one.join(two, ["band", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & fits(F.col("a_size"), F.col("b_size")))
+    return found.union(_similar(apart.select("a", "b"), df, id_col, text_col, size, least)).distinct()
+
+
+def _grouped(keyed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``keyed`` with the groups that ``edges`` between ids join made one, without the cells that are in one group."""
+    ids = keyed.select("id", "group").distinct()
+    name = lambda end: ids.select(F.col("id").alias(end), F.col("group").alias(f"{end}_group"))
+    between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+    whole = cut(connected_components(between).withColumnRenamed("node", "group"))
+    keyed = cut(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")))
+    mixed = cut(keyed.groupBy("band", "cell").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("band", "cell"))
+    return cut(keyed.join(mixed, ["band", "cell"]))
 
 
 def merge(groups: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -78,8 +78,7 @@ def test_similarity_links_join_what_all_pairs_join(spark, sf_dir):
         return {i: find(i) for i in sets}
 
     want = components((a, b) for a, b in itertools.combinations(sorted(sets), 2) if shingle_similarity.similarity(sets[a], sets[b]) >= 0.8)
-    for max_cell in (64, 4):  # pairs; stars and what they leave
-        assert components((x.a, x.b) for x in shingle_similarity.links(docs, max_cell=max_cell).collect()) == want
+    assert components((x.a, x.b) for x in shingle_similarity.links(docs).collect()) == want
 
 
 def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):

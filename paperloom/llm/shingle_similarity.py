@@ -1,15 +1,18 @@
 """Pairs of texts by the Jaccard similarity of their sets of word shingles.
 
 MinHash bands give candidates and the two texts' whole sets decide. Texts with equal sets are collapsed first. In a
-band's cell all sets are compared with the smallest one, then with the largest one. Only sets of a cell that are in
-different components even then are paired off, if their sizes allow the similarity. What is in one component needs no
-further link, so no component is lost, and the work is linear where a cell is one group of near copies.
+round all sets of a band's cell are compared with one of them, its hub, and what is similar becomes one component.
+Rounds with other hubs follow while the cells hold many more pairs of different components than sets and the last
+round joined any. Then only sets of a cell that are in different components are paired off, if their sizes allow the
+similarity. What is in one component needs no further link, so no component is lost, and the work is linear where a
+cell is one group of near copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +22,27 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, utf8_buffer
 from .components import connected_components
-from .simhash_dedup import shingle_hashes
-
-_CHUNK = 1 << 13
+from .word_hashes import window_hashes, word_hashes, word_spans
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """The different shingles of each text of a UTF-8 buffer, hashed and sorted; a text of fewer than ``size`` words has itself."""
+    data = _LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    words = word_hashes(data, starts, ends)[0]
+    windows = window_hashes(words, size)
+    out = []
+    for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        short = window_hashes(words[s:e], e - s) if 0 < e - s < size else words[:0]
+        out.append(np.unique(windows[s : e - size + 1]) if e - s >= size else short)
+    return out
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The different shingles of a text, hashed and sorted; a text of fewer than ``size`` words has itself."""
-    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+    return shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -34,34 +50,36 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(len(a) + len(b) - common, 1)
 
 
-def _min_hashes(shingles: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    out = np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), _CHUNK):
-        part = shingles[s : s + _CHUNK]
-        out = np.minimum(out, np.array([((part ^ m) * f).min() for m, f in zip(masks, factors, strict=True)], np.uint64))
-    return out
+def _min_hashes(sets: list[np.ndarray], masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of each hash (a column) over each set (a row; none may be empty)."""
+    out = np.empty((len(masks), len(sets)), np.uint32)
+    if sets:
+        shingles = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+        first, hashed = np.cumsum([0, *map(len, sets[:-1])]), np.empty_like(shingles)
+        for mask, factor, low in zip(masks, factors, out, strict=True):
+            np.bitwise_xor(shingles, mask, out=hashed)
+            np.multiply(hashed, factor, out=hashed)
+            np.minimum.reduceat(hashed, first, out=low)
+    return np.ascontiguousarray(out.T)
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
     r = np.random.default_rng(5)
-    masks, factors = r.integers(0, 1 << 63, bands * rows, np.uint64), r.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    masks, factors = r.integers(0, 1 << 32, bands * rows, np.uint32), r.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
-            data, offsets = utf8_buffer(batch.column("text"))
-            raw = data.tobytes()
-            keys, cells, sizes = [], [], []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = shingle_set(raw[s:e], size)
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sizes.append(len(own))
-                low = _min_hashes(own, masks, factors).reshape(bands, rows)
-                cells.append([xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(low)] if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "shingles", "cells", "size"])
+            sets = shingle_sets(*utf8_buffer(batch.column("text")), size)
+            full = np.array([len(own) > 0 for own in sets], bool)
+            batch, sets = batch.filter(pa.array(full)), [own for own in sets if len(own)]
+            keys = [xxhash.xxh3_128_digest(own.tobytes()) for own in sets]
+            low = _min_hashes(sets, masks, factors).reshape(-1, bands, rows)
+            cells = [[xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(one)] for one in low]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array([len(own) for own in sets], pa.int64())], ["id", "shingles", "cells", "size"])
 
     kind = df.schema[id_col].dataType.simpleString()
     found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, shingles binary, cells array<bigint>, size bigint")
-    return found.filter("shingles is not null and id is not null")
+    return found.filter("id is not null")
 
 
 def _similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
@@ -83,11 +101,12 @@ def _similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size:
     return cut(both.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
-def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, few: int = 4) -> DataFrame:
     """Edges ``(a, b)`` between ids, whose components are those of all pairs with a similarity of ``least`` or more.
 
     A pair of similarity s is no candidate with probability (1 - s ** rows) ** bands: 0.00007 at 0.8, less above.
-    Every link that is given is checked on the whole sets. Ids must be unique; null ones and texts without words have no links.
+    Rounds of hubs end at ``few`` pairs a set; that changes the work, not the components. Every link that is given is
+    checked on the whole sets. Ids must be unique; null ones and texts without words have no links.
     """
     prints = cut(_signatures(df, id_col, text_col, size, bands, rows))
     sets = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
@@ -96,11 +115,17 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     shared = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     keyed = cut(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")))
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
-    for hub in (F.min, F.max):
-        hubs = cut(keyed.groupBy("band", "cell").agg(hub(F.struct("id", "group", "size")).alias("hub")))
+    for step in count():
+        groups = keyed.groupBy("band", "cell", "group").agg(F.count("*").alias("n")).groupBy("band", "cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        members, pairs = groups.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not members or pairs <= few * members:
+            break
+        hubs = cut(keyed.groupBy("band", "cell").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("at"), "id", "group", "size")).alias("hub")))
         stars = keyed.join(hubs, ["band", "cell"]).filter((F.col("group") != F.col("hub.group")) & fits(F.col("size"), F.col("hub.size")))
         stars = stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
         near = _similar(stars, df, id_col, text_col, size, least)
+        if near.isEmpty():
+            break
         found = found.union(near)
         keyed = _grouped(keyed, near)
     one, two = (keyed.select("band", "cell", F.col("id").alias(x), F.col("group").alias(f"{x}_group"), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))

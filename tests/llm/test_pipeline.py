@@ -3,11 +3,15 @@
 import hashlib
 import itertools
 import random
+import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.llm import queries, shingle_similarity
+from paperloom.llm.common import utf8_buffer
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
@@ -61,6 +65,19 @@ def test_near_copies_of_five_word_similarity_are_dropped(spark):
     assert len(kept & set(range(2 * cut_off, 3 * cut_off))) >= 29  # these are far in shingles and in bits
 
 
+def test_shingle_sets_tell_texts_apart_as_their_words_do():
+    texts = ["", " ", "a", "A b", "a b c d e", "a b c d e f a b c d e", "\u00e4 b\tc d e f \u00c4", None, "x " * 5000]
+    got = shingle_similarity.shingle_sets(*utf8_buffer(pa.array(texts)), 5)
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} - {()} for w in words]
+    assert [len(s) for s in got] == [len(s) for s in want]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert len(set(got[a].tolist()) & set(got[b].tolist())) == len(want[a] & want[b])
+    low = shingle_similarity._min_hashes([s for s in got if len(s)], np.array([5, 9], np.uint32), np.array([3, 2**31 + 1], np.uint32))
+    hashed = lambda s, m, f: min(((x >> 32) ^ m) * f % 2**32 for x in s.tolist())
+    assert low.tolist() == [[hashed(s, 5, 3), hashed(s, 9, 2**31 + 1)] for s in got if len(s)]
+
+
 def test_similarity_links_join_what_all_pairs_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = random.Random(4)
@@ -78,7 +95,8 @@ def test_similarity_links_join_what_all_pairs_join(spark, sf_dir):
         return {i: find(i) for i in sets}
 
     want = components((a, b) for a, b in itertools.combinations(sorted(sets), 2) if shingle_similarity.similarity(sets[a], sets[b]) >= 0.8)
-    assert components((x.a, x.b) for x in shingle_similarity.links(docs).collect()) == want
+    for few in (0, 1_000_000):  # rounds of hubs as long as they join any; none
+        assert components((x.a, x.b) for x in shingle_similarity.links(docs, few=few).collect()) == want
 
 
 def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):

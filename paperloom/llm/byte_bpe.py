@@ -133,7 +133,9 @@ def _unlike() -> dict[int, str]:
 
     def chosen(pattern: str) -> tuple[set[str], set[str]]:
         library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-        return set(library.decode(library.encode_ordinary(every))), set(regex.findall(pattern, every))
+        parts = (every[i : i + 1024] for i in range(0, len(every), 1024))
+        theirs = set().union(*(library.decode(library.encode_ordinary(part)) for part in parts))
+        return theirs, set(regex.findall(pattern, every))
 
     found, unlike = {}, set()
     for pattern, like in ((r"\s", "\t"), (r"\p{N}", "0"), (r"\p{L}", "a")):
@@ -150,7 +152,7 @@ class Codec:
         self.merges = _merges(path)
         self.pattern = regex.compile(pattern)
         self.unlike = _unlike()
-        self.rare = re.compile("[" + "".join(map(re.escape, map(chr, self.unlike))) + "]") if self.unlike else re.compile("(?!)")
+        self.rare = frozenset(map(chr, self.unlike))
         self.memo = memo
         self.known: dict[str, str] = {}  # the ids, as decimals, of a space and the key
         self.odd: dict[str, bytes] = {}  # what they decode to, where that isn't a space and the key
@@ -160,7 +162,7 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """The matches of the pattern as the library finds them."""
-        if not self.rare.search(text):
+        if text.isascii() or self.rare.isdisjoint(text):  # versions of Unicode agree on ASCII
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.unlike))]
 

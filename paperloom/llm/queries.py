@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_fingerprint, byte_bpe, language_id, license_scan, line_dedup, mixing, simhash_dedup, substring_dedup, token_count, vector_search
+from . import audio_fingerprint, ball_search, byte_bpe, hard_negatives, language_id, license_scan, line_dedup, mixing, prefix_trie, simhash_dedup, substring_dedup, token_count, vector_search
 from .common import cut, table
 
 
@@ -72,10 +72,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, factor=1024)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), donor=conv - conv % 20, head=F.crc32(conv.cast("string").cast("binary")) % 4, most_head=3)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, least=30, most=90, factor=256)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_audio_fingerprint, op2_substring_dedup, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_line_dedup, op8_mixing, op9_byte_bpe, op10_simhash)
-}
+    for f in (
+        op1_audio_fingerprint, op2_substring_dedup, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_line_dedup, op8_mixing, op9_byte_bpe, op10_simhash,
+        op11_exact_search, op12_prefix_trie, op13_hard_negatives,
+    )
+}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,4 +131,66 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM l LEFT JOIN kept USING (doc_id)
     """,
+    "op11_exact_search": """
+        WITH e AS (
+            SELECT vec_id AS id, min(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+        ),
+        s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.id <> c.id WHERE q.id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+    "op12_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        ids AS (SELECT DISTINCT c, c - c % 20 AS donor, CAST(c AS VARCHAR) AS name FROM t),
+        -- crc32 of the decimal: for each byte, the byte and then eight shifts (-1)
+        steps AS (SELECT c, donor, flatten(list_transform(string_split(name, ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS ops FROM ids),
+        heads AS (
+            SELECT c, donor,
+                   xor(list_reduce(list_prepend(4294967295, ops), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h
+            FROM steps
+        ),
+        turns AS (
+            SELECT heads.c, 0 AS own, t.p, role, text FROM heads JOIN t ON t.c = heads.donor AND t.p <= heads.h
+            UNION ALL SELECT heads.c, 1, t.p, role, text FROM heads JOIN t ON t.c = heads.c AND t.p > heads.h
+        ),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, p) AS depth FROM turns),
+        chained AS (
+            SELECT c, depth, len(regexp_extract_all(text, '{_WORD}')) AS words,
+                   sha256(string_agg(md5(role) || md5(text), ',') OVER (PARTITION BY c ORDER BY depth)) AS node
+            FROM numbered
+        ),
+        m AS (SELECT c, depth, words, node FROM chained UNION ALL SELECT c, 0, 0, 'root' FROM ids),
+        lasts AS (SELECT c, max(depth) AS depth FROM m GROUP BY c),
+        n AS (SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM m GROUP BY node, depth),
+        up AS (SELECT n.node, p.node AS parent FROM n JOIN m p ON p.c = n.conv_id AND p.depth = n.depth - 1),
+        kids AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+        below AS (
+            SELECT a.node, sum(CASE WHEN kids.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+            FROM n JOIN m a ON a.c = n.conv_id AND a.depth <= n.depth LEFT JOIN kids ON kids.node = n.node GROUP BY a.node
+        ),
+        ends AS (SELECT m.node, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS ids FROM m JOIN lasts ON lasts.c = m.c AND lasts.depth = m.depth GROUP BY m.node)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+               CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+               sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN below ON below.node = n.node LEFT JOIN up ON up.node = n.node LEFT JOIN n p ON p.node = up.parent
+        LEFT JOIN kids ON kids.node = n.node LEFT JOIN ends ON ends.node = n.node
+    """,
+    "op13_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.id AS anchor_id, c.id, q.label = c.label AS same, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.id <> c.id WHERE q.id % 100 = 0
+        ),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+    """,
 }

@@ -201,4 +201,4 @@ def strip_superscripts(c: Column | str) -> Column:
 
 
 def superscripts_to_brackets(c: Column | str) -> Column:
-    return F.translate(col(c), "⍐⍑⍒⍓", "()()")
+    return F.translate(col(c), "⍐⍗", "()")

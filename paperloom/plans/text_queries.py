@@ -199,9 +199,9 @@ def title_guard(spark, sf_dir):
     return titles(spark, sf_dir).select("doc_id", T.title_or_empty("t").alias("title"))
 
 
-@query(r"SELECT doc_id, regexp_replace(s, '[⍐-⍗][^⍐-⍗]*[⍐-⍗]', '', 'g') AS plain, translate(s, '⍐⍑⍒⍓', '()()') AS bracketed FROM (SELECT doc_id, replace(split_part(text, chr(10), 1), ' th', ' ⍐1⍑ th') AS s FROM documents)")
+@query(r"SELECT doc_id, regexp_replace(s, '[⍐-⍗][^⍐-⍗]*[⍐-⍗]', '', 'g') AS plain, translate(s, '⍐⍗', '()') AS bracketed FROM (SELECT doc_id, replace(split_part(text, chr(10), 1), ' th', ' ⍐1⍗ th') AS s FROM documents)")
 def superscripts(spark, sf_dir):
-    s = F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" th"), F.lit(" ⍐1⍑ th"))
+    s = F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" th"), F.lit(" ⍐1⍗ th"))
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_superscripts(s).alias("plain"), T.superscripts_to_brackets(s).alias("bracketed"))
 
 

@@ -29,13 +29,36 @@ def union_of_keys(*columns: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(*[F.max(n).alias(n) for n in names])
 
 
+def quantiles(rows: DataFrame, by: str, pieces: int = 200) -> list[float]:
+    """Numbers that cut the rows into at most ``pieces`` ranges of about equal size."""
+    return sorted(set(rows.approxQuantile(by, [i / pieces for i in range(1, pieces)], 0.25 / pieces)))
+
+
+def numbered(rows: DataFrame, by: str, group: str | None = None, cuts: list[float] | None = None) -> DataFrame:
+    """Add ``index``: the place of each row, from 0, in the order of the number ``by`` (null first), within ``group`` if one is given.
+
+    No group is sorted in one task: ``cuts`` (by default the quantiles of ``by``) make ranges, counts by range give how
+    many come before, and rows are numbered within their range. Rows that share a number are in one range; make ``by`` (nearly)
+    unique.
+    """
+    cuts = quantiles(rows, by) if cuts is None else cuts
+    keys = [group, "_range"] if group else ["_range"]
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_range", F.when(F.col(by).isNull(), -1).otherwise(at))
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
+    running = Window.partitionBy(group) if group else Window.partitionBy()
+    before = counts.select(*keys, (F.sum("_n").over(running.orderBy("_range")) - F.col("_n")).alias("_before"))
+    out = ranged.join(before, keys).withColumn("index", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first(by))) - 1)
+    return out.drop("_range", "_before")
+
+
 def interleave(*sources: DataFrame, order: str) -> DataFrame:
     """Add ``turn`` and ``source``: rows take turns by source, and exhausted sources are skipped."""
     out = None
     for i, s in enumerate(sources):
         part = s.withColumn("source", F.lit(i))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy(order)))
+    return numbered(out, order, "source").withColumn("turn", (F.col("index") + 1).cast("int")).drop("index")
 
 
 def drop_take(rows: DataFrame, skip: int, take: int, *order: str) -> DataFrame:

@@ -6,11 +6,10 @@ the style's key needs. Offsets count characters from 0, ends are exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
 from ..functions.text import superscripts_to_brackets
 from .bibliography import expand_numbers
 
@@ -91,7 +90,7 @@ def narrative(units: DataFrame, records: DataFrame, gap: int = 0, any_year: bool
     ones the first record's; as no key reaches over a year, citations never overlap.
     """
     width = 4 + gap
-    normal = lambda t: plain_key(F.regexp_replace(t, "['’]s\z", ""))
+    normal = lambda t: plain_key(F.regexp_replace(t, r"['’]s\z", ""))
     tail = F.split(F.substring_index(F.translate("head", "\n\t\r", "   "), " ", -2 * width), " ")
     words = F.transform(
         tail, lambda t, i: F.struct(normal(t).alias("word"), (F.length(F.array_join(F.slice(tail, i + 1, 2 * width), " ")) - F.length(F.regexp_extract(t, r"^\p{P}*", 0))).alias("back"))
@@ -115,11 +114,6 @@ def narrative(units: DataFrame, records: DataFrame, gap: int = 0, any_year: bool
     return first.select("id", "unit", "n", (F.col("start") - F.get("words", F.col("at"))["back"]).alias("start"), "stop")
 
 
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def sentence_context(text: Column, start: Column, stop: Column) -> Column:
     """Struct of ``context, start, stop``: the sentence around a mention and the mention's offsets in it.
 
@@ -130,7 +124,7 @@ def sentence_context(text: Column, start: Column, stop: Column) -> Column:
     head, sign = F.left(text, start), F.substr(text, start + 1, F.lit(1))
     back = F.when(F.instr(F.lit(REWOUND), sign) > 0, F.regexp_replace(head, rf"[(\[.{SUPER}]+\z", "")).otherwise(head)
     rest = F.substr(text, stop + 1)
-    end = stop + _bound(F.length(F.substring_index(rest, ".", 1)), lambda n: n + F.when(n < F.length(rest), 1).otherwise(0))
+    end = stop + bound(F.length(F.substring_index(rest, ".", 1)), lambda n: n + F.when(n < F.length(rest), 1).otherwise(0))
 
     def past_superscript(begin: Column) -> Column:
         closed = begin + F.length(F.substring_index(F.substr(text, begin + 1), UNSUPER, 1))
@@ -139,10 +133,10 @@ def sentence_context(text: Column, start: Column, stop: Column) -> Column:
     def cut(begin: Column) -> Column:
         whole = F.substr(text, begin + 1, end - begin)
         blank = F.length(F.regexp_extract(whole, r"^[\x00-\x20]*", 0))
-        return _bound(begin + blank, lambda b: F.struct(F.regexp_replace(whole, r"^[\x00-\x20]+|[\x00-\x20]+\z", "").alias("context"), (start - b).cast("int").alias("start"), (stop - b).cast("int").alias("stop")))
+        return bound(begin + blank, lambda b: F.struct(F.regexp_replace(whole, r"^[\x00-\x20]+|[\x00-\x20]+\z", "").alias("context"), (start - b).cast("int").alias("start"), (stop - b).cast("int").alias("stop")))
 
-    begin = _bound(back, lambda b: F.length(b) - F.length(F.substring_index(b, ".", -1)))
-    return _bound(_bound(begin, past_superscript), cut)
+    begin = bound(back, lambda b: F.length(b) - F.length(F.substring_index(b, ".", -1)))
+    return bound(bound(begin, past_superscript), cut)
 
 
 def with_contexts(found: DataFrame, units: DataFrame, least: int = 35) -> DataFrame:

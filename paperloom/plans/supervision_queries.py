@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import supervision as D
+from ..operators.tagged import SCHEMES, labelled_line
 from ..sources.derived import TOKENS_SQL, table
 
 QUERIES: dict = {}
@@ -73,3 +76,44 @@ def bulk_labels(spark, sf_dir):
     papers = _papers(spark, sf_dir)
     excluded = papers.filter("id % 11 = 0").select("id")
     return D.label_in_bulk(papers, excluded, min_year=1995, most=300, check_authors=True).select("id", F.array_join("labels", " ").alias("labels"))
+
+
+# tagged references
+
+_TAGGED = {
+    "cora": "<author> A. {a} and B. {b} </author> <title> {n} study. </title> <booktitle> In {t} Conf., </booktitle> <unknown> x </unknown> <date> {y}. </date> end",
+    "umass": "<ref-marker> [{k}] </ref-marker> <authors> <person> <person-first> A. </person-first> <person-last> {a} , </person-last> </person> <person> <person-last> {b} </person-last> </person> </authors> <venue> <booktitle> {n} <volume> {k} </volume> of {t} , </booktitle> <date> <year> {y} , </year> </date> </venue>",
+    "kermit": '<bibl> <author> {a}, et al. </author> , <title level="a"> On {n} </title> <title level="j"> {t} </title> <biblScope type="vol"> {k} </biblScope> , <biblScope type="pp"> 1-{k} </biblScope> ( <date> {y} </date> ) </bibl>',
+}
+
+
+def _tagged_query(scheme: str):
+    line = _TAGGED[scheme]
+    part = "SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_name AS n, p_type AS t, CAST(p_partkey AS VARCHAR) AS k, CAST(1970 + p_partkey % 50 AS VARCHAR) AS y FROM part"
+    text = "'" + line.format(**{c: f"' || {c} || '" for c in "abntky"}) + "'"
+    for tag, value, name in (("title level", "j", "booktitle"), ("title level", "a", "title"), ("biblScope type", "vol", "volume"), ("biblScope type", "pp", "pages")):
+        text = f"replace({text}, '<{tag}=\"{value}\">', '<{name}>')"
+    names = " ".join(f"WHEN '{tag}' THEN '{label}'" for tag, label in SCHEMES[scheme].items())
+    sql = f"""WITH l AS (SELECT id, regexp_replace({text}, '<ref-marker>.*</ref-marker> ', '') AS line FROM ({part})),
+        t AS (SELECT id, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS pos FROM l),
+        e AS (SELECT *, regexp_matches(token, '^<[^/]') AS opens, regexp_matches(token, '^</') AS closes, CASE regexp_extract(token, '^</?(.*)>$', 1) {names} END AS label FROM t),
+        -- only elements with a label count; in this scheme's lines they close in order
+        d AS (SELECT *, sum(CASE WHEN label IS NULL AND token <> '</biblScope>' THEN 0 WHEN opens THEN 1 WHEN closes THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS depth FROM e),
+        o AS (SELECT *, last_value(CASE WHEN opens AND label IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY id, depth ORDER BY pos ROWS UNBOUNDED PRECEDING) AS held FROM d),
+        w AS (SELECT o.id, o.pos, o.token, CASE WHEN o.depth > 0 THEN o.held END AS held, h.label FROM o LEFT JOIN e h ON h.id = o.id AND h.pos = o.held AND o.depth > 0 WHERE NOT (o.opens OR o.closes)),
+        s AS (SELECT *, min(pos) OVER (PARTITION BY id, held) = pos AS first, max(pos) OVER (PARTITION BY id, held) = pos AS last, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM w)
+        SELECT id, CAST(n AS INTEGER) AS n, token, CASE WHEN held IS NULL THEN 'O' ELSE CASE WHEN first AND last THEN 'W_' WHEN first THEN 'B_' WHEN last THEN 'E_' ELSE 'I_' END || label END AS label FROM s"""
+
+    def run(spark, sf_dir):
+        w = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+        values = {"a": w(1), "b": w(2), "n": F.col("p_name"), "t": F.col("p_type"), "k": F.col("p_partkey").cast("string"), "y": (1970 + F.pmod("p_partkey", F.lit(50))).cast("string")}
+        pieces = [values[p[1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w\})", line) if p]
+        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(labelled_line(F.concat(*pieces), scheme)).alias("n", "x"))
+        return rows.select("id", "n", "x.token", "x.label").filter("label not in ('<S>', '</S>')")
+
+    run.__name__ = f"tagged_{scheme}"
+    return query(sql)(run)
+
+
+for _scheme in _TAGGED:
+    _tagged_query(_scheme)

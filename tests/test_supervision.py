@@ -90,9 +90,35 @@ def test_numbered(spark):
     r = random.Random(1)
     keys = r.sample(range(10_000), 500) + [None]
     df = spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "k long, g int").repartition(7)
-    got = {x.k: x.index for x in C.numbered(df, "k").collect()}
+    got = {x.k: x["index"] for x in C.numbered(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys, key=lambda k: -1 if k is None else k))}
     by = C.numbered(df, "k", "g", cuts=[100.0, 5000.0]).collect()
     for g in range(3):
-        assert [x.index for x in sorted((x for x in by if x.g == g), key=lambda x: -1 if x.k is None else x.k)] == list(range(sum(x.g == g for x in by)))
+        assert [x["index"] for x in sorted((x for x in by if x.g == g), key=lambda x: -1 if x.k is None else x.k)] == list(range(sum(x.g == g for x in by)))
     assert C.numbered(df.filter("k < 0"), "k").collect() == []
+
+
+def labels_of(line, scheme):
+    from paperloom.operators.tagged import label_line
+
+    return [(x["token"], x["label"]) for x in label_line(line, scheme)]
+
+
+def test_tagged_lines():
+    cora = labels_of("<author> A. Cau </author> <title> Formalising Dijkstra's development strategy within Stark's formalism. </title> <booktitle> BCS-FACS Refinement Workshop, </booktitle> <date> 1992. </date>", "cora")
+    assert len(cora) == 15 and cora[0] == ("<S>", "<S>") and cora[-1] == ("</S>", "</S>")
+    assert [cora[i] for i in (2, 3, 5, 13)] == [("Cau", "E_A"), ("Formalising", "B_T"), ("development", "I_T"), ("1992.", "W_Y")] and ("formalism.", "E_T") in cora
+    umass = labels_of("<ref-marker> [30] </ref-marker> <authors> <person> <person-first> E. </person-first> <person-last> M , </person-last> </person> <person> B. W , </person> </authors> <venue> <booktitle> F P , </booktitle> <date> <year> 1979 , </year> </date> <chapter> Ch </chapter> </venue>", "umass")
+    assert umass[1:] == [("E.", "B_A"), ("M", "I_A"), (",", "I_A"), ("B.", "I_A"), ("W", "I_A"), (",", "E_A"), ("F", "B_V"), ("P", "I_V"), (",", "E_V"), ("1979", "B_Y"), (",", "E_Y"), ("Ch", "O"), ("</S>", "</S>")]
+    kermit = labels_of('<bibl> <author> Hinshaw, et al. </author> , <title level="j"> Circ. Shock </title> <biblScope type="vol"> 30 </biblScope> , <biblScope type="issue"> 2 </biblScope> <biblScope type="pp"> 279-292 </biblScope> ( <date> 1990 </date> ) </bibl>', "kermit")
+    assert ("Hinshaw,", "B_A") in kermit and ("Shock", "E_V") in kermit and ("30", "W_volume") in kermit and ("2", "O") in kermit and ("279-292", "W_pages") in kermit and ("1990", "W_Y") in kermit
+
+
+def test_tagged_lines_that_are_odd(spark):
+    assert labels_of("<title> a <note> b </note> c </title> d", "cora")[1:-1] == [("a", "B_T"), ("b", "W_note"), ("c", "E_T"), ("d", "O")]
+    assert labels_of("</title> a <title> b <note> c </title> d x-> <date> e", "cora")[1:-1] == [("a", "O"), ("b", "W_T"), ("c", "W_note"), ("d", "O"), ("e", "W_Y")]
+    assert labels_of("<title></title>a<b>c", "cora")[1:-1] == [("a", "O"), ("c", "O")]
+    df = spark.createDataFrame([(None,), ("",), ("<title> x </title>",)], "line string")
+    from paperloom.operators.tagged import labelled_line
+
+    assert sorted(len(r[0]) for r in df.select(labelled_line(F.col("line"), "cora")).collect()) == [2, 2, 3]

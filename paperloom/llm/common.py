@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a table: a checkpoint also keeps what the planner knew of the rows (``x != y``, ``z = coalesce(x, y)``),
+    which multiplies from round to round of a loop until planning takes minutes."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts; sizes the partitioning of what follows."""
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

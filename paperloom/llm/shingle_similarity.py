@@ -1,17 +1,19 @@
 """Pairs of texts by the Jaccard similarity of their sets of word shingles.
 
-MinHash bands give candidates and the two texts' whole sets decide. Texts with equal sets are collapsed first. In a
+MinHash bands give candidates and the two texts' whole sets decide. Texts with equal sets are collapsed first, and
+each candidate's set of hashes is made and stored once. In a
 round all sets of a band's cell are compared with one of them, its hub, and what is similar becomes one component.
 Rounds with other hubs follow while the cells hold many more pairs of different components than sets and the last
-round joined any. Then only sets of a cell that are in different components are paired off, if their sizes allow the
-similarity. What is in one component needs no further link, so no component is lost, and the work is linear where a
-cell is one group of near copies.
+round joined a fair share of what it compared. What is in one component needs no further link, so no component is lost, and
+the work is linear where a cell is one group of near copies. Of the cells that still hold different components small ones
+are paired off, and large ones are cut into blocks: a pair of blocks is one task, which gets each set once and
+counts the common shingles of all its pairs as a product of matrices. That work grows with the square of a cell whose
+texts are all just below the similarity, but not its traffic, and no task's share does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, utf8_buffer
+from .common import by_bytes, cut, utf8_buffer, written
 from .components import connected_components
 from .word_hashes import window_hashes, word_hashes, word_spans
 
@@ -82,38 +84,106 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, size: int, bands: int
     return found.filter("id is not null")
 
 
-def _similar(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
-    """The rows ``(a, b)`` of ``pairs`` whose texts' sets are similar."""
-    asked = cut(pairs.select("a", "b").distinct())
-    ids = cut(asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct())
+def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``id, hashes``: the sorted shingle hashes of the rows with these ids."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    texts = cut(texts.dropDuplicates(["id"]))
-    both = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(64)(lambda text: shingle_set(text.encode(), size))
+        for batch in by_bytes(batches, "text", 2 << 20):
+            sets = shingle_sets(*utf8_buffer(batch.column("text")), size)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([own.tobytes() for own in sets], pa.binary())], ["id", "hashes"])
+
+    return texts.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, hashes binary").dropDuplicates(["id"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows ``(a, b)`` of ``pairs`` whose sets are similar."""
+    asked = cut(pairs.select("a", "b").distinct())
+    both = asked.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         for batch in batches:
-            close = [similarity(known(x.as_py()), known(y.as_py())) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            close = [similarity(own(x), own(y)) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = sets.schema["id"].dataType.simpleString()
     return cut(both.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
-def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, few: int = 4) -> DataFrame:
+def common_counts(sets: list[np.ndarray], heavy: int = 32) -> np.ndarray:
+    """How many shingles each two sets share: a product of matrices over those of many sets, sums by shingle over the others."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(own) for own in sets])
+    _, at, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    row, ends = row[order], np.cumsum(held)
+    out = np.zeros((n, n), np.float32)
+    many = np.flatnonzero(held * heavy > n) if n > 2 * heavy else np.flatnonzero(held > 1)
+    for s in range(0, len(many), 2048):
+        part = many[s : s + 2048]
+        has = np.zeros((n, len(part)), np.float32)
+        for j, k in enumerate(part):
+            has[row[ends[k] - held[k] : ends[k]], j] = 1
+        out += has @ has.T
+    for k in np.setdiff1d(np.flatnonzero(held > 1), many, assume_unique=True):
+        who = row[ends[k] - held[k] : ends[k]]
+        out[who[:, None], who] += 1
+    return out
+
+
+def spanning_pairs(close: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a symmetric relation that connect what all of its pairs connect: one less than members for each component."""
+    out, left = [], np.ones(len(close), bool)
+    for start in range(len(close)):
+        waiting = [start] if left[start] else []
+        left[start] = False
+        while waiting:
+            i = waiting.pop()
+            fresh = np.flatnonzero(close[i] & left).tolist()
+            left[fresh] = False
+            out += [(i, j) for j in fresh]
+            waiting += fresh
+    return out
+
+
+def _in_blocks(keyed: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Links between sets of one cell in different groups, a pair of blocks of a cell a task; enough of them to connect what all links connect."""
+    counts = keyed.groupBy("band", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = keyed.join(counts, ["band", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "cell", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", F.xxhash64("group").alias("group"), "size").join(sets, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        size, group = np.asarray(table.column("size")), np.asarray(table.column("group"))
+        common = common_counts([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
+        # as ``similarity`` divides: whole numbers below 2 ** 24 are exact here
+        close = common / np.maximum(size[:, None] + size[None] - common.astype(np.float64), 1) >= least
+        pairs = spanning_pairs(close & (group[:, None] != group[None]))
+        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        ids = table.column("id").combine_chunks()
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return cut(rows.groupBy("band", "cell", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}"))
+
+
+def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, few: int = 4, share: float = 0.05, small: int = 16, block: int = 1024) -> DataFrame:
     """Edges ``(a, b)`` between ids, whose components are those of all pairs with a similarity of ``least`` or more.
 
     A pair of similarity s is no candidate with probability (1 - s ** rows) ** bands: 0.00007 at 0.8, less above.
-    Rounds of hubs end at ``few`` pairs a set; that changes the work, not the components. Every link that is given is
-    checked on the whole sets. Ids must be unique; null ones and texts without words have no links.
+    Rounds of hubs end at ``few`` pairs a set, or when less than ``share`` of what they compare is similar; then cells of up to
+    ``small`` sets are paired off and larger ones go in blocks of about ``block``. These change the work, not the components. Every link
+    that is given is checked on the whole sets. Ids must be unique; null ones and texts without words have no links.
     """
     prints = cut(_signatures(df, id_col, text_col, size, bands, rows))
-    sets = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
-    found = prints.join(sets.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b"))
-    keyed = sets.select(F.col("owner").alias("id"), "size", F.posexplode("cells").alias("band", "cell"))
+    classes = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
+    found = prints.join(classes.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b"))
+    keyed = classes.select(F.col("owner").alias("id"), "size", F.posexplode("cells").alias("band", "cell"))
     shared = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     keyed = cut(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")))
+    sets = cut(_sets(df, keyed.select("id").distinct(), id_col, text_col, size))
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
     for step in count():
         groups = keyed.groupBy("band", "cell", "group").agg(F.count("*").alias("n")).groupBy("band", "cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
@@ -122,15 +192,20 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
             break
         hubs = cut(keyed.groupBy("band", "cell").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("at"), "id", "group", "size")).alias("hub")))
         stars = keyed.join(hubs, ["band", "cell"]).filter((F.col("group") != F.col("hub.group")) & fits(F.col("size"), F.col("hub.size")))
-        stars = stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
-        near = _similar(stars, df, id_col, text_col, size, least)
-        if near.isEmpty():
+        stars = cut(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
+        near = _similar(stars, sets, least)
+        joined = near.count()
+        if joined:
+            found = found.union(near)
+            keyed = _grouped(keyed, near)
+        if joined <= share * stars.count():
             break
-        found = found.union(near)
-        keyed = _grouped(keyed, near)
-    one, two = (keyed.select("band", "cell", F.col("id").alias(x), F.col("group").alias(f"{x}_group"), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
+    counts = keyed.groupBy("band", "cell").agg(F.count("*").alias("n"))
+    keyed = cut(keyed.join(counts, ["band", "cell"]))
+    one, two = (keyed.filter(F.col("n") <= small).select("band", "cell", F.col("id").alias(x), F.col("group").alias(f"{x}_group"), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
     apart = one.join(two, ["band", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & fits(F.col("a_size"), F.col("b_size")))
-    return found.union(_similar(apart.select("a", "b"), df, id_col, text_col, size, least)).distinct()
+    large = keyed.filter(F.col("n") > small).drop("n")
+    return found.union(_similar(apart.select("a", "b"), sets, least)).union(_in_blocks(large, sets, least, block)).distinct()
 
 
 def _grouped(keyed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,10 +213,10 @@ def _grouped(keyed: DataFrame, edges: DataFrame) -> DataFrame:
     ids = keyed.select("id", "group").distinct()
     name = lambda end: ids.select(F.col("id").alias(end), F.col("group").alias(f"{end}_group"))
     between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
-    whole = cut(connected_components(between).withColumnRenamed("node", "group"))
-    keyed = cut(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")))
+    whole = written(connected_components(written(between)).withColumnRenamed("node", "group"))
+    keyed = written(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")))
     mixed = cut(keyed.groupBy("band", "cell").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("band", "cell"))
-    return cut(keyed.join(mixed, ["band", "cell"]))
+    return written(keyed.join(mixed, ["band", "cell"]))
 
 
 def merge(groups: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -149,5 +224,5 @@ def merge(groups: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> DataFr
     groups = cut(groups.select(id_col, "component_id"))
     name = lambda end: groups.select(F.col(id_col).alias(end), F.col("component_id").alias(f"{end}_group"))
     between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).filter("a != b")
-    whole = connected_components(between).withColumnRenamed("node", "component_id")
+    whole = connected_components(written(between)).withColumnRenamed("node", "component_id")
     return groups.join(whole, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id"))

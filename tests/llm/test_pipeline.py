@@ -42,7 +42,7 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 
 
 def test_registered_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_near_copies_of_five_word_similarity_are_dropped(spark):
@@ -95,8 +95,30 @@ def test_similarity_links_join_what_all_pairs_join(spark, sf_dir):
         return {i: find(i) for i in sets}
 
     want = components((a, b) for a, b in itertools.combinations(sorted(sets), 2) if shingle_similarity.similarity(sets[a], sets[b]) >= 0.8)
-    for few in (0, 1_000_000):  # rounds of hubs as long as they join any; none
-        assert components((x.a, x.b) for x in shingle_similarity.links(docs, few=few).collect()) == want
+    # rounds of hubs as long as they join any; none; no pairing off, blocks of a few sets
+    for how in ({"few": 0, "share": 0}, {"few": 1_000_000}, {"few": 1_000_000, "small": 1, "block": 7}, {"few": 0, "small": 1, "block": 1000}):
+        got = [(x.a, x.b) for x in shingle_similarity.links(docs, **how).collect()]
+        assert components(got) == want
+        assert all(shingle_similarity.similarity(sets[a], sets[b]) >= 0.8 for a, b in got)
+
+
+def test_a_hot_cell_just_below_the_similarity():
+    r = random.Random(9)
+    base = np.sort(np.array(r.sample(range(1 << 40), 150), np.uint64))
+    sets = [np.sort(np.concatenate([np.array(r.sample(base.tolist(), 133), np.uint64), np.array(r.sample(range(1 << 40), 17), np.uint64)])) for _ in range(300)]
+    sets += [np.array([5], np.uint64), np.zeros(0, np.uint64)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    got = shingle_similarity.common_counts(sets)
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got[off] == want[off]).all()
+    assert 0.6 < np.median([shingle_similarity.similarity(a, b) for a, b in itertools.combinations(sets[:50], 2)]) < 0.8
+    close = want >= 122
+    root = list(range(len(sets)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in shingle_similarity.spanning_pairs(close & off):
+        assert close[a, b] and find(a) != find(b)  # no link more than needed
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in zip(*np.nonzero(close & off)))
 
 
 def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):

@@ -28,6 +28,8 @@ from .word_hashes import window_hashes, word_hashes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Rows of ids, cells or edges that a partition may hold between rounds; fewer, larger files than a shuffle has partitions.
+FILL = 100_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -181,8 +183,9 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     classes = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
     found = prints.join(classes.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b"))
     keyed = classes.select(F.col("owner").alias("id"), "size", F.posexplode("cells").alias("band", "cell"))
-    shared = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    keyed = cut(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")))
+    parts = 1 + bands * classes.count() // FILL
+    shared = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n").coalesce(parts))
+    keyed = cut(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")).coalesce(parts))
     sets = cut(_sets(df, keyed.select("id").distinct(), id_col, text_col, size))
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
     for step in count():
@@ -190,33 +193,34 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
         members, pairs = groups.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not members or pairs <= few * members:
             break
-        hubs = cut(keyed.groupBy("band", "cell").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("at"), "id", "group", "size")).alias("hub")))
+        hubs = cut(keyed.groupBy("band", "cell").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("at"), "id", "group", "size")).alias("hub")).coalesce(parts))
         stars = keyed.join(hubs, ["band", "cell"]).filter((F.col("group") != F.col("hub.group")) & fits(F.col("size"), F.col("hub.size")))
-        stars = cut(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
+        stars = cut(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().coalesce(parts))
         near = _similar(stars, sets, least)
         joined = near.count()
         if joined:
             found = found.union(near)
-            keyed = _grouped(keyed, near)
+            keyed = _grouped(keyed, near, parts)
         if joined <= share * stars.count():
             break
     counts = keyed.groupBy("band", "cell").agg(F.count("*").alias("n"))
-    keyed = cut(keyed.join(counts, ["band", "cell"]))
+    keyed = cut(keyed.join(counts, ["band", "cell"]).coalesce(parts))
     one, two = (keyed.filter(F.col("n") <= small).select("band", "cell", F.col("id").alias(x), F.col("group").alias(f"{x}_group"), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
     apart = one.join(two, ["band", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & fits(F.col("a_size"), F.col("b_size")))
     large = keyed.filter(F.col("n") > small).drop("n")
     return found.union(_similar(apart.select("a", "b"), sets, least)).union(_in_blocks(large, sets, least, block)).distinct()
 
 
-def _grouped(keyed: DataFrame, edges: DataFrame) -> DataFrame:
+def _grouped(keyed: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     """``keyed`` with the groups that ``edges`` between ids join made one, without the cells that are in one group."""
     ids = keyed.select("id", "group").distinct()
     name = lambda end: ids.select(F.col("id").alias(end), F.col("group").alias(f"{end}_group"))
     between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
-    whole = written(connected_components(written(between)).withColumnRenamed("node", "group"))
-    keyed = written(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")))
-    mixed = cut(keyed.groupBy("band", "cell").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("band", "cell"))
-    return written(keyed.join(mixed, ["band", "cell"]))
+    between = between.coalesce(1 + edges.count() // FILL)
+    whole = written(connected_components(written(between), fill=FILL).withColumnRenamed("node", "group"))
+    keyed = written(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")).coalesce(parts))
+    mixed = cut(keyed.groupBy("band", "cell").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("band", "cell").coalesce(parts))
+    return written(keyed.join(mixed, ["band", "cell"]).coalesce(parts))
 
 
 def merge(groups: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -224,5 +228,6 @@ def merge(groups: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> DataFr
     groups = cut(groups.select(id_col, "component_id"))
     name = lambda end: groups.select(F.col(id_col).alias(end), F.col("component_id").alias(f"{end}_group"))
     between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).filter("a != b")
-    whole = connected_components(written(between)).withColumnRenamed("node", "component_id")
+    between = between.coalesce(1 + edges.count() // FILL)
+    whole = connected_components(written(between), fill=FILL).withColumnRenamed("node", "component_id")
     return groups.join(whole, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id"))

@@ -38,12 +38,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, but as a table: a checkpoint also keeps what the planner knew of the rows (``x != y``, ``z = coalesce(x, y)``),
-    which multiplies from round to round of a loop until planning takes minutes."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+class Scratch:
+    """Tables in the shared folder that steps of a loop hand on, and that are removed once nothing reads them.
+
+    Unlike ``cut``, a table forgets what the planner knew of the rows (``x != y``, ``z = coalesce(x, y)``), which multiplies
+    from round to round of a loop until planning takes minutes. Free a table only when all that was made of it is
+    itself a table: a lost executor's work is then done again from what is left.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        folder = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.held.append((out, folder))
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        self._keep([t for t, _ in self.held if not any(t is x for x in tables)])
+
+    def free_all_but(self, *tables: DataFrame) -> None:
+        self._keep(list(tables))
+
+    def _keep(self, tables: list[DataFrame]) -> None:
+        left = []
+        for table, folder in self.held:
+            if any(table is x for x in tables):
+                left.append((table, folder))
+            else:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held = left
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

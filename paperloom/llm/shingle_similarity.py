@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, utf8_buffer, written
+from .common import Scratch, by_bytes, utf8_buffer
 from .components import connected_components
 from .word_hashes import window_hashes, word_hashes, word_spans
 
@@ -99,9 +99,8 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The rows ``(a, b)`` of ``pairs`` whose sets are similar."""
-    asked = cut(pairs.select("a", "b").distinct())
-    both = asked.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+    """The rows ``(a, b)`` of ``pairs`` (a table of different pairs) whose sets are similar."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +110,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     kind = sets.schema["id"].dataType.simpleString()
-    return cut(both.mapInArrow(run, f"a {kind}, b {kind}"))
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def common_counts(sets: list[np.ndarray], heavy: int = 32) -> np.ndarray:
@@ -168,7 +167,7 @@ def _in_blocks(keyed: DataFrame, sets: DataFrame, least: float, block: int) -> D
         return pa.table({"a": ids.take(a), "b": ids.take(b)})
 
     kind = sets.schema["id"].dataType.simpleString()
-    return cut(rows.groupBy("band", "cell", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}"))
+    return rows.groupBy("band", "cell", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, few: int = 4, share: float = 0.05, small: int = 16, block: int = 1024) -> DataFrame:
@@ -179,55 +178,64 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     ``small`` sets are paired off and larger ones go in blocks of about ``block``. These change the work, not the components. Every link
     that is given is checked on the whole sets. Ids must be unique; null ones and texts without words have no links.
     """
-    prints = cut(_signatures(df, id_col, text_col, size, bands, rows))
-    classes = cut(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
-    found = prints.join(classes.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b"))
+    table = Scratch(df.sparkSession)
+    prints = table(_signatures(df, id_col, text_col, size, bands, rows))
+    classes = table(prints.groupBy("shingles").agg(F.min("id").alias("owner"), F.first("cells").alias("cells"), F.first("size").alias("size")))
+    found = table(prints.join(classes.select("shingles", "owner"), "shingles").filter("id != owner").select(F.col("owner").alias("a"), F.col("id").alias("b")))
     keyed = classes.select(F.col("owner").alias("id"), "size", F.posexplode("cells").alias("band", "cell"))
     parts = 1 + bands * classes.count() // FILL
-    shared = cut(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n").coalesce(parts))
-    keyed = cut(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")).coalesce(parts))
-    sets = cut(_sets(df, keyed.select("id").distinct(), id_col, text_col, size))
+    shared = table(keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).filter("n > 1").drop("n").coalesce(parts))
+    keyed = table(keyed.join(shared, ["band", "cell"]).withColumn("group", F.col("id")).coalesce(parts))
+    sets = table(_sets(df, keyed.select("id").distinct(), id_col, text_col, size))
+    table.free_all_but(found, keyed, sets)
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
     for step in count():
         groups = keyed.groupBy("band", "cell", "group").agg(F.count("*").alias("n")).groupBy("band", "cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         members, pairs = groups.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not members or pairs <= few * members:
             break
-        hubs = cut(keyed.groupBy("band", "cell").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("at"), "id", "group", "size")).alias("hub")).coalesce(parts))
+        hubs = table(keyed.groupBy("band", "cell").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id").alias("at"), "id", "group", "size")).alias("hub")).coalesce(parts))
         stars = keyed.join(hubs, ["band", "cell"]).filter((F.col("group") != F.col("hub.group")) & fits(F.col("size"), F.col("hub.size")))
-        stars = cut(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().coalesce(parts))
-        near = _similar(stars, sets, least)
-        joined = near.count()
+        stars = table(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().coalesce(parts))
+        near = table(_similar(stars, sets, least))
+        compared, joined = stars.count(), near.count()
         if joined:
-            found = found.union(near)
-            keyed = _grouped(keyed, near, parts)
-        if joined <= share * stars.count():
+            found = table(found.union(near).coalesce(parts))
+            keyed = _grouped(keyed, near, parts, table)
+        table.free_all_but(found, keyed, sets)
+        if joined <= share * compared:
             break
     counts = keyed.groupBy("band", "cell").agg(F.count("*").alias("n"))
-    keyed = cut(keyed.join(counts, ["band", "cell"]).coalesce(parts))
+    keyed = table(keyed.join(counts, ["band", "cell"]).coalesce(parts))
     one, two = (keyed.filter(F.col("n") <= small).select("band", "cell", F.col("id").alias(x), F.col("group").alias(f"{x}_group"), F.col("size").alias(f"{x}_size")) for x in ("a", "b"))
     apart = one.join(two, ["band", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & fits(F.col("a_size"), F.col("b_size")))
+    apart = table(apart.select("a", "b").distinct())
     large = keyed.filter(F.col("n") > small).drop("n")
-    return found.union(_similar(apart.select("a", "b"), sets, least)).union(_in_blocks(large, sets, least, block)).distinct()
+    out = table(found.union(_similar(apart, sets, least)).union(_in_blocks(large, sets, least, block)).distinct())
+    table.free_all_but(out)
+    return out
 
 
-def _grouped(keyed: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
+def _grouped(keyed: DataFrame, edges: DataFrame, parts: int, table: Scratch) -> DataFrame:
     """``keyed`` with the groups that ``edges`` between ids join made one, without the cells that are in one group."""
     ids = keyed.select("id", "group").distinct()
     name = lambda end: ids.select(F.col("id").alias(end), F.col("group").alias(f"{end}_group"))
     between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"))
-    between = between.coalesce(1 + edges.count() // FILL)
-    whole = written(connected_components(written(between), fill=FILL).withColumnRenamed("node", "group"))
-    keyed = written(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")).coalesce(parts))
-    mixed = cut(keyed.groupBy("band", "cell").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("band", "cell").coalesce(parts))
-    return written(keyed.join(mixed, ["band", "cell"]).coalesce(parts))
+    between = table(between.coalesce(1 + edges.count() // FILL))
+    whole = table(connected_components(between, fill=FILL, scratch=table).withColumnRenamed("node", "group"))
+    keyed = table(keyed.join(whole, "group", "left").select("band", "cell", "id", "size", F.coalesce("component", "group").alias("group")).coalesce(parts))
+    mixed = table(keyed.groupBy("band", "cell").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("band", "cell").coalesce(parts))
+    return table(keyed.join(mixed, ["band", "cell"]).coalesce(parts))
 
 
 def merge(groups: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``groups`` (``id_col`` and ``component_id``) with components that ``edges`` between ids join made one."""
-    groups = cut(groups.select(id_col, "component_id"))
+    table = Scratch(groups.sparkSession)
+    groups = table(groups.select(id_col, "component_id"))
     name = lambda end: groups.select(F.col(id_col).alias(end), F.col("component_id").alias(f"{end}_group"))
     between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).filter("a != b")
-    between = between.coalesce(1 + edges.count() // FILL)
-    whole = connected_components(written(between), fill=FILL).withColumnRenamed("node", "component_id")
-    return groups.join(whole, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id"))
+    between = table(between.coalesce(1 + edges.count() // FILL))
+    whole = connected_components(between, fill=FILL, scratch=table).withColumnRenamed("node", "component_id")
+    out = table(groups.join(whole, "component_id", "left").select(id_col, F.coalesce("component", "component_id").alias("component_id")))
+    table.free_all_but(out)
+    return out

@@ -306,6 +306,83 @@ def test_license_expressions(text, want):
     assert (None if postfix is None else license_scan.evaluate(postfix)[0]) is want
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("MIT -- see LICENSE", ["MIT"]), ("<!-- SPDX-License-Identifier: MIT -->", ["MIT"]), ("MIT. See file", ["MIT"]), ("MIT.", ["MIT"]), ("MIT OR", []), ("MIT OR -- x", []), ("MIT)", ["MIT"]), ("(MIT", []),
+        ("(MIT OR  ISC) */", ["(MIT OR ISC)"]), ("Apache-2.0 WITH (x)", []), ("GPL-2.0+, or later", ["GPL-2.0+"]), ("", []), ("MIT\nor ISC", ["MIT"]), ("MIT SPDX-License-Identifier: ISC", ["MIT", "ISC"]),
+    ],
+)
+def test_license_tags(line, want):
+    text = line if line.startswith("<") else f"# SPDX-license-identifier: {line}"
+    assert [" ".join(x.split()) for x in license_scan.tag_expressions(text.encode())] == want
+    assert license_scan.tag_expressions(b"x" + text.encode().lstrip(b"# <!-")) == want[1:]
+
+
+def test_license_labels_of_unknown_identifiers(spark):
+    rows = [(1, "SPDX-License-Identifier: Foo-Bar"), (1, "SPDX-License-Identifier: MIT. See file"), (None, "SPDX-License-Identifier: Foo OR ISC"), (2, "word " * 900_000 + "é SPDX-License-Identifier: MIT under the mit license")]
+    got = sorted(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.labels)
+    assert [(r.doc_id, r.labels, r.permissive) for r in got] == [
+        (2, ["mit", "spdx:mit"], True), (None, ["spdx-unknown:foo", "spdx:isc"], True), (1, ["spdx-unknown:foo-bar"], False), (1, ["spdx:mit"], True),
+    ]
+    assert got[0].first_word == 900_005 and got[2].score == 0.0 and got[1].score == 0.5 and got[3].score == 1 - 0.5**4
+
+
+def test_license_scan_against_brute_force(spark):
+    r = random.Random(4)
+    parts = ["under", "the", "mit", "license", "Under The MIT License", "apache license, version 2", "cc", "by", "nc", "cc-by-nc", "é", "\n", "SPDX-License-Identifier:", "MIT", "OR", "and", "WITH", "(", ")", "ISC.", "GPL-2.0", "--", "odd"]
+    texts = [" ".join(r.choices(parts, k=r.randrange(40))) for _ in range(400)]
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def parse(tokens):
+        """Recursive descent over whole token lists: or below and below with."""
+
+        def term(i):
+            if i < len(tokens) and tokens[i] == "(":
+                j = level(i + 1, 0)
+                return j + 1 if j and j < len(tokens) and tokens[j] == ")" else None
+            return i + 1 if i < len(tokens) and tokens[i] not in {"or", "and", "with", "(", ")"} else None
+
+        def level(i, k):
+            if k == 2:
+                j = term(i)
+                while j and j < len(tokens) and tokens[j] == "with":
+                    j = j + 2 if j + 1 < len(tokens) and tokens[j + 1] not in {"or", "and", "with", "(", ")"} else None
+                return j
+            j = level(i, k + 1)
+            while j and j < len(tokens) and tokens[j] == ("or", "and")[k]:
+                j = level(j + 1, k + 1)
+            return j
+
+        return level(0, 0) == len(tokens)
+
+    def could_go_on(tokens):
+        ends = [["x"], [], ["x", ")"], [")"]]
+        return any(parse([*tokens, *e, *[")"] * n]) for e in ends for n in range(len(tokens) + 1))
+
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        places = [(w, label) for phrase, label in license_scan.BASE_PHRASES.items() for w in range(len(words)) if words[w : w + len(phrase.split())] == phrase.split()]
+        row = got[i]
+        assert (row.n_words, row.n_base, row.base_labels) == (len(words), len(places), sorted({b for _, b in places}))
+        assert (row.first_word, row.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        want = []
+        for rest in text.split("SPDX-License-Identifier:")[1:]:
+            tokens = []
+            for t in rest.split("\n")[0].split(" "):
+                t = t.lower()
+                if not t:
+                    continue
+                if not re.match(r"[(a-z0-9)]", t) or not could_go_on([*tokens, t.rstrip(".").removesuffix(",")]):
+                    break
+                tokens.append(t.rstrip(".").removesuffix(","))
+                if t[-1] in ".,":
+                    break
+            if tokens and parse(tokens):
+                want.append(tokens)
+        assert [x.lower().split() for x in row.expressions] == want, text
+
+
 def test_language_id(spark, sf_dir, docs):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(table.filter(~language_id.held_out()))

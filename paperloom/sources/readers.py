@@ -20,11 +20,38 @@ def files(spark: SparkSession, *paths: str, suffix: str = ".pdf") -> DataFrame:
     return rows.select(F.left(name, F.length(name) - len(suffix)).alias("id"), "path", "content")
 
 
-def file_list(spark: SparkSession, path: str) -> DataFrame:
+def file_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``entry``: the lines of list files, without blank ones and comments."""
     return spark.read.text(path).select(F.trim("value").alias("entry")).filter((F.col("entry") != "") & ~F.col("entry").startswith("#"))
 
 
+def expand_inputs(spark: SparkSession, inputs: DataFrame, depth: int = 16, most_lists: int = 10_000) -> DataFrame:
+    """``entry, kind, depth``: the column ``entry`` of ``inputs`` with list files (``.txt``) replaced by their lines, those of lists in lists too.
+
+    A fixed point: a round reads the lists that no round has read, so a list that names itself or one above it ends there;
+    each entry comes once, at its least depth. ``kind`` is *file* (``.pdf``), *id* (40 hexadecimal digits), *folder* (a slash at
+    the end) or *unknown*, for the caller to skip. Only names of lists reach the driver: over ``most_lists`` in a round, or lists nested
+    deeper than ``depth``, raise an error, as does a list that isn't there. Null and blank entries and comments are dropped.
+    """
+    fresh = inputs.select(F.trim("entry").alias("entry")).filter((F.col("entry") != "") & ~F.col("entry").startswith("#")).distinct()
+    found, read = fresh.withColumn("depth", F.lit(0)), set()
+    for level in range(1, depth + 2):
+        named = fresh.filter(F.col("entry").endswith(".txt")).limit(most_lists + 1).collect()
+        if len(named) > most_lists:
+            raise ValueError(f"over {most_lists} lists at depth {level - 1}")
+        waiting = sorted({r.entry for r in named} - read)
+        if not waiting:
+            break
+        if level > depth:
+            raise ValueError(f"lists are nested deeper than {depth}")
+        read.update(waiting)
+        fresh = file_list(spark, waiting).distinct()
+        found = found.union(fresh.withColumn("depth", F.lit(level)))
+    kind = F.when(F.col("entry").endswith(".pdf"), "file").when(F.col("entry").rlike("^[0-9a-f]{40}$"), "id").when(F.col("entry").endswith("/"), "folder").otherwise("unknown")
+    out = found.filter(~F.col("entry").endswith(".txt")).groupBy("entry").agg(F.min("depth").alias("depth"))
+    return out.select("entry", kind.alias("kind"), "depth")
+
+
 def object_key(identifier: Column) -> Column:
     """Key of an object store: the first four characters, a slash, the rest."""
     return F.concat(F.left(identifier, F.lit(4)), F.lit("/"), F.substr(identifier, F.lit(5)))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom import schema
@@ -104,3 +105,19 @@ def test_stream_of_feedback_keeps_the_latest(spark, tmp_path):
         stream = ingest.arriving_rows(spark, str(src), "paper string, at timestamp_ntz, value string")
         ingest.upsert_latest(stream, out, "paper", "at", str(tmp_path / "ck")).awaitTermination()
     assert {r.paper: r.value for r in spark.read.parquet(f"{out}/1").collect()} == {"p": "new", "q": "only"}
+
+
+def test_lists_in_lists_are_expanded(spark, tmp_path):
+    sha = "0123456789" * 4
+    a, b, c = (str(tmp_path / f"{n}.txt") for n in "abc")
+    (tmp_path / "a.txt").write_text(f"x.pdf\n# note\n\n{b}\n{c}\ndir/\n")
+    (tmp_path / "b.txt").write_text(f"{a}\ny.pdf\nx.pdf\n{sha}\n{c}\n")
+    (tmp_path / "c.txt").write_text(f"{c}\n z.pdf \nwhat\n")
+    inputs = spark.createDataFrame([(a,), ("y.pdf",), (None,), (" ",), (a,)], "entry string")
+    got = {r.entry: (r.kind, r.depth) for r in R.expand_inputs(spark, inputs).collect()}
+    assert got == {"x.pdf": ("file", 1), "y.pdf": ("file", 0), "z.pdf": ("file", 2), "dir/": ("folder", 1), sha: ("id", 2), "what": ("unknown", 2)}
+    with pytest.raises(ValueError, match="deeper than 1"):
+        R.expand_inputs(spark, inputs, depth=1)
+    with pytest.raises(ValueError, match="over 1 lists"):
+        R.expand_inputs(spark, inputs, most_lists=1)
+    assert R.expand_inputs(spark, inputs.filter("entry = 'none'")).count() == 0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.names import eval_last_name
+from ..functions.text import first_and_last_word, mention_normalize, normalize
 
 
 def _ratios(gold: Column, guess: Column, hits: Column) -> list[Column]:
@@ -97,29 +100,104 @@ RECORD_METRICS = {
     "bibVenues": lambda: F.array("venue"),
     "bibVenuesNormalized": lambda: F.array(normalize("venue")),
     "bibYears": lambda: F.array(F.nullif(F.col("year").cast("string"), F.lit("0"))),
-    "bibAll": lambda: F.array(F.concat_ws("|", "title", F.array_join("authors", ":"), "venue", F.col("year").cast("string"))),
-    "bibAllButVenuesNormalized": lambda: F.array(F.concat_ws("|", normalize("title"), F.array_join(F.transform("authors", normalize), ":"), F.col("year").cast("string"))),
+    "bibAll": lambda: F.array(_fields(F.col("title"), F.array_join("authors", ":"), F.col("venue"), F.col("year").cast("string"))),
+    "bibAllNormalized": lambda: F.array(_fields(normalize("title"), F.array_join(F.transform("authors", normalize), ":"), normalize("venue"), F.col("year").cast("string"))),
+    "bibAllButVenuesNormalized": lambda: F.array(_fields(normalize("title"), F.array_join(F.transform("authors", normalize), ":"), F.col("year").cast("string"))),
+    "bibCounts": lambda: F.array(F.lit("record")),
+}
+#: Items of a paper: its authors, title and abstract.
+PAPER_METRICS = {
+    "authorFullName": lambda: F.col("authors"),
+    "authorFullNameNormalized": lambda: F.transform("authors", normalize),
+    "authorLastName": lambda: F.transform("authors", eval_last_name),
+    "authorLastNameNormalized": lambda: F.transform("authors", lambda a: normalize(eval_last_name(a))),
+    "title": lambda: F.array("title"),
+    "titleNormalized": lambda: F.array(normalize("title")),
+    "abstract": lambda: F.array(first_and_last_word("abstract")),
+    "abstractNormalized": lambda: F.array(normalize(first_and_last_word("abstract"))),
 }
-SET_METRICS = ("bibAll", "bibAllButVenuesNormalized")
+#: Items of a mention: its context and itself without parentheses.
+MENTION_METRICS = {
+    "bibMentions": lambda: F.array(_mention()),
+    "bibMentionsNormalized": lambda: F.array(mention_normalize(_mention())),
+}
+SET_METRICS = ("bibAll", "bibAllNormalized", "bibAllButVenuesNormalized")
+COUNT_METRICS = ("bibCounts",)
+
+
+def _fields(*parts: Column) -> Column:
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def _mention() -> Column:
+    return _fields(F.col("context"), F.regexp_replace("mention", "[()]", ""))
+
+
+def metric_items(rows: DataFrame, metrics: dict) -> DataFrame:
+    """``metric, paper, item`` of rows with a ``paper``; null and empty items don't count. One scan."""
+    cells = F.array(*[F.struct(F.lit(name).alias("metric"), items().alias("items")) for name, items in metrics.items()])
+    return rows.select("paper", F.inline(cells)).select("metric", "paper", F.explode("items").alias("item")).filter("item <> ''")
 
 
 def record_items(records: DataFrame) -> DataFrame:
-    """``metric, paper, item`` of ``paper, title, authors, venue, year``; null and empty items don't count. One scan."""
-    cells = F.array(*[F.struct(F.lit(name).alias("metric"), items().alias("items")) for name, items in RECORD_METRICS.items()])
-    return records.select("paper", F.inline(cells)).select("metric", "paper", F.explode("items").alias("item")).filter("item <> ''")
+    """``metric, paper, item`` of ``paper, title, authors, venue, year``."""
+    return metric_items(records, RECORD_METRICS)
 
 
-def record_metrics(gold: DataFrame, guess: DataFrame) -> DataFrame:
-    """``metric, precision, recall``: the macro average over the papers of gold of every record metric."""
-    both = record_items(gold).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(record_items(guess).withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
+def _scores(gold: DataFrame, guess: DataFrame) -> DataFrame:
+    """``metric, paper, precision, recall`` of ``metric, paper, item`` wherever either side has an item: two aggregations, no join."""
+    both = gold.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(guess.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
     c = both.groupBy("metric", "paper", "item").agg(F.sum("a").alias("x"), F.sum("b").alias("y"))
-    once = F.col("metric").isin(*SET_METRICS)
+    once, number = F.col("metric").isin(*SET_METRICS), F.col("metric").isin(*COUNT_METRICS)
     x, y = (F.when(once, F.least(F.col(v), F.lit(1))).otherwise(F.col(v)) for v in ("x", "y"))
     sums = c.groupBy("metric", "paper").agg(F.sum(x).alias("gold"), F.sum(y).alias("guess"), F.sum(F.least(x, y)).alias("hits"))
-    scores = sums.select("metric", "paper", *_ratios(F.col("gold"), F.col("guess"), F.col("hits")))
+    gold, guess = F.col("gold"), F.col("guess")
+    precision, recall = _ratios(gold, guess, F.col("hits"))
+    found = F.when(gold == 0, 1.0).otherwise(guess / gold)
+    return sums.select("metric", "paper", F.when(number, 1.0).otherwise(precision).alias("precision"), F.when(number, found).otherwise(recall).alias("recall"))
+
+
+def record_metrics(gold: DataFrame, guess: DataFrame) -> DataFrame:
+    """``metric, precision, recall``: the macro average over the papers of gold of every record metric."""
+    scores = _scores(record_items(gold), record_items(guess))
     return macro_average(scores.join(gold.select("paper").distinct(), "paper", "left_semi"), gold, ["metric"])
 
 
+@dataclass(frozen=True)
+class Extraction:
+    """What is known of papers, by hand or by extraction; all tables have ``paper``, other columns are ignored.
+
+    ``papers``: ``authors`` (a list), ``title``, ``abstract``, a row a paper. ``records``: ``title, authors, venue, year``, a row an
+    entry of a bibliography. ``mentions``: ``context, mention``, a row a citation.
+    """
+
+    papers: DataFrame
+    records: DataFrame
+    mentions: DataFrame
+
+    def items(self) -> DataFrame:
+        return metric_items(self.papers, PAPER_METRICS).union(metric_items(self.records, RECORD_METRICS)).union(metric_items(self.mentions, MENTION_METRICS))
+
+
+def gold_metrics(gold: Extraction, guess: Extraction) -> DataFrame:
+    """``metric, papers, failed, precision, recall`` of all metrics: averages over the papers of gold.
+
+    A paper that the extraction doesn't have failed and counts 0; where neither side of another paper has an item, precision and
+    recall are 1. Null papers take no part; items of papers that are not in ``papers`` don't count; repeated items
+    are matched as often as both sides have them (whole records: once). Without gold papers the averages are null.
+    """
+    papers = gold.papers.select("paper").filter("paper is not null").distinct()
+    found = guess.papers.select("paper").distinct().withColumn("found", F.lit(True))
+    papers = papers.join(found, "paper", "left")
+    n = papers.agg(F.count("*").alias("n"), F.count("found").alias("n_found"))
+    scores = _scores(gold.items(), guess.items()).join(papers.filter("found"), "paper", "left_semi")
+    sums = scores.groupBy("metric").agg(F.count("*").alias("scored"), F.sum("precision").alias("p"), F.sum("recall").alias("r"))
+    names = F.array(*[F.lit(m) for m in (*PAPER_METRICS, *RECORD_METRICS, *MENTION_METRICS)])
+    rows = n.select("*", F.explode(names).alias("metric")).join(sums, "metric", "left").fillna(0, ["scored", "p", "r"])
+    mean = lambda c: F.try_divide(F.col(c) + F.col("n_found") - F.col("scored"), F.col("n"))
+    return rows.select("metric", F.col("n").alias("papers"), (F.col("n") - F.col("n_found")).alias("failed"), mean("p").alias("precision"), mean("r").alias("recall"))
+
+
 def annotation_sheet(records: DataFrame) -> DataFrame:
     """``paper, number, cell``: each paper's list of records as rows numbered from 1."""
     return records.select("paper", F.posexplode("cells").alias("i", "cell")).select("paper", (F.col("i") + 1).alias("number"), "cell")

@@ -61,12 +61,15 @@ def _parse_query(style: str, fixture: str):
     names = ", ".join(f"'{g}'" for g in groups)
     pattern = pattern.replace("'", "''")
     year = "CAST(g.year AS INTEGER)" if "year" in groups else "coalesce(CAST(nullif(regexp_extract(g.venue, '([1-2][0-9][0-9][0-9])', 1), '') AS INTEGER), 0)"
-    sql = f"""SELECT section, n, g.authors AS authors, g.title AS title, g.venue AS venue, {year} AS year FROM (
+    title = "g.title" if "title" in groups else "''"
+    sql = f"""SELECT section, n, g.authors AS authors, {title} AS title, g.venue AS venue, {year} AS year FROM (
         SELECT section, n, regexp_extract(entry, '{pattern}', [{names}]) AS g FROM ({references_sql(fixture)}) WHERE regexp_matches(entry, '{pattern}'))"""
     return run, sql
 
 
-for _name, _style, _fixture in (("parse_bracket", "bracket_quoted", "bracket"), ("parse_dot", "dot_plain", "dot"), ("parse_named_year", "named_year", "named")):
+_STYLES = [("parse_bracket", "bracket_quoted", "bracket"), ("parse_dot", "dot_plain", "dot"), ("parse_named_year", "named_year", "named")]
+_STYLES += [(f"parse_{s}", s, s) for s in ("close_paren", "named_year_parens", "dot_colon", "dot_no_title", "bracket_commas", "bracket_plain", "bracket_name")]
+for _name, _style, _fixture in _STYLES:
     QUERIES[_name], ORACLE_SQL[_name] = _parse_query(_style, _fixture)
 
 
@@ -92,10 +95,23 @@ def style_select(spark, sf_dir):
     return best.groupBy("section", "style").agg(F.count("*").alias("records"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
-@query(f"SELECT section, n - 1 AS n, entry FROM ({references_sql('bracket')}) WHERE section % 3 = 0")
-def segment_brackets(spark, sf_dir):
-    s = sections(spark, sf_dir).filter("section % 3 = 0")
-    return s.select("section", F.posexplode(B.segment(F.col("body"), "bracket")).alias("n", "entry"))
+def _segment_query(how: str, fixture: str):
+    """Bibliographies of one style whose entries run over several lines, one of them within a word."""
+
+    def run(spark, sf_dir):
+        refs = references(table(spark, sf_dir, "part"), fixture)
+        long = F.replace("entry", F.concat(F.lit(" "), "p_type"), F.concat(F.lit("<lb>"), "p_type"))
+        long = F.replace(long, F.col("p_name"), F.concat(F.left("p_name", F.lit(3)), F.lit("-<lb>"), F.expr("substr(p_name, 4)")))
+        mark = "<bb>" if how.startswith(("named", "bracket_name")) else "<lb>"
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", long.alias("entry")))), lambda x: x["entry"]), mark)
+        whole = refs.groupBy("section").agg(F.concat(F.lit("<bb>"), body).alias("body"))
+        return whole.select("section", F.posexplode(B.segment(F.col("body"), how)).alias("n", "entry"))
+
+    return run, f"SELECT section, n - 1 AS n, entry FROM ({references_sql(fixture)})"
+
+
+for _name, _how, _fixture in (("segment_brackets", "bracket", "bracket"), ("segment_dots", "dot", "dot"), ("segment_parens", "paren", "close_paren"), ("segment_named", "named", "named"), ("segment_bracket_names", "bracket_name", "bracket_name")):
+    QUERIES[_name], ORACLE_SQL[_name] = _segment_query(_how, _fixture)
 
 
 @query(f"SELECT section, n, title FROM (SELECT section, n, regexp_replace('\"' || p_name || ',\"', '^[\"''“”.,\\s]+|[\"''“”.,\\s]+$', '', 'g') AS title, p_type FROM ({references_sql('bracket')})) WHERE length(title) BETWEEN 1 AND 511")
@@ -256,26 +272,6 @@ def extract_papers(spark, sf_dir):
     )
 
 
-_REC_SQL = f"""gold AS (SELECT section AS paper, n, p_name AS title, p_type AS venue, CAST(year AS VARCHAR) AS year FROM ({references_sql('bracket')})),
-    guess AS (SELECT paper, CASE WHEN n % 4 = 0 THEN title || '!' WHEN n % 4 = 1 THEN upper(title) ELSE title END AS title, CASE WHEN n % 3 = 0 THEN '' ELSE venue END AS venue, CASE WHEN n % 5 = 0 THEN NULL ELSE year END AS year FROM gold)"""
-_ITEMS_SQL = """SELECT 'bibTitles' AS metric, paper, title AS item FROM {t} UNION ALL SELECT 'bibTitlesNormalized', paper, trim(regexp_replace(regexp_replace(lower(title), '\\p{{P}}', ' ', 'g'), ' +', ' ', 'g')) FROM {t}
-    UNION ALL SELECT 'bibVenues', paper, venue FROM {t} UNION ALL SELECT 'bibYears', paper, year FROM {t}"""
-
-
-@query(f"""WITH {_REC_SQL}, c AS (SELECT metric, paper, item, sum(a) AS x, sum(b) AS y FROM (SELECT *, 1 AS a, 0 AS b FROM ({_ITEMS_SQL.format(t="gold")}) UNION ALL SELECT *, 0, 1 FROM ({_ITEMS_SQL.format(t="guess")})) WHERE item <> '' GROUP BY 1, 2, 3),
-    s AS (SELECT metric, paper, sum(x) AS g, sum(y) AS p, sum(least(x, y)) AS h FROM c GROUP BY 1, 2),
-    r AS (SELECT metric, CASE WHEN g = 0 AND p = 0 THEN 1.0 WHEN g = 0 OR p = 0 THEN 0.0 ELSE h / p END AS precision, CASE WHEN g = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE h / g END AS recall FROM s)
-    SELECT metric, round(sum(precision) / (SELECT count(DISTINCT paper) FROM gold), 6) AS precision, round(sum(recall) / (SELECT count(DISTINCT paper) FROM gold), 6) AS recall FROM r GROUP BY metric""")
-def record_metrics(spark, sf_dir):
-    refs = references(table(spark, sf_dir, "part"), "bracket")
-    none = F.array().cast("array<string>")
-    gold = refs.select(F.col("section").alias("paper"), "n", F.col("p_name").alias("title"), none.alias("authors"), F.col("p_type").alias("venue"), "year")
-    guess = gold.select("paper", F.when(F.col("n") % 4 == 0, F.concat("title", F.lit("!"))).when(F.col("n") % 4 == 1, F.upper("title")).otherwise(F.col("title")).alias("title"), "authors",
-                        F.when(F.col("n") % 3 == 0, "").otherwise(F.col("venue")).alias("venue"), F.when(F.col("n") % 5 != 0, F.col("year")).alias("year"))
-    out = E.record_metrics(gold.drop("n"), guess).filter(F.col("metric").isin("bibTitles", "bibTitlesNormalized", "bibVenues", "bibYears"))
-    return out.select("metric", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
-
-
 @query("SELECT p_size AS paper, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_name) AS INTEGER) AS number, p_name AS cell FROM part")
 def annotation_sheet(spark, sf_dir):
     cells = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("paper")).agg(F.array_sort(F.collect_list("p_name")).alias("cells"))

@@ -70,7 +70,7 @@ def references(part: DataFrame, style: str) -> DataFrame:
     """A bibliography of one entry a part: section ``p_size``, number within it, and the entry's line.
 
     ``bracket``: ``[n] A. Word and B. Word, "p_name," In p_type, yyyy.``; ``dot``: ``n. A. Word. p_name. p_type, yyyy.``;
-    ``named``: ``Word, A. yyyy. p_name. p_type.``
+    ``named``: ``Word, A. yyyy. p_name. p_type.`` The others are one a record style, after which they are called.
     """
     w1, w2 = F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2)))
     n = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
@@ -80,6 +80,13 @@ def references(part: DataFrame, style: str) -> DataFrame:
         "bracket": s('[%d] A. %s and B. %s, "%s," In %s, %d.', n, w1, w2, F.col("p_name"), F.col("p_type"), year),
         "dot": s("%d. A. %s. %s. %s, %d.", n, w1, F.initcap("p_name"), F.col("p_type"), year),
         "named": s("%s, A. %d. %s. %s.", w1, year, F.initcap("p_name"), F.col("p_type")),
+        "close_paren": s("%d) %s A, %s B. %s. %s %d; 12.", n, w1, w2, F.col("p_name"), F.col("p_type"), year),
+        "named_year_parens": s("%s, A. (%d). %s. %s.", w1, year, F.initcap("p_name"), F.col("p_type")),
+        "dot_colon": s("%d. %s A, %s B: %s. %s, (%d).", n, w1, w2, F.col("p_name"), F.col("p_type"), year),
+        "dot_no_title": s("%d. %s, A.; %s, B. %s %d, 12.", n, w1, w2, F.col("p_type"), year),
+        "bracket_commas": s("[%d] A. %s, and B. %s, %s, %s, %d.", n, w1, w2, F.col("p_name"), F.col("p_type"), year),
+        "bracket_plain": s("[%d] A. %s and B. %s. %s. %s, %d.", n, w1, w2, F.col("p_name"), F.col("p_type"), year),
+        "bracket_name": s("[%s%d] %s and %s. %s. In %s, %d. 12.", w1, n, w1, w2, F.col("p_name"), F.col("p_type"), year),
     }[style]
     return part.select(F.col("p_size").alias("section"), n.cast("int").alias("n"), line.alias("entry"), F.col("p_name").alias("p_name"), F.col("p_type").alias("p_type"), year.cast("int").alias("year"))
 
@@ -93,6 +100,13 @@ def references_sql(style: str) -> str:
         "bracket": f"""'[' || {n} || '] A. ' || {w1} || ' and B. ' || {w2} || ', "' || p_name || '," In ' || p_type || ', ' || ({year}) || '.'""",
         "dot": f"{n} || '. A. ' || {w1} || '. ' || {w1} || ' ' || {w2} || '. ' || p_type || ', ' || ({year}) || '.'",
         "named": f"{w1} || ', A. ' || ({year}) || '. ' || {w1} || ' ' || {w2} || '. ' || p_type || '.'",
+        "close_paren": f"{n} || ') ' || {w1} || ' A, ' || {w2} || ' B. ' || p_name || '. ' || p_type || ' ' || ({year}) || '; 12.'",
+        "named_year_parens": f"{w1} || ', A. (' || ({year}) || '). ' || {w1} || ' ' || {w2} || '. ' || p_type || '.'",
+        "dot_colon": f"{n} || '. ' || {w1} || ' A, ' || {w2} || ' B: ' || p_name || '. ' || p_type || ', (' || ({year}) || ').'",
+        "dot_no_title": f"{n} || '. ' || {w1} || ', A.; ' || {w2} || ', B. ' || p_type || ' ' || ({year}) || ', 12.'",
+        "bracket_commas": f"'[' || {n} || '] A. ' || {w1} || ', and B. ' || {w2} || ', ' || p_name || ', ' || p_type || ', ' || ({year}) || '.'",
+        "bracket_plain": f"'[' || {n} || '] A. ' || {w1} || ' and B. ' || {w2} || '. ' || p_name || '. ' || p_type || ', ' || ({year}) || '.'",
+        "bracket_name": f"'[' || {w1} || {n} || '] ' || {w1} || ' and ' || {w2} || '. ' || p_name || '. In ' || p_type || ', ' || ({year}) || '. 12.'",
     }[style]
     return f"SELECT p_size AS section, CAST({n} AS INTEGER) AS n, {line} AS entry, p_name, p_type, CAST({year} AS INTEGER) AS year FROM part"
 

@@ -399,7 +399,22 @@ def test_language_id(spark, sf_dir, docs):
     script = spark.createDataFrame([(1, "добрый день мои друзья"), (2, "123 !?"), (3, letters), (4, italian)], "doc_id long, text string")
     found = {r.doc_id: r for r in language_id.predict(script, model).collect()}
     assert found[1].rejected and found[1].lang_pred in model.languages and found[2].lang_pred == "und"
-    assert found[3].rejected
+    assert found[3].rejected and found[4].rejected
+    # floors: from one knot to the next without a step, never lower for more trigrams
+    for lang, knots in model.floors.items():
+        steps = [language_id.floor_at(knots, n) for n in range(1, 4096)]
+        assert all(0 <= b - a < 0.05 for a, b in zip(steps, steps[1:])), lang
+    low = language_id.floors(np.array([0.2, 0.4, 0.6, 0.5]), np.array([8, 8, 32, 128]), share=0.5, quantile=0.0)
+    assert np.allclose(low[:8], [0.025, 0.05, 0.075, 0.1, 0.2, 0.25, 0.25, 0.25]) and low[13] == low[7]
+    # a row that repeats teaches once, rows that share an id each for themselves
+    rows = table.filter("lang is not null").limit(60)
+    many = rows.crossJoin(spark.range(5)).drop("id").union(rows.withColumn("doc_id", F.lit(1).cast("long")))
+    once = language_id.fit(rows.union(rows.withColumn("doc_id", F.lit(1).cast("long"))))
+    again = language_id.fit(many)
+    assert once.languages == again.languages and np.allclose(once.centroids, again.centroids) and np.allclose(once.idf, again.idf)
+    with pytest.raises(ValueError, match="score"):
+        language_id.predict(table.withColumn("score", F.lit(1)), model, keep=["score"])
+    assert language_id.predict(table.limit(0), model).count() == 0
     # an independent cosine: plain Python over dictionaries of trigrams
     for t in (table.orderBy("doc_id").limit(5).collect()):
         raw, grams = f" {t.text.lower()} ".encode(), {}

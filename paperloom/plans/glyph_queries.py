@@ -14,17 +14,15 @@ ORACLE_SQL: dict = {}
 def glyph_runs(spark, sf_dir):
     """A run a line: 6 apart, back to the left after 80 glyphs; of 17 glyphs three are at times raised, and one a ligature."""
     chars = F.filter(F.split("line", ""), lambda c: c != "")
-    turn = lambda i: F.pmod(F.floor(i / 17), F.lit(3))
-    place = lambda i: F.pmod(i, F.lit(17))
+    # by the place in three turns of 17: the sign in place of the glyph, and the height
+    cycle = [(t, p, (t != 1 and 8 <= p <= 10) or (t == 1 and p == 8)) for t in range(3) for p in range(17)]
+    signs = F.array(*[F.lit(("a" if t == 2 else "," if p == 9 else "7") if up else "ﬁ" if p == 13 else None) for t, p, up in cycle])
+    heights = F.array(*[F.lit(4.5 if up else 1.0 if p == 15 else 10.0) for _, p, up in cycle])
 
     def glyph(c, i):
-        up = ((turn(i) != 1) & place(i).between(8, 10)) | ((turn(i) == 1) & (place(i) == 8))
-        sign = F.when(turn(i) == 2, "a").when(place(i) == 9, ",").otherwise("7")
-        char = F.when(up, sign).when(place(i) == 13, "ﬁ").otherwise(c)
-        x = 6.0 * F.pmod(i, F.lit(80))
-        y = 12.0 * F.col("line_no") + F.when(up, 4.5).when(place(i) == 15, 1.0).otherwise(10.0)
+        k = F.pmod(i, F.lit(51))
         return F.struct(
-            char.alias("char"), x.alias("x"), y.alias("y"), F.lit(5.0).alias("width"), F.when(up, 4.5).when(place(i) == 15, 1.0).otherwise(10.0).alias("height"),
+            F.coalesce(F.get(signs, k), c).alias("char"), (6.0 * F.pmod(i, F.lit(80))).alias("x"), (12.0 * F.col("line_no") + F.get(heights, k)).alias("y"), F.lit(5.0).alias("width"), F.get(heights, k).alias("height"),
             F.when(i % 2 == 0, "Serif").otherwise("Sans").alias("font"), F.when(F.col("line_no") % 5 == 0, 105.0).otherwise(10.0).alias("size"), F.lit(2.5).alias("space"),
         )
 

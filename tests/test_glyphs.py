@@ -42,3 +42,21 @@ def test_tokens(spark):
     assert [text[i] for i in (10, 11, 12)] == [[], [], []]
     assert text[13] == ["z"] and got[13][0].font == "unknown_9.0_2.0"
     assert text[15] == ["q" * 5000 + "⍐4⍗"]
+
+
+def test_long_runs(spark):
+    """Work grows with the glyphs of a run, not with their square; tokens of a run keep their numbers."""
+    got = tokens_of(spark, run_of("ab " * 20_000), run_of("c" * 60_000), run_of("é x"))
+    assert len(got[0]) == 20_000 and {r.token for r in got[0]} == {"ab"} and got[0][-1].x0 == 6 * (60_000 - 3) + 6
+    assert [len(r.token) for r in got[1]] == [60_000] and [r.token for r in got[2]] == ["é", "x"]
+    empty = spark.createDataFrame([], f"run int, glyphs array<{G.GLYPH}>")
+    assert G.tokens(empty, "run").count() == 0
+
+
+def test_nulls_and_what_is_no_number(spark):
+    g = lambda c, x, y, h: (c, x, y, 5.0, h, "F", 9.0, 2.0)
+    nan = float("nan")
+    got = tokens_of(spark, [g("a", None, 10.0, None), g("b", 3.0, None, 4.0)], [g("a", nan, 10.0, 10.0), g("b", 7.0, 10.0, 10.0)], [None, g("z\x02", 1.0, 2.0, 1.0)])
+    assert [(r.token, r.x0, r.y0, r.x1, r.y1) for r in got[0]] == [("ab", 3.0, None, 8.0, 10.0)]
+    assert [r.token for r in got[1]] == ["a", "b"]  # NaN is larger than all
+    assert [(r.token, r.n) for r in got[2]] == [("z", 0)]

@@ -68,24 +68,44 @@ def fuzzy_match(gold: DataFrame, guess: DataFrame, accept: float = 0.94, near: f
 
     Both have ``paper, id, title, authors, year``. Candidates share a bucket within the paper: three shortened title
     words, or three of the authors' last names. Titles score by their character grams; above ``near`` the authors
-    count as well where the years are equal. Ties go to the smaller gold id.
+    count as well where the years are equal. Ties (scores equal to nine digits) go to the smaller gold id.
+
+    References of a paper with one title and one list of authors are a class. Classes are compared, not references, so
+    copies add no pairs; a class's smallest gold id, and that of each year, stand for its references.
     """
 
+    def classed(d: DataFrame) -> DataFrame:
+        return d.select("paper", "id", "title", "authors", "year", F.md5(F.to_json(F.struct("title", "authors"))).alias("class"))
+
     def prepared(d: DataFrame) -> DataFrame:
         title = normalize("title")
         lasts = F.transform("authors", lambda a: strict_normalize(F.try_element_at(F.split(a, " "), F.lit(-1))))
+        d = d.groupBy("paper", "class").agg(F.min(F.struct("title", "authors")).alias("r")).select("paper", "class", "r.*")
         short = F.transform(F.filter(F.split(alnum_normalize("title"), " "), lambda w: w != ""), lambda w: F.left(w, F.lit(3)))
-        keys = F.array_distinct(F.concat(F.transform(word_ngrams(short, 3, False), lambda x: F.concat(F.lit("t:"), x)), F.transform(word_ngrams(lasts, 3, True), lambda x: F.concat(F.lit("a:"), x))))
-        return d.select("paper", "id", char_grams(title).alias("grams"), F.array_distinct(lasts).alias("lasts"), "year", keys.alias("keys"))
+        d = d.select("paper", "class", title.alias("title"), lasts.alias("lasts"), short.alias("short"))
+        keys = F.concat(F.transform(word_ngrams(F.col("short"), 3, False), lambda x: F.concat(F.lit("t:"), x)), F.transform(word_ngrams(F.col("lasts"), 3, True), lambda x: F.concat(F.lit("a:"), x)))
+        return d.select("paper", "class", char_grams(F.col("title")).alias("grams"), F.array_distinct("lasts").alias("lasts"), F.array_distinct(keys).alias("keys"))
 
+    gold, guess = classed(gold), classed(guess)
     g, p = prepared(gold), prepared(guess)
-    left = p.select("paper", F.col("id").alias("guess_id"), F.explode("keys").alias("key"))
-    right = g.select("paper", F.col("id").alias("gold_id"), F.explode("keys").alias("key"))
-    pairs = left.join(right, ["paper", "key"]).select("paper", "guess_id", "gold_id").distinct()
-    a = p.select("paper", F.col("id").alias("guess_id"), F.col("grams").alias("g1"), F.col("lasts").alias("l1"), F.col("year").alias("y1"))
-    b = g.select("paper", F.col("id").alias("gold_id"), F.col("grams").alias("g2"), F.col("lasts").alias("l2"), F.col("year").alias("y2"))
-    scored = pairs.join(a, ["paper", "guess_id"]).join(b, ["paper", "gold_id"]).withColumn("t", ngram_similarity(F.col("g1"), F.col("g2")))
-    by_authors = F.when(F.col("y1") == F.col("y2"), F.coalesce(jaccard(F.col("l1"), F.col("l2")), F.lit(0.0)) - 0.01).otherwise(0.0)
-    scored = scored.withColumn("score", F.when(F.col("t") > near, F.greatest("t", by_authors)).otherwise(F.col("t"))).filter(F.col("score") > accept)
-    best = F.row_number().over(Window.partitionBy("paper", "guess_id").orderBy(F.desc("score"), "gold_id"))
-    return scored.withColumn("k", best).filter("k = 1").select("paper", "guess_id", "gold_id", "score")
+    left = p.select("paper", F.col("class").alias("c1"), F.explode("keys").alias("key"))
+    right = g.select("paper", F.col("class").alias("c2"), F.explode("keys").alias("key"))
+    pairs = left.join(right, ["paper", "key"]).select("paper", "c1", "c2").distinct()
+    a = p.select("paper", F.col("class").alias("c1"), F.col("grams").alias("g1"), F.col("lasts").alias("l1"))
+    b = g.select("paper", F.col("class").alias("c2"), F.col("grams").alias("g2"), F.col("lasts").alias("l2"))
+    scored = pairs.join(a, ["paper", "c1"]).join(b, ["paper", "c2"]).withColumn("t", ngram_similarity(F.col("g1"), F.col("g2")))
+    by_authors = F.coalesce(jaccard(F.col("l1"), F.col("l2")), F.lit(0.0)) - 0.01
+    scored = scored.filter(F.col("t") > min(near, accept)).select("paper", "c1", "c2", "t", F.when(F.col("t") > near, F.greatest("t", by_authors)).otherwise(F.col("t")).alias("together"))
+
+    choice = F.struct("score", F.col("gold_id"))
+    first = lambda c: F.min_by(c, F.struct(-F.round("score", 9), "gold_id"))
+    every = gold.groupBy("paper", F.col("class").alias("c2")).agg(F.min("id").alias("gold_id"))
+    in_year = gold.filter("year is not null").groupBy("paper", F.col("class").alias("c2"), "year").agg(F.min("id").alias("gold_id"))
+    years = guess.filter("year is not null").select("paper", F.col("class").alias("c1"), "year").distinct()
+    alone = scored.filter(F.col("t") > accept).select("paper", "c1", "c2", F.col("t").alias("score")).join(every, ["paper", "c2"])
+    alone = alone.groupBy("paper", "c1").agg(first(choice).alias("m"))
+    same = scored.filter(F.col("together") > accept).select("paper", "c1", "c2", F.col("together").alias("score")).join(years, ["paper", "c1"]).join(in_year, ["paper", "c2", "year"])
+    same = same.groupBy("paper", "c1", "year").agg(first(choice).alias("m"))
+    rows = guess.select("paper", F.col("id").alias("guess_id"), F.col("class").alias("c1"), "year")
+    found = rows.join(alone, ["paper", "c1"]).select("paper", "guess_id", "m.*").unionByName(rows.join(same, ["paper", "c1", "year"]).select("paper", "guess_id", "m.*"))
+    return found.groupBy("paper", "guess_id").agg(first(choice).alias("m")).select("paper", "guess_id", "m.gold_id", "m.score")

@@ -23,6 +23,12 @@ def query(sql: str):
     return add
 
 
+def _capital(letter):
+    """Upper case of one letter as one letter: sharp s has one, and what only has a longer form stays."""
+    upper = F.upper(F.translate(letter, "ß", "ẞ"))
+    return F.when(F.length(upper) == F.length(letter), upper).otherwise(letter)
+
+
 def _papers(spark, sf_dir):
     """Documents as tokens, with names and titles made of their own words: shortened, with an initial, or not there at all."""
     d = table(spark, sf_dir, "documents")
@@ -30,7 +36,7 @@ def _papers(spark, sf_dir):
     rows = d.select(F.col("doc_id").alias("id"), tokens.alias("tokens")).filter(F.size("tokens") >= 14)
     t = lambda i: F.get("tokens", F.lit(i))
     s = F.format_string
-    names = F.array(s("%s %s", t(4), t(5)), s("%s. %s", F.upper(F.left(t(8), F.lit(1))), t(9)), s("%s Q. %s", t(12), t(13)))
+    names = F.array(s("%s %s", t(4), t(5)), s("%s. %s", _capital(F.left(t(8), F.lit(1))), t(9)), s("%s Q. %s", t(12), t(13)))
     authors = F.when(F.col("id") % 10 == 3, F.concat(names, F.array(F.lit("Nobody Atall")))).otherwise(names)
     title = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, "not a title of any").otherwise(F.concat_ws(" ", t(0), F.lower(t(1)), t(2)))
     return rows.select("id", "tokens", authors.alias("authors"), title.alias("title"), (1990 + F.pmod("id", F.lit(30))).alias("year"))

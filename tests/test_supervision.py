@@ -122,3 +122,20 @@ def test_tagged_lines_that_are_odd(spark):
     from paperloom.operators.tagged import labelled_line
 
     assert sorted(len(r[0]) for r in df.select(labelled_line(F.col("line"), "cora")).collect()) == [2, 2, 3]
+
+
+def test_initials_of_sharp_s(spark, tmp_path):
+    """The capital of one letter is one letter, as in the SQL: a name that begins with a sharp s is found again."""
+    import duckdb
+
+    from paperloom.plans import supervision_queries as P
+
+    words = "title of it here ann lee x y ßtern wald z v ida berg und mehr"
+    table = spark.createDataFrame([(2, words), (4, words.replace("ßtern", "ǰtern")), (5, words.replace("ßtern", "étern"))], "doc_id long, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, at_least in (("author_patterns", 8), ("supervised_labels", 3)):
+        got = sorted(tuple(r) for r in P.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(P.ORACLE_SQL[name]).fetchall()) and len(got) >= at_least
+    assert (2, 1, "ẞ. wald", 8, 10) in {tuple(r) for r in P.author_patterns(spark, str(tmp_path)).collect()}

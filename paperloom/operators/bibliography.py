@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
 from ..functions.names import author_list
 from ..functions.text import ref_year
 
@@ -30,27 +31,42 @@ STYLES: dict[str, tuple[str, str, tuple[str, ...]]] = {
 }
 #: What begins an entry after a line or block mark, with its number.
 MARKERS = {"bracket": r"\[([0-9]+)\]", "dot": r"([0-9]+)\. ", "paren": r"([0-9]+)\)"}
+#: Pieces of a section that a fold takes at a time.
+BLOCK = 256
 
 
 def segment_numbered(section: Column, marker: str) -> Column:
     """Entries of a section text: from marker 1 on, each cut before the next number in turn.
 
-    A number that is out of turn does not cut, so a missing one leaves the rest in one entry. A single fold over the
-    pieces between possible markers.
+    A number that is out of turn does not cut, so a missing one leaves the rest in one entry. A fold over the pieces
+    between possible markers carries the next number; it goes by blocks of pieces, since each step copies what has been
+    found, and gives places only.
     """
     pattern = MARKERS[marker]
-    pieces = F.split(section, rf"(?:<lb>|<bb>|^)(?={pattern})")
-    number = lambda p: F.regexp_extract(p, f"^{pattern}", 1)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(1).alias("next"))
-
-    def step(s: Column, p: Column) -> Column:
-        due = number(p) == s["next"].cast("string")
-        n = F.size(s["done"])
-        longer = F.concat(F.slice(s["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.try_element_at(s["done"], F.lit(-1)), F.lit("<lb>"), p)))
-        done = F.when(due, F.concat(s["done"], F.array(p))).when(n > 0, longer).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(due, s["next"] + 1).otherwise(s["next"]).alias("next"))
-
-    return F.aggregate(pieces, start, step, lambda s: F.transform(s["done"], lambda e: F.trim(F.replace(F.regexp_replace(e, "-<lb>", ""), F.lit("<lb>"), F.lit(" ")))))
+    text = lambda p: F.regexp_extract(p, f"^{pattern}", 1)
+    number = lambda p: bound(text(p), lambda t: F.when(t.try_cast("int").cast("string") == t, t.try_cast("int")))
+    state = lambda at, following: F.struct(at.alias("at"), following.alias("next"))
+
+    def starts(numbers: Column) -> Column:
+        size, none = F.size(numbers), F.array().cast("array<int>")
+
+        def step(s: Column, i: Column) -> Column:
+            due = F.coalesce(F.get(numbers, i) == s["next"], F.lit(False))
+            return F.when(due, state(F.concat(s["at"], F.array(i)), s["next"] + 1)).otherwise(s)
+
+        def block(s: Column, i: Column) -> Column:
+            within = F.aggregate(F.sequence(i, F.least(i + (BLOCK - 1), size - 1)), state(none, s["next"]), step)
+            return bound(within, lambda w: state(F.concat(s["at"], F.array(w["at"])), w["next"]))
+
+        return F.aggregate(F.sequence(F.lit(0), size - 1, F.lit(BLOCK)), state(F.array().cast("array<array<int>>"), F.lit(1)), block, lambda s: F.flatten(s["at"]))
+
+    def entries(pieces: Column, at: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(at, k + 1), F.size(pieces))
+        # places in turn, not a slice, which may read the whole array
+        joined = lambda i, to: F.when(to == i + 1, F.get(pieces, i)).otherwise(F.array_join(F.transform(F.sequence(i, to - 1), lambda j: F.get(pieces, j)), "<lb>"))
+        return F.transform(at, lambda i, k: bound(stop(k), lambda to: F.trim(F.replace(F.regexp_replace(joined(i, to), "-<lb>", ""), F.lit("<lb>"), F.lit(" ")))))
+
+    return bound(F.split(section, rf"(?:<lb>|<bb>|^)(?={pattern})"), lambda p: bound(F.transform(p, number), lambda n: bound(starts(n), lambda at: entries(p, at))))
 
 
 def segment_named(section: Column) -> Column:

@@ -333,7 +333,8 @@ def tail_ngrams(spark, sf_dir):
     SELECT id, bucket FROM k WHERE k <= 3""")
 def highfreq_cut(spark, sf_dir):
     t = titles(spark, sf_dir)
-    freq = t.select(F.explode(S.word_ngrams(S.words(F.col("t")), 2)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("freq"))
+    # words in a column of their own: inside the windows' lambda they would be made anew for each window
+    freq = t.select(S.words(F.col("t")).alias("ws")).select(F.explode(S.word_ngrams(F.col("ws"), 2)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("freq"))
     return S.buckets(t, "doc_id", F.col("t"), 2, frequent=freq, cutoff=20, upto=3)
 
 

@@ -6,9 +6,10 @@ has an integer of 32 bits. Runs of equal integers are landmarks. Two recordings
 at the offset that most of their landmarks vote for, and the share of different bits over the passage that the votes
 lie in says how well.
 
-A landmark that many recordings hold doesn't pair them off: it links each query that holds it to one recording and each
-recording to one query. All of them are one group that way, as they would be by all their pairs, and links, votes and
-bit errors grow with the landmarks.
+Every pair of a query and a recording that share a landmark is compared, however many hold it: a recording's best partner
+is the best of all. Such pairs are no more than queries times recordings, and a landmark's holders are joined by shuffle, so a
+landmark of many holders is work for many tasks. Groups need fewer links: of each landmark, every query's to one recording and every
+recording's to one query connect what all pairs do.
 
 All steps after the spectrum use integers, so equal recordings have equal fingerprints wherever they are computed.
 """
@@ -194,17 +195,8 @@ def _passage(pairs: DataFrame, run: int, most_errors: float) -> DataFrame:
     return best.select(*kept, "h.votes", "h.overlap", (F.col("h.bits") / (32 * F.col("h.overlap"))).alias("bit_error"))
 
 
-def links(prints: DataFrame, shifted: DataFrame, hop: int = 128, run: int = 3, most_errors: float = 0.35) -> DataFrame:
-    """``q, m, shift, votes, overlap, bit_error``: links between the keys of queries (``shifted``) and of recordings (``prints``).
-
-    A query and a recording are linked if they share a landmark of ``run`` codes. The links given have the components of
-    all such pairs: of each landmark, every query's to the recording with the smallest key and every recording's to the query with
-    the smallest key. Queries must be among the recordings. The offset is the one that most of the landmarks that gave a link vote for, ties to the smallest
-    size of the offset, the negative and the smallest phase; a landmark counts at its first place in the one they are
-    linked to. ``shift`` is the place in the recording less that in the query, in samples. ``overlap`` and ``bit_error`` are
-    the codes and the share of different bits of a passage there: of those that begin wherever errors so far exceed
-    ``most_errors``, the one with most landmarks (``votes``).
-    """
+def shared_landmarks(prints: DataFrame, shifted: DataFrame, run: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``recordings`` and ``queries`` (by number, with their codes), the landmarks that link (each with its first query and recording), and the places of these in queries and in recordings."""
     reps = prints.filter("key is not null").groupBy("key").agg(F.min("codes").alias("codes"))  # equal keys, equal codes
     reps = cut(reps.orderBy("key").select("key", F.monotonically_increasing_id().alias("no"), F.lit(0).alias("phase"), "codes"))
     heard = shifted.filter("key is not null").groupBy("key", "phase").agg(F.min(F.struct("id", "codes"))["codes"].alias("codes"))
@@ -215,20 +207,34 @@ def links(prints: DataFrame, shifted: DataFrame, hop: int = 128, run: int = 3, m
     hubs = holders.groupBy("mark").agg(F.min("q").alias("q"), F.max("q").alias("q_top"), F.min("m").alias("m"), F.max("m").alias("m_top"))
     # one recording alone links nothing
     hubs = cut(hubs.filter("q is not null and m is not null and (q != m or q != q_top or m != m_top)").select("mark", "q", "m"))
-    one, two = cut(one.join(hubs.select("mark"), "mark")), cut(two.join(hubs.select("mark"), "mark"))
-    first = lambda df, role: df.join(hubs.select("mark", F.col(role).alias("no")), ["mark", "no"]).groupBy("mark").agg(F.min("place").alias(f"{role}_place"))
-    hubs = cut(hubs.join(first(one, "q"), "mark").join(first(two, "m"), "mark"))
-    at, phase = lambda place: F.shiftright(place, 16), lambda place: F.col(place).bitwiseAND(0xFFFF)
-    by_recording = two.join(hubs, "mark").select("q", F.col("no").alias("m"), phase("q_place").alias("phase"), (at("place") - at("q_place")).alias("offset"))
-    by_query = one.join(hubs, "mark").filter("no != q").select(F.col("no").alias("q"), "m", phase("place").alias("phase"), (at("m_place") - at("place")).alias("offset"))
-    votes = by_recording.union(by_query).filter("q != m").groupBy("q", "m", "phase", "offset").agg(F.count("*").alias("n"))
+    return reps, heard, hubs, cut(one.join(hubs.select("mark"), "mark")), cut(two.join(hubs.select("mark"), "mark"))
+
+
+def links(prints: DataFrame, shifted: DataFrame, hop: int = 128, run: int = 3, most_errors: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """``q, m, shift, votes, overlap, bit_error``: all pairs of keys of queries (``shifted``) and of other recordings (``prints``) that share
+    a landmark of ``run`` codes; and ``q, m``: some of those pairs, with the same components.
+
+    Queries must be among the recordings. The offset is the one that most of the pair's landmarks vote for, ties to the smallest
+    size of the offset, the negative and the smallest phase; a landmark counts at its first place in the query at a phase and at
+    all places in the recording. ``shift`` is the place in the recording less that in the query, in samples. ``overlap`` and ``bit_error`` are
+    the codes and the share of different bits of a passage there: of those that begin wherever errors so far exceed
+    ``most_errors``, the one with most landmarks (``votes``).
+    """
+    reps, heard, hubs, one, two = shared_landmarks(prints, shifted, run)
+    few = two.join(hubs, "mark").select("q", F.col("no").alias("m")).union(one.join(hubs, "mark").select(F.col("no").alias("q"), "m")).filter("q != m").distinct()
+    at, phase = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF).cast("int")
+    asked = one.groupBy("mark", F.col("no").alias("q"), phase.alias("phase")).agg(F.min(at).alias("from"))
+    heard_at = two.select("mark", F.col("no").alias("m"), at.alias("to"))
+    votes = asked.join(heard_at, "mark").filter("q != m").groupBy("q", "m", "phase", (F.col("to") - F.col("from")).alias("offset")).agg(F.count("*").alias("n"))
     best = F.struct(F.col("n"), -F.abs("offset"), -F.col("offset"), -F.col("phase"))
     pairs = votes.groupBy("q", "m").agg(F.max_by(F.struct("phase", F.col("offset").cast("int").alias("offset")), best).alias("r"))
     pairs = cut(pairs.select("q", "m", "r.*"))
     pairs = pairs.join(reps.select(F.col("no").alias("m"), F.col("key").alias("m_key"), F.col("codes").alias("b")), "m")
     pairs = pairs.join(heard.select(F.col("no").alias("q"), "phase", F.col("codes").alias("a")), ["q", "phase"])
     pairs = _passage(pairs, run, most_errors).join(reps.select(F.col("no").alias("q"), F.col("key").alias("q_key")), "q")
-    return pairs.select(F.col("q_key").alias("q"), F.col("m_key").alias("m"), (hop * F.col("offset") - F.col("phase")).cast("long").alias("shift"), "votes", "overlap", "bit_error")
+    pairs = pairs.select(F.col("q_key").alias("q"), F.col("m_key").alias("m"), (hop * F.col("offset") - F.col("phase")).cast("long").alias("shift"), "votes", "overlap", "bit_error")
+    few = few.join(reps.select(F.col("no").alias("q"), F.col("key").alias("q_key")), "q").join(reps.select(F.col("no").alias("m"), F.col("key").alias("m_key")), "m")
+    return pairs, few.select(F.col("q_key").alias("q"), F.col("m_key").alias("m"))
 
 
 def align(prints: DataFrame, is_query: Column, shifted: DataFrame | None = None, hop: int = 128, run: int = 3, most_errors: float = 0.35) -> DataFrame:
@@ -237,19 +243,20 @@ def align(prints: DataFrame, is_query: Column, shifted: DataFrame | None = None,
     ``prints`` has a row a recording (phase 0), ``shifted`` the queries' rows at their phases (all of a hop's samples to find
     every shift); without it they are those of ``prints``. Recordings with one key are a class, named by its smallest id.
     ``group_id`` is the smallest id of the recordings that links connect, the own one included: each query to all recordings
-    that share a landmark with it, see :func:`links`. ``partner_id`` names the class at the best of the class's own links
+    that share a landmark with it, see :func:`links`. ``partner_id`` names the class at the best of all of the class's links
     (most votes, then least bit error, then the smallest id), and the rest says how they align: ``shift`` is the place in
     the partner less that here, in samples. Without a link these are null. A recording without codes is alone. Null ids take part
     but name nothing unless all are null; repeated ids give a row each. An empty table gives no rows.
     """
     rows = cut(prints.select("id", "key", is_query.alias("is_query"), "codes"))
     heard = shifted if shifted is not None else prints.filter(is_query)
-    found = cut(links(rows, heard, hop, run, most_errors))
+    found, few = links(rows, heard, hop, run, most_errors)
     classes = cut(rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("class_id")))
-    groups = connected_components(found.select(F.col("q").alias("a"), F.col("m").alias("b")))
+    groups = connected_components(few.select(F.col("q").alias("a"), F.col("m").alias("b")))
     named = groups.join(classes, groups.node == classes.key)
     least = cut(named.groupBy("component").agg(F.min("class_id").alias("group_id")))
     named = named.join(least, "component").select("key", "group_id")
+    found = cut(found)
     both = found.unionByName(found.select(F.col("m").alias("q"), F.col("q").alias("m"), (-F.col("shift")).alias("shift"), "votes", "overlap", "bit_error"))
     both = both.join(classes.select(F.col("key").alias("m"), F.col("class_id").alias("partner_id")), "m")
     how = ["partner_id", "shift", "votes", "overlap", "bit_error"]

@@ -641,3 +641,28 @@ def test_audio_passages_align_at_any_shift(spark):
     assert {i: x.partner_id for i, x in found.items()} == {0: 1, 1: 0, 2: 3, 3: 2, 4: None}
     assert abs(found[0].shift - (777 - 3001)) <= 64 and abs(found[1].shift - (3001 - 777)) <= 64
     assert found[2].shift == 8 and all(x.bit_error < 0.2 for i, x in found.items() if i != 4)
+
+
+def test_audio_partners_are_the_best_of_all_pairs(spark):
+    """Every pair that shares a landmark is a link, also where many hold it and the one with the smallest key is no good partner."""
+    r = np.random.default_rng(11)
+    say = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    jingle, long = say(2600), say(9000)
+    rows = [(i, say(1280) + jingle + say(300 * i)) for i in range(12)]  # all share the jingle
+    rows += [(20 + i, long[:2560] + say(128 * i) + jingle + long[2560:]) for i in range(4)]  # these share more with each other
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, sound binary")
+    prints = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3).cache()
+    queries = {0, 1, 2, 3, 20, 21}
+    asked = prints.filter(F.col("id").isin(*queries)).cache()
+    pairs, few = audio_fingerprint.links(prints, asked)
+    got = {(bytes(x.q), bytes(x.m)): x.votes for x in pairs.collect()}
+    _, shifts = brute_align(prints.collect(), asked.collect(), queries, 128)
+    assert set(got) == {(bytes(a), bytes(b)) for a, b in shifts} and len(got) > few.count()
+    found = check_align(prints, asked, F.col("id").isin(*queries), queries)
+    assert all(found[i].partner_id >= 20 for i in range(20, 24))
+    best = {}
+    for (a, b), votes in got.items():
+        for k in (a, b):
+            best[k] = max(best.get(k, 0), votes)
+    keys = {x.id: bytes(x.key) for x in prints.collect()}
+    assert {i: x.votes for i, x in found.items()} == {i: best.get(keys[i]) for i in found}

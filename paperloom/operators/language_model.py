@@ -49,17 +49,23 @@ def membership(keys: DataFrame, gaz: DataFrame, names: list[str]) -> DataFrame:
 def spans(tokens: DataFrame, gaz: DataFrame, most: int = 6) -> DataFrame:
     """``doc_id, line_no, start, stop, gazetteer``: runs of 1 to ``most`` tokens of a line that are an entry.
 
-    ``tokens`` has ``doc_id, line_no, toks`` (an array a line). Each run is one row with an equi-join on its key, so
-    nothing is compared with all entries; runs longer than the longest entry are not made.
+    ``tokens`` has ``doc_id, line_no, toks`` (an array a line; a token holds no newline). Runs are made only at tokens whose word begins
+    an entry, and only as long as an entry with that word can be; the first words of entries are broadcast, the entries themselves
+    meet the runs in an equi-join on the key.
     """
-    n = F.size("keys")
-    starts = F.sequence(F.lit(0), n - 1)
-    key = lambda i, k: F.array_join(F.filter(F.slice("keys", i + 1, k), lambda x: x != ""), " ")
-    # the runs that begin at a token that is no word have the keys of the runs that begin after it, and are made all the same
-    lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), n - i))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(lengths(i), lambda k: F.struct(i.alias("start"), (i + k).alias("stop"), key(i, k).alias("key")))))
-    keyed = tokens.filter(F.size("toks") > 0).select("doc_id", "line_no", F.transform("toks", gazetteer_key).alias("keys"))  # each token is cleaned once
-    rows = keyed.select("doc_id", "line_no", F.inline(runs))  # the array of keys stays behind
+    word = lambda key: F.substring_index(key, " ", 1)
+    longest = gaz.groupBy(word("key").alias("word")).agg(F.max(F.size(F.split("key", " "))).alias("longest"))
+    # a token that is no word begins runs with the keys of the runs after it, whatever their first word
+    longest = longest.filter("word != ''").union(gaz.sparkSession.range(1).select(F.lit(""), F.lit(2**31 - 1)))
+    # a line's tokens are cleaned together
+    keys = F.split(gazetteer_key(F.concat(F.array_join("toks", "\n", ""), F.lit("\n"))), " ?\n ?")
+    keyed = tokens.filter(F.size("toks") > 0).select("doc_id", "line_no", F.slice(keys, F.lit(1), F.size("toks")).alias("keys"))
+    begins = F.transform("keys", lambda k, i: F.struct(i.alias("start"), word(k).alias("word")))
+    begins = keyed.select("doc_id", "line_no", "keys", F.inline(begins)).join(F.broadcast(longest), "word")
+    begins = begins.withColumn("run", F.slice("keys", F.col("start") + 1, most))
+    key = lambda k: F.array_join(F.filter(F.slice("run", F.lit(1), k), lambda x: x != ""), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size("run")), lambda k: F.struct((F.col("start") + k).alias("stop"), key(k).alias("key")))
+    rows = begins.select("doc_id", "line_no", "start", "longest", F.inline(runs)).filter(F.size(F.split("key", " ")) <= F.col("longest"))
     return rows.join(gaz, "key").select("doc_id", "line_no", "start", "stop", "gazetteer")
 
 

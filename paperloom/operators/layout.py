@@ -24,6 +24,20 @@ def line_bounds(toks: DataFrame) -> DataFrame:
     return parts.withColumn("height", F.col("y1") - F.col("y0")).withColumn("line", F.array_join(F.transform("ts", lambda t: t["token"]), " ")).drop("ts")
 
 
+def bounds_of_rows(rows: DataFrame) -> DataFrame:
+    """Like :func:`line_bounds`, of lines already summed up: ``doc_id, line_no, at, tokens`` (arrays in order), bounds and ``fonts``, their sum.
+
+    A line may have several rows. Only lines are shuffled, by document, so what follows by document needs no further shuffle.
+    """
+    merged = rows.repartition("doc_id").groupBy("doc_id", "line_no").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), (F.sum("fonts") / F.sum(F.size("at"))).alias("font"),
+        F.collect_list(F.struct("at", "tokens")).alias("ts"),
+    )
+    mixed = F.array_sort(F.flatten(F.transform("ts", lambda t: F.zip_with(t["at"], t["tokens"], lambda a, x: F.struct(a.alias("pos"), x.alias("token"))))))
+    line = F.when(F.size("ts") == 1, F.array_join(F.get("ts", F.lit(0))["tokens"], " ")).otherwise(F.array_join(F.transform(mixed, lambda t: t["token"]), " "))
+    return merged.withColumn("height", F.col("y1") - F.col("y0")).withColumn("line", line).drop("ts")
+
+
 def in_order():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
@@ -43,9 +57,20 @@ def break_threshold(lines: DataFrame, numerator: int = 7, denominator: int = 9,
     return lines.select("doc_id").distinct().join(at, "doc_id", "left").fillna(1.0, ["threshold"])
 
 
-def blocks(lines: DataFrame, threshold: DataFrame, mark: str = "<lb>") -> DataFrame:
-    """``doc_id, block, n_lines, block_text``: lines up to a break above the threshold, joined by ``mark``."""
-    marked = lines.join(threshold, "doc_id").withColumn("block", F.sum((F.col("brk") > F.col("threshold")).cast("int")).over(in_order()))
+def with_threshold(lines: DataFrame, numerator: int = 7, denominator: int = 9) -> DataFrame:
+    """Add ``threshold``, as :func:`break_threshold` has it, by windows of a document alone."""
+    positive = F.coalesce(F.col("brk") > 0, F.lit(False))
+    k = F.row_number().over(Window.partitionBy("doc_id", "positive").orderBy("brk", "line_no")) - 1
+    doc = Window.partitionBy("doc_id")
+    lines = lines.withColumn("positive", positive).withColumn("k", k).withColumn("n", F.count(F.when(F.col("positive"), 1)).over(doc))
+    at = F.max(F.when(F.col("positive") & (F.col("k") == F.floor(F.col("n") * numerator / denominator)), F.col("brk"))).over(doc)
+    return lines.withColumn("threshold", F.coalesce(at, F.lit(1.0))).drop("positive", "k", "n")
+
+
+def blocks(lines: DataFrame, threshold: DataFrame | None = None, mark: str = "<lb>") -> DataFrame:
+    """``doc_id, block, n_lines, block_text``: lines up to a break above the threshold, joined by ``mark``. Without ``threshold`` the lines have it."""
+    lines = lines if threshold is None else lines.join(threshold, "doc_id")
+    marked = lines.withColumn("block", F.sum((F.col("brk") > F.col("threshold")).cast("int")).over(in_order()))
     grouped = marked.groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     return grouped.select("doc_id", "block", "n_lines", F.array_join(F.transform("ls", lambda x: x["line"]), mark).alias("block_text"))
 
@@ -53,9 +78,9 @@ def blocks(lines: DataFrame, threshold: DataFrame, mark: str = "<lb>") -> DataFr
 def first_text_block(block: DataFrame, least: int = 400) -> DataFrame:
     """The first block of over ``least`` characters that another one follows; empty if there is none."""
     w = Window.partitionBy("doc_id").orderBy("block")
-    found = block.withColumn("next", F.lead("block").over(w)).filter((F.length("block_text") > least) & F.col("next").isNotNull())
-    found = found.groupBy("doc_id").agg(F.min_by("block_text", "block").alias("first_block"))
-    return block.select("doc_id").distinct().join(found, "doc_id", "left").fillna("", ["first_block"])
+    fits = (F.length("block_text") > least) & F.col("next").isNotNull()
+    found = block.withColumn("next", F.lead("block").over(w)).groupBy("doc_id").agg(F.min(F.when(fits, F.struct("block", "block_text"))).alias("b"))
+    return found.select("doc_id", F.coalesce("b.block_text", F.lit("")).alias("first_block"))
 
 
 def columns(toks: DataFrame) -> DataFrame:
@@ -78,8 +103,8 @@ def abstracts(block: DataFrame, fallback: DataFrame, stop_below: int = 20) -> Da
     head = r"(?i)^abstract ?\p{P}?"
     plain = block.withColumn("b", F.replace("block_text", F.lit("<lb>"), F.lit(" ")))
     is_head = F.col("b").rlike(head)
-    starts = plain.filter(is_head).groupBy("doc_id").agg(F.min("block").alias("start"))
-    after = plain.join(starts, "doc_id").filter("block >= start").withColumn("stop", F.min(F.when((F.col("block") > F.col("start")) & (F.length("b") < stop_below), F.col("block"))).over(Window.partitionBy("doc_id")))
+    starts = F.min(F.when(is_head, F.col("block"))).over(Window.partitionBy("doc_id"))
+    after = plain.withColumn("start", starts).filter("block >= start").withColumn("stop", F.min(F.when((F.col("block") > F.col("start")) & (F.length("b") < stop_below), F.col("block"))).over(Window.partitionBy("doc_id")))
     body = after.filter(F.col("stop").isNull() | (F.col("block") < F.col("stop"))).withColumn("b", F.when(F.col("block") == F.col("start"), F.regexp_replace("b", head, "")).otherwise(F.col("b")))
     found = body.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "b"))), lambda x: F.trim(x["b"])), " ").alias("found"))
     other = fallback.select("doc_id", F.regexp_replace(F.replace("first_block", F.lit("<lb>"), F.lit(" ")), r"(?i)^summary ?\p{P}?", "").alias("other"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import layout as L
-from ..sources.derived import GEOMETRY_SQL, LINES_SQL, TOKENS_SQL, lines, references, references_sql, table, tokens, with_geometry
+from ..sources.derived import GEOMETRY_SQL, LINES_SQL, TOKENS_SQL, line_tokens, lines, references, references_sql, table, tokens, with_geometry
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -143,12 +143,11 @@ _BLOCKS_SQL = f"""br AS ({_BREAKS_SQL}), th AS ({_threshold_sql(7, 9)}),
 
 
 def bounds(spark, sf_dir):
-    return L.line_bounds(with_geometry(toks(spark, sf_dir)))
+    return L.bounds_of_rows(line_tokens(table(spark, sf_dir, "documents")))
 
 
 def the_blocks(spark, sf_dir):
-    br = L.breaks(bounds(spark, sf_dir))
-    return L.blocks(br, L.break_threshold(br))
+    return L.blocks(L.with_threshold(L.breaks(bounds(spark, sf_dir))))
 
 
 @query(_BOUNDS_SQL)

@@ -144,8 +144,14 @@ def record_items(records: DataFrame) -> DataFrame:
     return metric_items(records, RECORD_METRICS)
 
 
+def brief(item: Column) -> Column:
+    """What stands for an item where items are only compared: its bytes if they are fewer than 32, else their SHA-256."""
+    return F.when(F.octet_length(item) < 32, F.encode(item, "utf-8")).otherwise(F.unhex(F.sha2(item, 256)))
+
+
 def _scores(gold: DataFrame, guess: DataFrame) -> DataFrame:
-    """``metric, paper, precision, recall`` of ``metric, paper, item`` wherever either side has an item: two aggregations, no join."""
+    """``metric, paper, precision, recall`` of ``metric, paper, item`` wherever either side has an item: two aggregations, no join; long items stay where they are."""
+    gold, guess = (df.select("metric", "paper", brief(F.col("item")).alias("item")) for df in (gold, guess))
     both = gold.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(guess.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
     c = both.groupBy("metric", "paper", "item").agg(F.sum("a").alias("x"), F.sum("b").alias("y"))
     once, number = F.col("metric").isin(*SET_METRICS), F.col("metric").isin(*COUNT_METRICS)

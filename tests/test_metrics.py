@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import evaluate as E
 
 PAPER, RECORD, MENTION = "paper long, authors array<string>, title string, abstract string", "paper long, title string, authors array<string>, venue string, year int", "paper long, context string, mention string"
@@ -45,3 +47,13 @@ def test_all_metrics(spark):
 def test_nothing_extracted(spark, papers):
     got = scores(extraction(spark, papers), extraction(spark))
     assert {(r.papers, r.failed, r.precision, r.recall) for r in got.values()} == ({(1, 1, 0.0, 0.0)} if papers else {(0, 0, None, None)})
+
+
+def test_long_items_are_not_shuffled(spark):
+    """Items of 31 to 33 bytes and long ones that differ at the end only are told apart, by what is at most 32 bytes."""
+    items = ["a" * n for n in (31, 32, 33, 5000)] + ["a" * 4999 + "b", "\u00e9" * 15, "\u00e9" * 16]
+    rows = spark.createDataFrame([("m", 1, x) for x in items], "metric string, paper long, item string")
+    r = E._scores(rows, rows.filter("length(item) < 4999 or item like '%b'")).first()
+    assert (r.precision, round(r.recall, 6)) == (1.0, round(6 / 7, 6))
+    sizes = rows.select(F.octet_length(E.brief(F.col("item"))).alias("n")).collect()
+    assert max(x.n for x in sizes) == 32

@@ -114,7 +114,9 @@ def _tagged_query(scheme: str):
         w = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
         values = {"a": w(1), "b": w(2), "n": F.col("p_name"), "t": F.col("p_type"), "k": F.col("p_partkey").cast("string"), "y": (1970 + F.pmod("p_partkey", F.lit(50))).cast("string")}
         pieces = [values[p[1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w\})", line) if p]
-        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(labelled_line(F.concat(*pieces), scheme)).alias("n", "x"))
+        # a small file is one task; its rows are much work
+        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type").repartition(4 * spark.sparkContext.defaultParallelism)
+        rows = part.select(F.col("p_partkey").alias("id"), F.posexplode(labelled_line(F.concat(*pieces), scheme)).alias("n", "x"))
         return rows.select("id", "n", "x.token", "x.label").filter("label not in ('<S>', '</S>')")
 
     run.__name__ = f"tagged_{scheme}"

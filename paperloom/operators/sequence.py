@@ -10,15 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
+
 
 def spans(labels: Column) -> Column:
     """Array of tag, start, stop of an array of labels: B_x I_x* E_x of one tag, or W_x; broken runs are dropped.
 
-    Only neighbours among the labels that are not I_ can begin and end a run, so the work grows with the labels.
+    Only neighbours among the labels that are not I_ can begin and end a run, so the work grows with the labels; of those only B_ and W_ begin one.
     """
     kind, tag = lambda c: F.left(c, F.lit(2)), lambda c: F.substr(c, F.lit(3))
-    places = F.filter(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: kind(F.coalesce(F.get(labels, i), F.lit("O"))) != "I_")
-    both = F.when(F.size(labels) > 0, F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
+    places = F.filter(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: ~F.coalesce(F.get(labels, i), F.lit("O")).startswith("I_"))
+    pairs = bound(places, lambda p: F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
+    both = F.when(F.size(labels) > 0, F.filter(pairs, lambda x: kind(F.get(labels, x["p"])).isin("B_", "W_")))
     span = lambda label, start, stop: F.struct(tag(label).alias("tag"), start.alias("start"), stop.alias("stop"))
 
     def found(x: Column) -> Column:

@@ -6,12 +6,13 @@ whose state is the number of elements behind it; a fold over tokens carries the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bound
 from ..functions.text import normalize_characters
-from .control import numbered, quantiles
+from ..llm.common import cut
+from .control import numbered
 from .sequence import spans
 
 ELEMENT = "array<struct<kind:string,word:string,optional:boolean>>"
@@ -79,12 +80,17 @@ def matched_length(pattern: Column, tokens: Column) -> Column:
 def first_match(pattern: Column, tokens: Column) -> Column:
     """Struct of ``start`` and ``stop`` of the pattern's first match in plain tokens, the longest from there; null if there is none.
 
-    Only places whose token fits the first element (which must not be optional) are tried.
+    Only places whose token fits the first element (which must not be optional) are tried, and of those only places
+    before a token that begins with the last element's word, if that is needed. Most others are told by the first letter.
     """
 
     def search(pattern: Column, tokens: Column) -> Column:
         size, first, n = F.size(tokens), F.get(pattern, F.lit(0)), F.greatest(F.size(pattern), F.lit(1))
-        begins = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i < size) & fits(first, F.get(tokens, i)))
+        near = lambda letter: F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.get(tokens, i).startswith(letter))
+        end = F.try_element_at(pattern, F.lit(-1))
+        needed = ~end["optional"] & end["kind"].isin("exact", "last")
+        ends = lambda i: bound(F.when(needed, end["word"]).otherwise(""), lambda w: F.exists(F.slice(tokens, i + 1, n), lambda t: t.startswith(w)))
+        begins = F.filter(bound(F.left(first["word"], F.lit(1)), near), lambda i: ends(i) & fits(first, F.get(tokens, i)))
         tried = F.transform(begins, lambda i: F.struct(i.alias("start"), (i + bound(F.slice(tokens, i + 1, n), lambda t: matched_length(pattern, t))).alias("stop")))
         return F.when(F.size(pattern) > 0, F.array_min(F.filter(tried, lambda m: m["stop"].isNotNull())))
 
@@ -117,7 +123,11 @@ def labelled(papers: DataFrame, author_tag: str = "A", title_tag: str = "T") ->
 
     def written(marks: Column) -> Column:
         last = lambda i: F.try_element_at(F.filter(marks, lambda m: (m["start"] <= i) & (i < m["stop"])), F.lit(-1))
-        return F.concat(F.array(F.lit("<S>")), F.transform("tokens", lambda t, i: bound(last(i), lambda m: label(i, m))), F.array(F.lit("</S>")))
+        # before the first mark and behind the last one no token is looked at
+        around = F.struct(F.array_min(F.transform(marks, lambda m: m["start"])).alias("low"), F.array_max(F.transform(marks, lambda m: m["stop"])).alias("high"))
+        inside = lambda r: F.transform(F.sequence(r["low"], r["high"] - 1), lambda i: bound(last(i), lambda m: label(i, m)))
+        others = lambda n: F.array_repeat(F.lit("O"), n)
+        return bound(around, lambda r: F.concat(F.array(F.lit("<S>")), others(r["low"]), inside(r), others(F.size("tokens") - r["high"]), F.array(F.lit("</S>"))))
 
     def labels(plain: Column) -> Column:
         return bound(first_match(text_pattern(F.col("title")), plain), lambda t: F.when(t.isNotNull(), bound(marks(plain, t), written)))
@@ -132,12 +142,18 @@ def label_in_bulk(papers: DataFrame, excluded: DataFrame | None = None, min_year
 
     Papers whose id is in ``excluded`` don't take part, nor, with a ``min_year``, those of earlier or unknown ``year``. With
     ``check_authors`` a paper counts only if its labels give as many author spans as it has authors. ``first_tokens`` limits the
-    tokens that are read (0: all). The stop is global: papers are counted by ranges of ids, not in one task.
+    tokens that are read (0: all). The stop is global: papers are counted by ranges of ids, not in one task. All papers are labelled
+    once, of which only the ids are kept and shuffled; then those that are taken are labelled again.
     """
-    rows = papers if excluded is None else papers.join(excluded.select("id").distinct(), "id", "left_anti")
-    rows = rows.filter(F.col("year") >= min_year) if min_year > 0 else rows
+    rows = papers.filter(F.col("year") >= min_year) if min_year > 0 else papers
     rows = rows.withColumn("tokens", F.slice("tokens", 1, first_tokens)) if first_tokens > 0 else rows
-    rows = labelled(rows)
-    if check_authors:
-        rows = rows.filter(F.size(F.filter(spans(F.col("labels")), lambda s: s["tag"] == "A")) == F.size("authors"))
-    return numbered(rows, "id", cuts=quantiles(papers, "id")).filter(F.col("index") < most).drop("index") if most > 0 else rows
+    counts = lambda df: df.filter(F.size(F.filter(spans(F.col("labels")), lambda s: s["tag"] == "A")) == F.size("authors")) if check_authors else df
+    allowed = lambda df: df if excluded is None else df.join(excluded.select("id").distinct(), "id", "left_anti")
+    if most <= 0:
+        return counts(labelled(allowed(rows)))
+    able = cut(allowed(counts(labelled(rows)).select("id")))
+    taken = cut(numbered(able, "id").filter(F.col("index") < most).groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_most")))
+    last = taken.agg(F.max("_id")).first()[0]
+    rows = rows.filter(F.col("id").isNull() | (F.col("id") <= F.lit(last))).join(taken, F.col("id").eqNullSafe(F.col("_id")))
+    again = counts(labelled(rows)).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("id")))
+    return again.filter(F.col("_n") <= F.col("_most")).drop("_n", "_id", "_most")

@@ -32,8 +32,9 @@ def _capital(letter):
 def _papers(spark, sf_dir):
     """Documents as tokens, with names and titles made of their own words: shortened, with an initial, or not there at all."""
     d = table(spark, sf_dir, "documents")
-    tokens = F.filter(F.flatten(F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))), lambda t: t != "")
-    rows = d.select(F.col("doc_id").alias("id"), tokens.alias("tokens")).filter(F.size("tokens") >= 14)
+    tokens = F.array_remove(F.split(F.translate("text", "\n", " "), " "), "")
+    # a generator, so that no filter on names or titles makes the tokens anew
+    rows = d.select(F.col("doc_id").alias("id"), F.explode(F.array(tokens)).alias("tokens")).filter(F.size("tokens") >= 14)
     t = lambda i: F.get("tokens", F.lit(i))
     s = F.format_string
     names = F.array(s("%s %s", t(4), t(5)), s("%s. %s", _capital(F.left(t(8), F.lit(1))), t(9)), s("%s Q. %s", t(12), t(13)))
@@ -80,7 +81,7 @@ def supervised_labels(spark, sf_dir):
     SELECT c.id, c.labels FROM counted c JOIN p USING (id) WHERE k = len(authors) AND year >= 1995 AND c.id % 11 <> 0 ORDER BY c.id LIMIT 300""")
 def bulk_labels(spark, sf_dir):
     papers = _papers(spark, sf_dir)
-    excluded = papers.filter("id % 11 = 0").select("id")
+    excluded = table(spark, sf_dir, "documents").filter("doc_id % 11 = 0").select(F.col("doc_id").alias("id"))
     return D.label_in_bulk(papers, excluded, min_year=1995, most=300, check_authors=True).select("id", F.array_join("labels", " ").alias("labels"))
 
 

@@ -85,40 +85,59 @@ class Crf:
     node: np.ndarray  # (slots, labels)
     edge: np.ndarray  # (labels, labels)
 
-    def decode(self, slots: list[np.ndarray]) -> list[str]:
-        """The best label path."""
-        if not len(slots):
-            return []
-        scores = np.stack([self.node[s].sum(axis=0) for s in slots])
-        best, back = scores[0], []
-        for row in scores[1:]:
-            paths = best[:, None] + self.edge
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return [self.labels[i] for i in reversed(path)]
-
-    def gradient(self, slots: list[np.ndarray], gold: np.ndarray, node: np.ndarray, edge: np.ndarray) -> float:
-        """Add the gradient of the sequence's log-likelihood to ``node`` and ``edge``; return the latter."""
-        scores = np.stack([self.node[s].sum(axis=0) for s in slots])
-        n, k = scores.shape
-        ahead, behind = np.zeros((n, k)), np.zeros((n, k))
-        ahead[0] = scores[0]
-        for i in range(1, n):
-            ahead[i] = scores[i] + _logsum(ahead[i - 1][:, None] + self.edge, 0)
-        for i in range(n - 2, -1, -1):
-            behind[i] = _logsum(self.edge + (scores[i + 1] + behind[i + 1])[None, :], 1)
-        total = _logsum(ahead[-1], 0)
-        marginal = np.exp(ahead + behind - total)
-        for i, s in enumerate(slots):
-            node[s, gold[i]] += 1.0
-            node[s] -= marginal[i]
-        for i in range(1, n):
-            edge[gold[i - 1], gold[i]] += 1.0
-            edge -= np.exp(ahead[i - 1][:, None] + self.edge + (scores[i] + behind[i])[None, :] - total)
-        return float(scores[np.arange(n), gold].sum() + self.edge[gold[:-1], gold[1:]].sum() - total)
+    def decode(self, features: list[list[np.ndarray]]) -> list[list[str]]:
+        """The best label path of each sequence; those of a length step together."""
+        paths: list[list[str]] = [[] for _ in features]
+        for rows, scores, _, _ in self._by_length(features):
+            best, back = scores[:, 0], []
+            for i in range(1, scores.shape[1]):
+                ways = best[:, :, None] + self.edge
+                back.append(ways.argmax(axis=1))
+                best = ways.max(axis=1) + scores[:, i]
+            path = [best.argmax(axis=1)]
+            for b in reversed(back):
+                path.append(b[np.arange(len(rows)), path[-1]])
+            for r, labels in zip(rows, np.stack(path[::-1], axis=1).tolist(), strict=True):
+                paths[r] = [self.labels[i] for i in labels]
+        return paths
+
+    def gradient(self, features: list[list[np.ndarray]], gold: list[np.ndarray], node: np.ndarray, edge: np.ndarray) -> float:
+        """Add the gradient of the sequences' log-likelihood to ``node`` and ``edge``; return the latter. Those of a length step together."""
+        likelihood = 0.0
+        for rows, scores, slot, at in self._by_length(features):
+            n, k = scores.shape[1:]
+            g = np.stack([np.asarray(gold[r], int) for r in rows])
+            ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
+            ahead[:, 0] = scores[:, 0]
+            for i in range(1, n):
+                ahead[:, i] = scores[:, i] + _logsum(ahead[:, i - 1, :, None] + self.edge, 1)
+            for i in range(n - 2, -1, -1):
+                behind[:, i] = _logsum(self.edge + (scores[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
+            total = _logsum(ahead[:, -1], 1)
+            step = -np.exp(ahead + behind - total[:, None, None])
+            step.reshape(-1, k)[np.arange(g.size), g.ravel()] += 1.0
+            step = step.reshape(-1, k)[at]
+            for j in range(k):
+                node[:, j] += np.bincount(slot, step[:, j], len(node))
+            if n > 1:
+                edge += np.bincount((g[:, :-1] * k + g[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
+            for i in range(1, n):
+                edge -= np.exp(ahead[:, i - 1, :, None] + self.edge + (scores[:, i] + behind[:, i])[:, None, :] - total[:, None, None]).sum(axis=0)
+            likelihood += float(np.take_along_axis(scores, g[:, :, None], 2).sum() + self.edge[g[:, :-1], g[:, 1:]].sum() - total.sum())
+        return likelihood
+
+    def _by_length(self, features: list[list[np.ndarray]], tokens: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, scores (rows x tokens x labels), feature slots and the token of each slot, of sequences of a length; about ``tokens`` at once, without empty ones."""
+        sizes = np.fromiter(map(len, features), int, len(features))
+        for n in np.unique(sizes[sizes > 0]):
+            same = np.flatnonzero(sizes == n)
+            for s in range(0, len(same), max(tokens // n, 1)):
+                rows = same[s : s + max(tokens // n, 1)]
+                each = [np.asarray(x, int) for r in rows for x in features[r]]
+                slot, at = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+                k = len(self.labels)
+                scores = np.stack([np.bincount(at, self.node[slot, j], len(each)) for j in range(k)], axis=1)
+                yield rows, scores.reshape(len(rows), n, k), slot, at
 
 
 def _logsum(x: np.ndarray, axis: int):
@@ -141,10 +160,8 @@ def train_crf(sequences: DataFrame, labels: list[str], slots: int = 2048, rounds
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             node, edge, n = np.zeros((slots, k)), np.zeros((k, k)), 0
             for batch in batches:
-                for f, g in zip(batch.features, batch.gold, strict=True):
-                    if len(g):
-                        weights.gradient([np.asarray(x, int) for x in f], np.asarray(g, int), node, edge)
-                        n += len(g)
+                weights.gradient(list(batch.features), list(batch.gold), node, edge)
+                n += sum(map(len, batch.gold))
             flat = np.concatenate([node.ravel(), edge.ravel(), [float(n)]])
             at = np.flatnonzero(flat)
             yield pd.DataFrame({"at": at, "value": flat[at]})
@@ -164,6 +181,6 @@ def decode_crf(sequences: DataFrame, model: Crf, id_col: str = "id") -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "labels": [model.decode([np.asarray(x, int) for x in f]) for f in batch.features]})
+            yield pd.DataFrame({id_col: batch[id_col], "labels": model.decode(list(batch.features))})
 
     return sequences.select(id_col, "features").mapInPandas(run, f"`{id_col}` {sequences.schema[id_col].dataType.simpleString()}, labels array<string>")

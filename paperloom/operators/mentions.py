@@ -28,18 +28,37 @@ SHORT_YEAR = r"[\[(][12][0-9]{3}[a-z]?[\])]"
 REWOUND = f"([.{SUPER}"
 
 
+def running(sizes: Column, block: int = 256) -> Column:
+    """Running totals of an array of numbers. A fold copies what it has at each step, so long arrays go by blocks."""
+    fold = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + x)))
+
+    def by_blocks(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: fold(F.slice(xs, b * block + 1, block)))
+        tops = lambda bs: fold(F.transform(bs, lambda x: F.try_element_at(x, F.lit(-1))))
+        moved = lambda bs, before: F.flatten(F.transform(bs, lambda xs, b: F.transform(xs, lambda x: x + F.when(b > 0, F.get(before, b - 1)).otherwise(0))))
+        return bound(blocks, lambda bs: bound(tops(bs), lambda before: moved(bs, before)))
+
+    return bound(sizes, lambda xs: F.when(F.size(xs) <= block, fold(xs)).otherwise(by_blocks(xs)))
+
+
 def places(units: DataFrame, pattern: str, *extra: Column) -> DataFrame:
-    """``id, unit, k, marker, start, stop``: all matches of a pattern. ``extra`` columns may use ``head``, the text between the last match and this one.
+    """``id, unit, k, marker, start, stop``: all matches of a pattern. ``extra`` columns may use ``head``, the text between the last match and this
+    one, the others and ``text``.
 
-    Only lengths, markers and extra columns are shuffled, by unit, to add up the offsets.
+    A unit stays in its row, where the offsets are added up; nothing is shuffled.
     """
-    markers = F.regexp_extract_all("text", F.lit(pattern), 0)
-    heads = F.slice(F.split("text", pattern), F.lit(1), F.size(markers))
-    rows = units.filter(F.col("text").rlike(pattern)).select("id", "unit", F.posexplode(F.arrays_zip(heads.alias("head"), markers.alias("marker"))).alias("k", "m"))
-    rows = rows.select("id", "unit", "k", F.col("m.head").alias("head"), F.col("m.marker").alias("marker"))
-    rows = rows.select("id", "unit", "k", "marker", (F.length("head") + F.length("marker")).alias("n"), *extra)
-    stop = F.sum("n").over(Window.partitionBy("id", "unit").orderBy("k"))
-    return rows.withColumn("stop", stop.cast("int")).withColumn("start", F.col("stop") - F.length("marker")).drop("n")
+
+    def found(markers: Column) -> Column:
+        heads = F.slice(F.split("text", pattern), F.lit(1), F.size(markers))
+        pairs = F.arrays_zip(heads.alias("head"), markers.alias("marker"))
+        stops = lambda ms: running(F.transform(ms, lambda m: F.length(m["head"]) + F.length(m["marker"])))
+        placed = lambda ms: F.zip_with(ms, stops(ms), lambda m, stop: F.struct(m["head"].alias("head"), m["marker"].alias("marker"), stop.alias("stop")))
+        return F.when(F.size(markers) > 0, bound(pairs, placed))
+
+    rows = units.select("id", "unit", "text", F.posexplode(bound(F.regexp_extract_all("text", F.lit(pattern), 0), found)).alias("k", "m"))
+    rows = rows.select("id", "unit", "text", "k", F.col("m.head").alias("head"), F.col("m.marker").alias("marker"), F.col("m.stop").alias("stop"))
+    rows = rows.withColumn("start", F.col("stop") - F.length("marker"))
+    return rows.select("id", "unit", "k", "marker", *extra, "stop", "start")
 
 
 def plain_key(c: Column) -> Column:
@@ -85,33 +104,34 @@ def narrative(units: DataFrame, records: DataFrame, gap: int = 0, any_year: bool
     """``id, unit, n, start, stop`` of narrative citations: the authors' key, then a year in brackets: Name et al. (2005).
 
     ``records`` are ``id, n, authors, year``. Up to ``gap`` words may stand between key and year. The year must be the
-    record's, unless ``any_year``. The words before each bracketed year form an inverted index; a record's key is looked up by its
-    word that is rarest there and then compared as a whole. Of the keys before a year the leftmost counts, of equal
-    ones the first record's; as no key reaches over a year, citations never overlap.
+    record's, unless ``any_year``. The runs of words before each bracketed year that have as many words as a key has are joined with the
+    keys as a whole. Of the keys before a year the leftmost counts, of equal ones the first record's; as no key reaches over a
+    year, citations never overlap.
     """
     width = 4 + gap
     normal = lambda t: plain_key(F.regexp_replace(t, r"['’]s\z", ""))
     tail = F.split(F.substring_index(F.translate("head", "\n\t\r", "   "), " ", -2 * width), " ")
-    words = F.transform(
-        tail, lambda t, i: F.struct(normal(t).alias("word"), (F.length(F.array_join(F.slice(tail, i + 1, 2 * width), " ")) - F.length(F.regexp_extract(t, r"^\p{P}*", 0))).alias("back"))
-    )
-    index = places(units, SHORT_YEAR, F.filter(words, lambda w: w["word"] != "").alias("words"))
-    index = index.withColumn("year", F.regexp_extract("marker", "[0-9]{4}", 0).cast("int")).withColumn("names", F.transform("words", lambda w: w["word"]))
-    entries = index.select("id", "unit", "k", F.posexplode("names").alias("at", "word"))
-
-    keys = records.select("id", "n", F.col("year").alias("of"), F.split(plain_key(author_key(F.col("authors"))), " ").alias("names")).filter("names[0] <> ''")
-    counts = entries.groupBy("word").agg(F.count("*").alias("held"))
-    rare = keys.select("*", F.posexplode("names").alias("place", "word")).join(counts, "word", "left").groupBy("id", "n", "of", "names")
-    rare = rare.agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "place", "word")).alias("r")).filter("r.held > 0")
-
-    near = entries.join(rare.select("id", "n", "of", F.col("names").alias("key"), "r.place", "r.word"), ["id", "word"]).select("id", "unit", "k", "n", "of", "key", (F.col("at") - F.col("place")).alias("at"))
-    near = near.filter("at >= 0").join(index, ["id", "unit", "k"])
-    after = F.size("names") - F.col("at") - F.size("key")
-    hits = near.filter((F.slice("names", F.col("at") + 1, F.size("key")) == F.col("key")) & after.between(0, gap))
-    hits = hits if any_year else hits.filter("of = year")
-    order = Window.partitionBy("id", "unit", "k").orderBy("at", F.desc(F.size("key")), "n")
-    first = hits.withColumn("place", F.row_number().over(order)).filter("place = 1")
-    return first.select("id", "unit", "n", (F.col("start") - F.get("words", F.col("at"))["back"]).alias("start"), "stop")
+    back = lambda tail, t, i: F.length(F.array_join(F.slice(tail, i + 1, 2 * width), " ")) - F.length(F.regexp_extract(t, r"^\p{P}*", 0))
+    words = bound(tail, lambda tail: F.filter(F.transform(tail, lambda t, i: F.struct(normal(t).alias("word"), back(tail, t, i).alias("back"))), lambda w: w["word"] != ""))
+
+    # no word holds a newline
+    dated = lambda key, year: key if any_year else F.concat(key, F.lit("\n"), year)
+    keys = records.select("id", "n", "year", F.split(plain_key(author_key(F.col("authors"))), " ").alias("names")).filter("names[0] <> ''")
+    sizes = sorted(x[0] for x in keys.select(F.size("names")).filter(F.size("names") <= 2 * width).distinct().collect())
+    known = keys.groupBy("id", dated(F.array_join("names", "\n"), F.col("year").cast("string")).alias("key")).agg(F.min("n").alias("n"))
+
+    def runs(words: Column) -> Column:
+        """Key, size and distance of its start from the year, of the runs that end at most ``gap`` words before it."""
+        run = lambda at, size: F.struct(F.array_join(F.transform(F.slice(words, at + 1, size), lambda w: w["word"]), "\n").alias("key"), F.lit(size).alias("size"), F.get(words, at)["back"].alias("back"))
+        ends = [(F.size(words) - skipped - size, size) for size in sizes for skipped in range(gap + 1)]
+        return F.filter(F.array(*[F.when(at >= 0, run(at, size)) for at, size in ends]), lambda x: x.isNotNull())
+
+    none = F.array().cast("array<struct<key:string,size:int,back:int>>")
+    year = F.regexp_extract("marker", "[0-9]{4}", 0)
+    asked = places(units, SHORT_YEAR, (bound(words, runs) if sizes else none).alias("runs"), year.cast("int").cast("string").alias("year"))
+    asked = asked.select("id", "unit", "start", "stop", "year", F.inline("runs")).select("id", "unit", dated(F.col("key"), F.col("year")).alias("key"), (F.col("start") - F.col("back")).alias("start"), "size", "stop")
+    hits = asked.join(known, ["id", "key"]).groupBy("id", "unit", "stop").agg(F.min(F.struct("start", -F.col("size"), "n")).alias("r"))
+    return hits.select("id", "unit", F.col("r.n").alias("n"), F.col("r.start").alias("start"), "stop")
 
 
 def sentence_context(text: Column, start: Column, stop: Column) -> Column:
@@ -142,8 +162,9 @@ def sentence_context(text: Column, start: Column, stop: Column) -> Column:
 def with_contexts(found: DataFrame, units: DataFrame, least: int = 35) -> DataFrame:
     """``id, unit, place, n, context, start, stop`` of mentions whose sentence has ``least`` characters besides them; ``place`` is the mention's offset in the unit."""
     rows = found.join(units.select("id", "unit", "text"), ["id", "unit"])
-    rows = rows.select("id", "unit", F.col("start").alias("place"), "n", sentence_context(F.col("text"), F.col("start"), F.col("stop")).alias("c")).select("id", "unit", "place", "n", "c.*")
-    return rows.filter(F.length("context") - (F.col("stop") - F.col("start")) >= least)
+    long = F.filter(F.array(sentence_context(F.col("text"), F.col("start"), F.col("stop"))), lambda c: F.length(c["context"]) - (c["stop"] - c["start"]) >= least)
+    # a generator, so that the context is worked out once
+    return rows.select("id", "unit", F.col("start").alias("place"), "n", F.inline(long))
 
 
 def keep_predominant(found: DataFrame, least_square: int = 4) -> DataFrame:

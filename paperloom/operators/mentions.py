@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bound
 from ..functions.text import superscripts_to_brackets
+from ..llm.common import cut
 from .bibliography import expand_numbers
 
 # What encloses a superscript, what the markers of a style look like and how their parts are set apart.
@@ -81,23 +82,26 @@ def record_key(style: str) -> Column:
     return plain_key(F.col("key")) if style == "bracket_name" else F.col("n").cast("string")
 
 
-def marked(units: DataFrame, records: DataFrame, style: str) -> DataFrame:
-    """``id, unit, n, start, stop`` of the records that the style's markers name.
+def marked(units: DataFrame, records: DataFrame, style: str, *extra: Column) -> DataFrame:
+    """``id, unit, n, start, stop`` of the records that the style's markers name, and ``extra`` columns of the markers, which may use ``text``.
 
     Numbers n-m (without blanks) stand for all from n to m. Where records share a key the first is meant. A marker
     that had to begin with the full stop before a superscript begins after it.
     """
     pattern, delimiter = MARKERS[style]
-    found = places(units, pattern)
+    start = (F.col("start") + F.col("marker").startswith(".").cast("int")).alias("start")
+    found = places(units, pattern, "text").select("id", "unit", "k", "marker", "stop", start, "text")
+    found = found.select("id", "unit", "k", "marker", "stop", "start", *extra)
     meat = F.regexp_replace("marker", rf"^\.?[\[({SUPER}]|[\]){UNSUPER}]\z", "")
     parts = F.transform(F.split(meat, delimiter), lambda p: F.trim(p))
     if style in ("number", "paren_number"):
         parts = F.flatten(F.transform(parts, lambda p: expand_numbers(p).cast("array<string>")))
     else:
         parts = F.transform(parts, plain_key)
-    asked = found.select("id", "unit", "k", "stop", (F.col("start") + F.col("marker").startswith(".").cast("int")).alias("start"), F.posexplode(parts).alias("part", "key"))
+    more = [c for c in found.columns if c not in ("id", "unit", "k", "marker", "stop", "start")]
+    asked = found.select("id", "unit", "stop", "start", *more, F.explode(parts).alias("key"))
     known = records.select("id", "n", record_key(style).alias("key")).filter("key <> ''").groupBy("id", "key").agg(F.min("n").alias("n"))
-    return asked.join(known, ["id", "key"]).select("id", "unit", "n", "start", "stop")
+    return asked.join(known, ["id", "key"]).select("id", "unit", "n", "start", "stop", *more)
 
 
 def narrative(units: DataFrame, records: DataFrame, gap: int = 0, any_year: bool = False) -> DataFrame:
@@ -167,6 +171,22 @@ def with_contexts(found: DataFrame, units: DataFrame, least: int = 35) -> DataFr
     return rows.select("id", "unit", F.col("start").alias("place"), "n", F.inline(long))
 
 
+def document_styles(signs: DataFrame, least_square: int = 4) -> DataFrame:
+    """``id, style`` from ``id, sign, unit, place, n``: see :func:`keep_predominant`."""
+    counts = signs.groupBy("id", "sign").agg(F.count("*").alias("n"), F.max(F.struct("unit", "place", "n")).alias("last"))
+    # a document has at most four signs
+    best = counts.groupBy("id").agg(F.collect_list(F.struct("n", "last", "sign")).alias("all"), F.max("n").alias("most"), F.max(F.when(F.col("sign") == "[", F.col("n"))).alias("square"))
+    tied = F.transform(F.filter("all", lambda x: x["n"] == F.col("most")), lambda x: F.struct(x["last"].alias("last"), x["sign"].alias("sign")))
+    best = best.select("id", F.array_min(tied)["sign"].alias("first"), "square")
+    style = F.when((F.col("first") == "(") & (F.col("square") > least_square), "[").otherwise(F.col("first"))
+    return best.select("id", style.alias("style"))
+
+
+def opening_sign(text: Column, start: Column) -> Column:
+    sign = F.substr(text, start + 1, F.lit(1))
+    return F.when(sign.isin("(", "[", SUPER), sign).otherwise("")
+
+
 def keep_predominant(found: DataFrame, least_square: int = 4) -> DataFrame:
     """The mentions in their document's style, with superscript signs as round brackets, and the ``style``: ( [ ⍐ or none.
 
@@ -174,12 +194,23 @@ def keep_predominant(found: DataFrame, least_square: int = 4) -> DataFrame:
     number); [ wins over ( if it opens more than ``least_square``. Where most open otherwise all are kept. A sign's
     counts are summed by document first, and only the counts are compared.
     """
-    sign = F.substr("context", F.col("start") + 1, F.lit(1))
-    rows = found.withColumn("sign", F.when(sign.isin("(", "[", SUPER), sign).otherwise(""))
-    counts = rows.groupBy("id", "sign").agg(F.count("*").alias("n"), F.max(F.struct("unit", "place", "n")).alias("last"))
-    best = counts.groupBy("id").agg(F.max("n").alias("most"), F.max(F.when(F.col("sign") == "[", F.col("n"))).alias("square"))
-    tied = counts.join(best.select("id", "most"), "id").filter("n = most").groupBy("id").agg(F.min_by("sign", "last").alias("first"))
-    style = F.when((F.col("first") == "(") & (F.col("square") > least_square), "[").otherwise(F.col("first"))
-    chosen = best.join(tied, "id").select("id", style.alias("style"))
-    kept = rows.join(chosen, "id").filter((F.col("style") == "") | (F.col("sign") == F.col("style")))
+    rows = found.withColumn("sign", opening_sign(F.col("context"), F.col("start")))
+    kept = rows.join(document_styles(rows, least_square), "id").filter((F.col("style") == "") | (F.col("sign") == F.col("style")))
+    return kept.select("id", "unit", "place", "n", superscripts_to_brackets("context").alias("context"), "start", "stop", "style")
+
+
+def kept_in_style(units: DataFrame, records: DataFrame, style: str, least: int = 35, least_square: int = 4) -> DataFrame:
+    """:func:`keep_predominant` of :func:`with_contexts` of :func:`marked`, in one pass over the texts and one more for those kept.
+
+    Whether a context is long enough and the opening sign are told in the unit's row. Only they and the offsets, which are
+    materialised, are counted; the texts are joined with the mentions that stay.
+    """
+    # a context holds its mention, so the text has the same sign there
+    size = F.transform(F.array(sentence_context(F.col("text"), F.col("start"), F.col("stop"))), lambda c: F.length(c["context"]))
+    found = marked(units, records, style, F.get(size, F.lit(0)).alias("size"), opening_sign(F.col("text"), F.col("start")).alias("sign"))
+    rows = cut(found.filter(F.col("size") - (F.col("stop") - F.col("start")) >= least).select("id", "unit", F.col("start").alias("place"), "stop", "n", "sign"))
+    kept = rows.join(document_styles(rows, least_square), "id").filter((F.col("style") == "") | (F.col("sign") == F.col("style")))
+    kept = kept.join(units.select("id", "unit", "text"), ["id", "unit"])
+    context = F.array(sentence_context(F.col("text"), F.col("place"), F.col("stop")))
+    kept = kept.select("id", "unit", "place", "n", "style", F.inline(context))
     return kept.select("id", "unit", "place", "n", superscripts_to_brackets("context").alias("context"), "start", "stop", "style")

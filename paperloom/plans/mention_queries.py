@@ -82,11 +82,12 @@ def named_mentions(spark, sf_dir):
 
 def _numbered(spark, sf_dir):
     """A paragraph a line of a document, most with numbers of its five records."""
-    rows = lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("line_no").alias("unit"), F.col("line").alias("t"))
+    docs = table(spark, sf_dir, "documents")
+    rows = lines(docs).select(F.col("doc_id").alias("id"), F.col("line_no").alias("unit"), F.col("line").alias("t"))
     texts = ["%s As in [1, 3] it holds. More.", "%s.⍐2⍗ Next one of [4]", "(2-4) %s", "%s (1) and (5).(3)", "%s", "[9] [2]%s.", "⍐7⍗ %s (1) . ", "%s (3,1)"]
     case = F.pmod(F.col("id") * 3 + F.col("unit"), F.lit(8))
     text = F.coalesce(*[F.when(case == i, F.format_string(t, F.col("t"))) for i, t in enumerate(texts)])
-    return rows.select("id", "unit", text.alias("text")), rows.select("id").distinct().select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
+    return rows.select("id", "unit", text.alias("text")), docs.filter("text is not null").select(F.col("doc_id").alias("id")).distinct().select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
 
 
 _NUMBERED = f"""WITH u AS (SELECT doc_id AS id, line_no AS unit, CASE (doc_id * 3 + line_no) % 8 WHEN 0 THEN line || ' As in [1, 3] it holds. More.' WHEN 1 THEN line || '.⍐2⍗ Next one of [4]' WHEN 2 THEN '(2-4) ' || line
@@ -127,4 +128,4 @@ def mention_contexts(spark, sf_dir):
     SELECT g.id, unit, place, g.n, replace(replace(context, '⍐', '('), '⍗', ')') AS context, start, stop, style FROM g JOIN st ON st.id = g.id WHERE style = '' OR style = sign""")
 def kept_mentions(spark, sf_dir):
     units, records = _numbered(spark, sf_dir)
-    return M.keep_predominant(M.with_contexts(M.marked(units, records, "number"), units))
+    return M.kept_in_style(units, records, "number")

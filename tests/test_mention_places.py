@@ -26,3 +26,22 @@ def test_narrative_joins_whole_keys(spark):
     got = M.narrative(units, records)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 1, 0, 19), (1, 0, 2, 24, 42), (1, 1, 3, 3, 14)]
     assert "Window" not in plan(got)
+
+
+def test_kept_in_one_pass(spark):
+    texts = ["First (1) here it is and it goes on for long. Then [2] also goes on, and on, for quite long.", ".⍐3⍗ And the rest of this sentence is rather long, too.", "  (1, 2) stands before a sentence of some length here.", "(4) short.", None]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(text):
+        read.add(1)
+        return text
+
+    rows = [(d, u, texts[(d * u) % 5]) for d in range(1, 9) for u in range(40)]
+    plain = spark.createDataFrame(rows, UNITS)
+    records = spark.createDataFrame([(d, n) for d in range(1, 9) for n in range(1, 4)], "id long, n int")
+    want = M.keep_predominant(M.with_contexts(M.marked(plain, records, "number"), plain)).collect()
+    units = plain.select("id", "unit", F.explode(F.array(once("text"))).alias("text"))
+    got = M.kept_in_style(units, records, "number").collect()
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert read.value <= 2 * len(rows)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, utf8_buffer
@@ -210,6 +210,30 @@ def shared_landmarks(prints: DataFrame, shifted: DataFrame, run: int = 3) -> tup
     return reps, heard, hubs, cut(one.join(hubs.select("mark"), "mark")), cut(two.join(hubs.select("mark"), "mark"))
 
 
+def _alignments(one: DataFrame, two: DataFrame) -> DataFrame:
+    """``q, m, phase, offset``: of every query and other recording that share a landmark, where most of their landmarks vote for.
+
+    ``one`` and ``two`` hold the places of the landmarks that link. Where a tone stands still, a query's landmark has the same first
+    place at many phases: these are one row, with the phases it spans, and the votes at a phase are the sum of what begins
+    and ends up to it. They are most where a span begins. Recordings with the same landmarks at the same places are one profile, voted for once.
+    """
+    at, phase = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF).cast("int")
+    asked = one.groupBy("mark", F.col("no").alias("q"), phase.alias("phase")).agg(F.min(at).alias("from"))
+    nth = F.row_number().over(Window.partitionBy("mark", "q", "from").orderBy("phase"))
+    spans = asked.withColumn("span", F.col("phase") - nth).groupBy("mark", "q", "from", "span").agg(F.min("phase").alias("begin"), (F.max("phase") + 1).alias("end"))
+    held = cut(two.groupBy(F.col("no").alias("m")).agg(F.sort_array(F.collect_list(F.struct(at.alias("to"), "mark"))).alias("places")))
+    profiles = cut(held.groupBy("places").agg(F.min("m").alias("p"), F.count("*").alias("members")))
+    held = held.join(profiles, "places").select("p", "m")
+    voted = spans.join(profiles.select("p", "members", F.inline("places")), "mark").filter("q != p or members > 1")
+    voted = voted.select("q", "p", (F.col("to") - F.col("from")).alias("offset"), "begin", "end").repartition("q", "p")  # once for all three steps by pair
+    edges = F.array(F.struct(F.col("begin").alias("phase"), F.lit(1).alias("more")), F.struct(F.col("end").alias("phase"), F.lit(-1).alias("more")))
+    edges = voted.select("q", "p", "offset", F.inline(edges)).groupBy("q", "p", "offset", "phase").agg(F.sum("more").alias("more"))
+    votes = edges.withColumn("n", F.sum("more").over(Window.partitionBy("q", "p", "offset").orderBy("phase")))
+    best = F.struct(F.col("n"), -F.abs("offset"), -F.col("offset"), -F.col("phase"))
+    best = votes.groupBy("q", "p").agg(F.max_by(F.struct("phase", F.col("offset").cast("int").alias("offset")), best).alias("r"))
+    return best.join(held, "p").filter("q != m").select("q", "m", "r.*")
+
+
 def links(prints: DataFrame, shifted: DataFrame, hop: int = 128, run: int = 3, most_errors: float = 0.35) -> tuple[DataFrame, DataFrame]:
     """``q, m, shift, votes, overlap, bit_error``: all pairs of keys of queries (``shifted``) and of other recordings (``prints``) that share
     a landmark of ``run`` codes; and ``q, m``: some of those pairs, with the same components.
@@ -222,13 +246,7 @@ def links(prints: DataFrame, shifted: DataFrame, hop: int = 128, run: int = 3, m
     """
     reps, heard, hubs, one, two = shared_landmarks(prints, shifted, run)
     few = two.join(hubs, "mark").select("q", F.col("no").alias("m")).union(one.join(hubs, "mark").select(F.col("no").alias("q"), "m")).filter("q != m").distinct()
-    at, phase = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF).cast("int")
-    asked = one.groupBy("mark", F.col("no").alias("q"), phase.alias("phase")).agg(F.min(at).alias("from"))
-    heard_at = two.select("mark", F.col("no").alias("m"), at.alias("to"))
-    votes = asked.join(heard_at, "mark").filter("q != m").groupBy("q", "m", "phase", (F.col("to") - F.col("from")).alias("offset")).agg(F.count("*").alias("n"))
-    best = F.struct(F.col("n"), -F.abs("offset"), -F.col("offset"), -F.col("phase"))
-    pairs = votes.groupBy("q", "m").agg(F.max_by(F.struct("phase", F.col("offset").cast("int").alias("offset")), best).alias("r"))
-    pairs = cut(pairs.select("q", "m", "r.*"))
+    pairs = cut(_alignments(one, two))
     pairs = pairs.join(reps.select(F.col("no").alias("m"), F.col("key").alias("m_key"), F.col("codes").alias("b")), "m")
     pairs = pairs.join(heard.select(F.col("no").alias("q"), "phase", F.col("codes").alias("a")), ["q", "phase"])
     pairs = _passage(pairs, run, most_errors).join(reps.select(F.col("no").alias("q"), F.col("key").alias("q_key")), "q")

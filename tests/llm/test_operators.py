@@ -1,6 +1,7 @@
 """Each operator against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import random
@@ -666,3 +667,43 @@ def test_audio_partners_are_the_best_of_all_pairs(spark):
             best[k] = max(best.get(k, 0), votes)
     keys = {x.id: bytes(x.key) for x in prints.collect()}
     assert {i: x.votes for i, x in found.items()} == {i: best.get(keys[i]) for i in found}
+
+
+def made_by_joins(spark, run):
+    """The rows that each join makes while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    out, executions = [], store.executionsList()
+    for e in (executions.apply(i).executionId() for i in range(before, executions.size())):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []
+            out += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return out
+
+
+def test_audio_still_passages_are_voted_for_once(spark):
+    """A passage that stands still has one landmark at all phases, and each pair is still aligned where all phases and places say."""
+    r = np.random.default_rng(12)
+    say = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    still, tail = say(32) * 100, say(1500)
+    rows = [(i, say(1024 + 128 * (i % 3)) + still[: 2400 + 128 * (i % 2)] + say(700)) for i in range(60)]  # equal landmarks at equal places too
+    rows += [(60 + i, say(300 + 77 * i) + still + tail) for i in range(6)] + [(70, say(2500) + tail), (71, say(6000))]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, sound binary").repartition(3)
+    prints = audio_fingerprint.fingerprints(df, "doc_id", "sound", least_codes=3).cache()
+    asked = audio_fingerprint.fingerprints(df.filter("doc_id % 10 = 0"), "doc_id", "sound", least_codes=3, phases=128).cache()
+    got = []
+    joined = made_by_joins(spark, lambda: got.extend(audio_fingerprint.links(prints, asked)[0].collect()))
+    recordings = {bytes(x.key): x.codes for x in prints.collect()}
+    votes = {}
+    for q in asked.collect():
+        own = {tuple(q.codes[i : i + 3]): i for i in reversed(range(len(q.codes) - 2)) if i == 0 or q.codes[i : i + 3] != q.codes[i - 1 : i + 2]}
+        for key, codes in recordings.items():
+            for i in range(len(codes) - 2 if key != bytes(q.key) else 0):
+                if (j := own.get(tuple(codes[i : i + 3]))) is not None and (i == 0 or codes[i : i + 3] != codes[i - 1 : i + 2]):
+                    at = votes.setdefault((bytes(q.key), key), collections.Counter())
+                    at[i - j, q.phase] += 1
+    best = {pair: max((n, -abs(o), -o, -p) for (o, p), n in at.items()) for pair, at in votes.items()}
+    assert {(bytes(x.q), bytes(x.m)): x["shift"] for x in got} == {pair: -128 * o + p for pair, (_, _, o, p) in best.items()} and len(got) > 300
+    assert 5 * max(joined) < sum(sum(at.values()) for at in votes.values())

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, DoubleType, StructType
 
 from ..functions.text import alnum_normalize, normalize, strict_normalize
+from .reference_pairs import compare
+
+#: Classes of references, of gold or of guesses, that a group of :func:`fuzzy_match` holds, about.
+GROUP = 8192
 
 
 def words(c: Column, most: int = 40) -> Column:
@@ -71,41 +77,43 @@ def fuzzy_match(gold: DataFrame, guess: DataFrame, accept: float = 0.94, near: f
     count as well where the years are equal. Ties (scores equal to nine digits) go to the smaller gold id.
 
     References of a paper with one title and one list of authors are a class. Classes are compared, not references, so
-    copies add no pairs; a class's smallest gold id, and that of each year, stand for its references.
+    copies add no pairs; a class's smallest gold id, and that of each year, stand for its references. A paper's classes
+    are compared in one group, or in as many as its parts of about ``GROUP`` classes have pairs; pairs stay in the task.
     """
+    digest = F.unhex(F.md5(F.to_json(F.struct("title", "authors")))).alias("class")
+    gold, guess = (d.filter("paper is not null and title is not null and authors is not null") for d in (gold, guess))
 
-    def classed(d: DataFrame) -> DataFrame:
-        return d.select("paper", "id", "title", "authors", "year", F.md5(F.to_json(F.struct("title", "authors"))).alias("class"))
-
-    def prepared(d: DataFrame) -> DataFrame:
+    def prepared(d: DataFrame, *more: str) -> DataFrame:
         title = normalize("title")
         lasts = F.transform("authors", lambda a: strict_normalize(F.try_element_at(F.split(a, " "), F.lit(-1))))
-        d = d.groupBy("paper", "class").agg(F.min(F.struct("title", "authors")).alias("r")).select("paper", "class", "r.*")
         short = F.transform(F.filter(F.split(alnum_normalize("title"), " "), lambda w: w != ""), lambda w: F.left(w, F.lit(3)))
-        d = d.select("paper", "class", title.alias("title"), lasts.alias("lasts"), short.alias("short"))
+        d = d.select("paper", digest, title.alias("title"), lasts.alias("lasts"), short.alias("short"), *more)
         keys = F.concat(F.transform(word_ngrams(F.col("short"), 3, False), lambda x: F.concat(F.lit("t:"), x)), F.transform(word_ngrams(F.col("lasts"), 3, True), lambda x: F.concat(F.lit("a:"), x)))
-        return d.select("paper", "class", char_grams(F.col("title")).alias("grams"), F.array_distinct("lasts").alias("lasts"), F.array_distinct(keys).alias("keys"))
-
-    gold, guess = classed(gold), classed(guess)
-    g, p = prepared(gold), prepared(guess)
-    left = p.select("paper", F.col("class").alias("c1"), F.explode("keys").alias("key"))
-    right = g.select("paper", F.col("class").alias("c2"), F.explode("keys").alias("key"))
-    pairs = left.join(right, ["paper", "key"]).select("paper", "c1", "c2").distinct()
-    a = p.select("paper", F.col("class").alias("c1"), F.col("grams").alias("g1"), F.col("lasts").alias("l1"))
-    b = g.select("paper", F.col("class").alias("c2"), F.col("grams").alias("g2"), F.col("lasts").alias("l2"))
-    scored = pairs.join(a, ["paper", "c1"]).join(b, ["paper", "c2"]).withColumn("t", ngram_similarity(F.col("g1"), F.col("g2")))
-    by_authors = F.coalesce(jaccard(F.col("l1"), F.col("l2")), F.lit(0.0)) - 0.01
-    scored = scored.filter(F.col("t") > min(near, accept)).select("paper", "c1", "c2", "t", F.when(F.col("t") > near, F.greatest("t", by_authors)).otherwise(F.col("t")).alias("together"))
-
-    choice = F.struct("score", F.col("gold_id"))
-    first = lambda c: F.min_by(c, F.struct(-F.round("score", 9), "gold_id"))
-    every = gold.groupBy("paper", F.col("class").alias("c2")).agg(F.min("id").alias("gold_id"))
-    in_year = gold.filter("year is not null").groupBy("paper", F.col("class").alias("c2"), "year").agg(F.min("id").alias("gold_id"))
-    years = guess.filter("year is not null").select("paper", F.col("class").alias("c1"), "year").distinct()
-    alone = scored.filter(F.col("t") > accept).select("paper", "c1", "c2", F.col("t").alias("score")).join(every, ["paper", "c2"])
-    alone = alone.groupBy("paper", "c1").agg(first(choice).alias("m"))
-    same = scored.filter(F.col("together") > accept).select("paper", "c1", "c2", F.col("together").alias("score")).join(years, ["paper", "c1"]).join(in_year, ["paper", "c2", "year"])
-    same = same.groupBy("paper", "c1", "year").agg(first(choice).alias("m"))
-    rows = guess.select("paper", F.col("id").alias("guess_id"), F.col("class").alias("c1"), "year")
-    found = rows.join(alone, ["paper", "c1"]).select("paper", "guess_id", "m.*").unionByName(rows.join(same, ["paper", "c1", "year"]).select("paper", "guess_id", "m.*"))
-    return found.groupBy("paper", "guess_id").agg(first(choice).alias("m")).select("paper", "guess_id", "m.gold_id", "m.score")
+        # no filter on these: it would be pushed below the grouping, to each reference
+        return d.select("paper", "class", "title", F.array_distinct("lasts").alias("lasts"), F.array_distinct(keys).alias("keys"), *more)
+
+    p = prepared(guess.groupBy("paper", "title", "authors").agg(F.collect_set("year").alias("years")), "years")
+    g = gold.groupBy("paper", "title", "authors", "year").agg(F.min("id").alias("id"))
+    g = g.groupBy("paper", "title", "authors").agg(F.min("id").alias("gold_id"), F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", "id"))).alias("in_year"))
+    g = prepared(g.select("*", F.col("in_year.year").alias("years"), F.col("in_year.id").alias("ids")), "gold_id", "years", "ids")
+
+    parts = lambda side: F.ceil(F.approx_count_distinct(F.when(F.col("side") == side, F.xxhash64("title", "authors")), 0.1) / GROUP)
+    both = guess.select("paper", "title", "authors", F.lit(0).alias("side")).unionByName(gold.select("paper", "title", "authors", F.lit(1).alias("side")))
+    large = F.broadcast(both.groupBy("paper").agg(parts(0).alias("n"), parts(1).alias("m")).filter("n > 1 or m > 1"))
+    tasks = 4 * guess.sparkSession.sparkContext.defaultParallelism
+
+    def dealt(d: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("class"), F.coalesce(F.greatest(own, F.lit(1)), F.lit(1))).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.greatest(other, F.lit(1)), F.lit(1)) - 1)).alias(other)
+        d = d.join(large, "paper", "left").select(*(F.col(c).alias(c) for c in d.columns), part, every)  # names of its own, if both sides come of one table
+        return d.repartition(tasks, "paper", "n", "m").groupBy("paper", "n", "m")
+
+    kind = lambda d, c: d.schema[c].dataType
+    made = StructType().add("paper", kind(guess, "paper")).add("class", BinaryType()).add("year", kind(guess, "year")).add("gold_id", kind(gold, "id")).add("score", DoubleType())
+    found = dealt(p, "n", "m").cogroup(dealt(g, "m", "n")).applyInArrow(compare(accept, near, to_arrow_schema(made)), made)
+    found = found.groupBy("paper", "class").agg(F.collect_list(F.struct("year", "score", "gold_id")).alias("found"))
+
+    fits = F.filter("found", lambda m: m["year"].isNull() | (m["year"] == F.col("year")))
+    first = F.array_min(F.transform(fits, lambda m: F.struct((-F.round(m["score"], 9)).alias("place"), m["gold_id"].alias("gold_id"), m["score"].alias("score"))))
+    rows = guess.select("paper", F.col("id").alias("guess_id"), digest, "year").join(found, ["paper", "class"]).select("paper", "guess_id", first.alias("m")).filter("m is not null")
+    return rows.groupBy("paper", "guess_id").agg(F.min("m").alias("m")).select("paper", "guess_id", "m.gold_id", "m.score")

@@ -1,5 +1,7 @@
 """The fuzzy match of references: copies, years and ties."""
 
+import random
+
 from paperloom.operators import similarity as S
 
 SCHEMA = "paper int, id long, title string, authors array<string>, year int"
@@ -24,3 +26,48 @@ def test_years_choose_among_near_titles(spark):
     t = spark.range(1).select(S.ngram_similarity(S.char_grams(S.F.lit(near)), S.char_grams(S.F.lit(other)))).first()[0]
     assert got[11] == ((3, round(t, 6)) if t >= 0.99 else (7, 0.99)) and got.get(12) == ((3, round(t, 6)) if t > 0.94 else None)
     assert 13 not in got and 14 not in got
+
+
+def rows_made(plan):
+    """Rows out of each operator of a plan that has run."""
+    made = plan.metrics().get("numOutputRows")
+    parts = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return ([made.get().value()] if made.isDefined() else []) + [x for p in parts for x in rows_made(p)]
+
+
+def test_pairs_of_a_paper_stay_in_the_task(spark):
+    ref = lambda i, shift: (1, i + shift, f"on the {i * 7919 % 1000:03d} tables of {i:03d} stores", ["A. Able", "B. Baker"], 2000)
+    gold, guess = (spark.createDataFrame([ref(i, shift) for i in range(300)], SCHEMA) for shift in (0, 1000))
+    found = S.fuzzy_match(gold, guess)
+    assert {(r.guess_id, r.gold_id, r.score) for r in found.collect()} == {(i + 1000, i, 1.0) for i in range(300)}
+    assert max(rows_made(found._jdf.queryExecution().executedPlan())) <= 1200  # 90,000 pairs share the authors
+
+
+def test_all_pairs_give_the_same(spark, monkeypatch):
+    draw = random.Random(7)
+    words, names = ["alpha", "alphas", "beta", "gamma", "deltas", "é𝔸", "x"], [[], ["A. Able", "B. Baker"], ["B. Baker", None, "Cy"], ["", "Cy"], ["A. Able", "B. Baker", "Cy", "D. Du"]]
+    kept = [" ".join(draw.choices(words, k=draw.randint(1, 9))) for _ in range(25)]
+
+    def refs(first):
+        rows = [(draw.choice([1, 1, 2, None]), first + i, draw.choice(kept) + draw.choice(["", "", "s", " x", " alpha"]), draw.choice(names), draw.choice([1999, 2000, 2001, None])) for i in range(240)]
+        rows += [(1, first + 300, None, ["Cy"], 1999), (1, first + 301, "", ["Cy"], 1999), (1, first + 302, "alpha", None, 1999), (1, first + 303, "?", ["Cy"], None), (2, first + 304, "ab", ["Cy"], 1999)]
+        return spark.createDataFrame(rows, SCHEMA).cache()
+
+    gold, guess = refs(0), refs(1000)
+
+    def plain(d, n):
+        lasts = S.F.transform("authors", lambda a: S.strict_normalize(S.F.try_element_at(S.F.split(a, " "), S.F.lit(-1))))
+        short = S.F.transform(S.F.filter(S.F.split(S.alnum_normalize("title"), " "), lambda w: w != ""), lambda w: S.F.left(w, S.F.lit(3)))
+        d = d.filter("title is not null").select("paper", "id", "year", S.char_grams(S.normalize("title")).alias("g"), lasts.alias("l"), short.alias("s"))
+        keys = S.F.concat(S.F.transform(S.word_ngrams(S.F.col("s"), 3, False), lambda x: S.F.concat(S.F.lit("t:"), x)), S.F.transform(S.word_ngrams(S.F.col("l"), 3, True), lambda x: S.F.concat(S.F.lit("a:"), x)))
+        return d.select("paper", *(S.F.col(c).alias(c + n) for c in ("id", "year", "g", "l")), keys.alias("k" + n))
+
+    pairs = plain(guess, "1").join(plain(gold, "2"), "paper").filter(S.F.arrays_overlap("k1", "k2"))
+    pairs = pairs.withColumn("t", S.ngram_similarity(S.F.col("g1"), S.F.col("g2"))).withColumn("j", S.F.coalesce(S.jaccard(S.F.col("l1"), S.F.col("l2")), S.F.lit(0.0)) - 0.01)
+    score = S.F.when((S.F.col("t") > 0.8) & S.F.coalesce(S.F.col("year1") == S.F.col("year2"), S.F.lit(False)), S.F.greatest("t", "j")).otherwise(S.F.col("t"))
+    best = pairs.withColumn("score", score).filter("score > 0.94").groupBy("paper", "id1").agg(S.F.min(S.F.struct(-S.F.round("score", 9), "id2")).alias("m"))
+    right = {(r.paper, r.id1): (r.m.id2, round(-r.m[0], 9)) for r in best.collect()}
+    assert len(right) > 100 and 0.99 in {s for _, s in right.values()} and any(0.94 < s < 0.99 or 0.99 < s < 1 for _, s in right.values())
+    for group in (8192, 20):  # in one group a paper, and in several
+        monkeypatch.setattr(S, "GROUP", group)
+        assert {(r.paper, r.guess_id): (r.gold_id, round(r.score, 9)) for r in S.fuzzy_match(gold, guess).collect()} == right

@@ -10,8 +10,8 @@ from pyspark.sql.types import BinaryType, DoubleType, StructType
 from ..functions.text import alnum_normalize, normalize, strict_normalize
 from .reference_pairs import compare
 
-#: Classes of references, of gold or of guesses, that a group of :func:`fuzzy_match` holds, about.
-GROUP = 8192
+#: Classes of references, of gold or of guesses, that a group of :func:`fuzzy_match` holds, about; fewer if their titles are longer than ``LONG`` on average.
+GROUP, LONG = 8192, 128
 
 
 def words(c: Column, most: int = 40) -> Column:
@@ -97,7 +97,8 @@ def fuzzy_match(gold: DataFrame, guess: DataFrame, accept: float = 0.94, near: f
     g = g.groupBy("paper", "title", "authors").agg(F.min("id").alias("gold_id"), F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", "id"))).alias("in_year"))
     g = prepared(g.select("*", F.col("in_year.year").alias("years"), F.col("in_year.id").alias("ids")), "gold_id", "years", "ids")
 
-    parts = lambda side: F.ceil(F.approx_count_distinct(F.when(F.col("side") == side, F.xxhash64("title", "authors")), 0.1) / GROUP)
+    many = lambda side: F.approx_count_distinct(F.when(F.col("side") == side, F.xxhash64("title", "authors")), 0.1)
+    parts = lambda side: F.ceil(many(side) * F.greatest(F.avg(F.when(F.col("side") == side, F.length("title"))) / LONG, F.lit(1.0)) / GROUP)
     both = guess.select("paper", "title", "authors", F.lit(0).alias("side")).unionByName(gold.select("paper", "title", "authors", F.lit(1).alias("side")))
     large = F.broadcast(both.groupBy("paper").agg(parts(0).alias("n"), parts(1).alias("m")).filter("n > 1 or m > 1"))
     tasks = 4 * guess.sparkSession.sparkContext.defaultParallelism

@@ -2,7 +2,11 @@
 
 import random
 
+import duckdb
+import pytest
+
 from paperloom.operators import similarity as S
+from paperloom.plans import registry
 
 SCHEMA = "paper int, id long, title string, authors array<string>, year int"
 
@@ -43,6 +47,19 @@ def test_pairs_of_a_paper_stay_in_the_task(spark):
     assert max(rows_made(found._jdf.queryExecution().executedPlan())) <= 1200  # 90,000 pairs share the authors
 
 
+@pytest.mark.parametrize("name", ["fuzzy_match", "fuzzy_precision_recall"])
+def test_queries_make_no_table_of_pairs(spark, tmp_path, name):
+    parts = [(i, f"{'ab'[i // 2 % 2]}{i // 4} ring", f"Brand#{i % 25}", "SMALL", 1 + i % 10 // 9, 1.0) for i in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    got = sorted(tuple(r[c] for c in sorted(found.columns)) for r in found.collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(sorted(found.columns))} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    assert got and got == sorted(want)
+    assert max(rows_made(found._jdf.queryExecution().executedPlan())) <= 800  # 40,000 pairs share the authors
+
+
 def test_all_pairs_give_the_same(spark, monkeypatch):
     draw = random.Random(7)
     words, names = ["alpha", "alphas", "beta", "gamma", "deltas", "é𝔸", "x"], [[], ["A. Able", "B. Baker"], ["B. Baker", None, "Cy"], ["", "Cy"], ["A. Able", "B. Baker", "Cy", "D. Du"]]
@@ -68,6 +85,7 @@ def test_all_pairs_give_the_same(spark, monkeypatch):
     best = pairs.withColumn("score", score).filter("score > 0.94").groupBy("paper", "id1").agg(S.F.min(S.F.struct(-S.F.round("score", 9), "id2")).alias("m"))
     right = {(r.paper, r.id1): (r.m.id2, round(-r.m[0], 9)) for r in best.collect()}
     assert len(right) > 100 and 0.99 in {s for _, s in right.values()} and any(0.94 < s < 0.99 or 0.99 < s < 1 for _, s in right.values())
-    for group in (8192, 20):  # in one group a paper, and in several
+    for group, long in ((8192, 128), (20, 128), (8192, 0.05)):  # in one group a paper, and in several
         monkeypatch.setattr(S, "GROUP", group)
+        monkeypatch.setattr(S, "LONG", long)
         assert {(r.paper, r.guess_id): (r.gold_id, round(r.score, 9)) for r in S.fuzzy_match(gold, guess).collect()} == right

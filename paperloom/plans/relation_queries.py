@@ -401,7 +401,7 @@ def fuzzy_match(spark, sf_dir):
 @query(_fuzzy_sql("SELECT r.paper, r.id FROM r WHERE id % 2 = 0 AND id NOT IN (SELECT gold_id FROM m WHERE place = 1)"))
 def fuzzy_unmatched(spark, sf_dir):
     gold, guess = _refs(spark, sf_dir)
-    return gold.select("paper", "id").join(S.fuzzy_match(gold, guess).select(F.col("gold_id").alias("id")), "id", "left_anti").select("paper", "id")
+    return gold.select("paper", "id").join(S.fuzzy_match(gold, guess).select(F.col("gold_id").alias("id")).distinct(), "id", "left_anti").select("paper", "id")
 
 
 @query(_fuzzy_sql("""SELECT q.paper, round(coalesce(total, 0) / guesses, 6) AS precision, round(coalesce(total, 0) / golds, 6) AS recall FROM (

@@ -47,7 +47,7 @@ def test_pairs_of_a_paper_stay_in_the_task(spark):
     assert max(rows_made(found._jdf.queryExecution().executedPlan())) <= 1200  # 90,000 pairs share the authors
 
 
-@pytest.mark.parametrize("name", ["fuzzy_match", "fuzzy_precision_recall"])
+@pytest.mark.parametrize("name", ["fuzzy_match", "fuzzy_precision_recall", "fuzzy_unmatched"])
 def test_queries_make_no_table_of_pairs(spark, tmp_path, name):
     parts = [(i, f"{'ab'[i // 2 % 2]}{i // 4} ring", f"Brand#{i % 25}", "SMALL", 1 + i % 10 // 9, 1.0) for i in range(400)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
